@@ -1,0 +1,46 @@
+"""Connected components of a link table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessergraph.llm.common import drop, is_empty, written
+
+
+def _large(links: DataFrame) -> DataFrame:
+    """Each node hands the smallest of its neighbours and itself to its larger neighbours."""
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    return both.join(least, both["u"] == least["c"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small(links: DataFrame) -> DataFrame:
+    """Each node hands the smallest of its smaller neighbours to the others and itself."""
+    least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+    met = links.join(least, links["u"] == least["c"])
+    moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
+    return moved.where("u != v").distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``pairs`` (a, b): component is the smallest node reachable.
+
+    Each round is written to the shared folder. Links to a node from itself
+    and repeated links do no harm; an empty table has no nodes.
+    """
+    spark = pairs.sparkSession
+    links = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    links, path = written(links, "links")
+    while not is_empty(links):
+        stars, new = written(_small(_large(links)), "links")
+        # Done once every larger node has one link, and its other end has none itself.
+        again = stars.groupBy("u").count().where("count > 1").select("u")
+        inner = stars.join(stars.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").select("u")
+        done = is_empty(again.union(inner))
+        drop(spark, path)
+        links, path = stars, new
+        if done:
+            break
+    roots = links.select(F.col("v").alias("node")).distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessergraph.llm import bpe, packing, token_shards
-from tessergraph.llm.common import prepare
+from tessergraph.llm import bpe, discriminant, language, near_dedup, packing, repetition, token_shards
+from tessergraph.llm.common import crc_fold, prepare
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,8 +39,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=0)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repetition.repetition_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = language.predict(docs, language.fit(docs))
+    return rows.select("doc_id", F.coalesce(crc_fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op7_token_shards, op8_packing)}
+    return {f.__name__: f for f in (op2_bpe, op3_near_dedup, op5_quality, op7_token_shards, op8_packing, op9_repetition, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
