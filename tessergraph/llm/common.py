@@ -7,6 +7,7 @@ tasks that were running, and lineage is cut at each written table.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,9 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    # Spark deletes shuffle files once their plan is garbage; collect it, lest disks fill up.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessergraph.llm import bpe, discriminant, language, near_dedup, packing, repetition, token_shards
+from tessergraph.llm import bpe, discriminant, language, main_text, media, near_dedup, packing, phrase_dedup, repetition, token_shards
 from tessergraph.llm.common import crc_fold, prepare
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
     return rows.select(
@@ -30,6 +34,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is the medium of a page of its own, which the operator parses and resolves."""
+    stored = media.store(table(spark, sf_dir, "documents"))
+    page = F.concat(F.lit(f'<figure><img src="{media.SCHEME}'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("key").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
+    pages = stored.select(F.struct("key", "n_bytes").alias("row"), page.alias("page"))
+    items = media.resolve(media.sequences(pages, "row", "page").withColumn("row", F.col("key")), media.features(stored))
+    return items.where("kind = 'media'").select(
+        F.col("row.key").alias("doc_id"), F.col("row.n_bytes").alias("n_bytes"),
+        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+    )
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, _ = token_shards.write_shards(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
     return token_shards.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -43,6 +59,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrase_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,7 +80,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_near_dedup, op5_quality, op7_token_shards, op8_packing, op9_repetition, op10_language)}
+    return {f.__name__: f for f in (op1_main_text, op2_bpe, op3_near_dedup, op4_phrase_dedup, op5_quality, op6_media, op7_token_shards, op8_packing, op9_repetition, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
