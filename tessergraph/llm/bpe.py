@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from tessergraph.llm.common import Memo, map_rows
+from tessergraph.llm.common import Memo, map_texts
 
 #: Fragments that a worker remembers; about 100 MB.
 FRAGMENT_MEMO = 600_000
@@ -201,21 +201,15 @@ def encode_decode(df: DataFrame, path: str, id_column: str = "doc_id", text_colu
     Other columns of ``df`` are left out, so they can't clash. A null id stays
     null; repeated rows give repeated rows; an empty table gives an empty one.
     """
-    key = df.schema[id_column].dataType.simpleString()
 
     def make():
         c = codec(path)
 
-        def one(batch):
-            ids, bounds = c.encode_many(batch.column(1))
+        def one(texts):
+            ids, bounds = c.encode_many(texts)
             rows = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-            return {
-                "key": batch.column(0),
-                "ids": [r.astype("<u4").tobytes() for r in rows],
-                "decoded": [c.decode(r) for r in rows],
-            }
+            return {"ids": [r.astype("<u4").tobytes() for r in rows], "decoded": [c.decode(r) for r in rows]}
 
         return one
 
-    rows = map_rows(df.select(df[id_column], df[text_column]), f"key {key}, ids binary, decoded string", make, GATHER)
-    return rows.withColumnRenamed("key", id_column)
+    return map_texts(df, id_column, text_column, "ids binary, decoded string", make, gather=GATHER)

@@ -127,6 +127,29 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def map_texts(
+    df: DataFrame,
+    id_column: str,
+    text_column: str,
+    fields: str,
+    make: Callable[[], Callable[[pa.Array], dict[str, list]]],
+    carry: tuple[str, ...] = (),
+    gather: int = 0,
+) -> DataFrame:
+    """One row per document: its id, the ``carry`` columns and ``fields``, which ``make()`` gets from the column of texts."""
+    kept = [id_column, *(c for c in carry if c != id_column)]
+    source = df.select(*(df[c].alias(f"k{i}") for i, c in enumerate(kept)), df[text_column].alias("_text"))
+    kinds = [df.schema[c].dataType.simpleString() for c in kept]
+    schema = ", ".join([*(f"k{i} {k}" for i, k in enumerate(kinds)), fields])
+
+    def make_rows():
+        one = make()
+        return lambda batch: {f"k{i}": batch.column(i) for i in range(len(kept))} | one(batch.column(len(kept)))
+
+    rows = map_rows(source, schema, make_rows, gather)
+    return rows.withColumnsRenamed({f"k{i}": c for i, c in enumerate(kept)})
+
+
 class Memo(dict):
     """A bounded memo of ``compute``: beyond the bound, entries not used lately go."""
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import as_bytes, crc_fold, map_rows, prepare, written
+from tessergraph.llm.common import as_bytes, crc_fold, map_rows, map_texts, prepare, written
 
 #: Shares of the covariance replaced by its diagonal, and by the mean variance.
 TO_DIAGONAL, TO_SCALE = 0.10, 0.02
@@ -74,15 +74,11 @@ def statistics(data: bytes) -> list[float]:
 def vectors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id and ``x``, the statistics of the whole text (null: of an empty one)."""
     prepare(docs.sparkSession)
-    key = docs.schema[id_column].dataType.simpleString()
 
     def make():
-        def one(batch):
-            return {"key": batch.column(0), "x": [statistics(d or b"") for d in as_bytes(batch.column(1))]}
-
-        return one
+        return lambda texts: {"x": [statistics(d or b"") for d in as_bytes(texts)]}
 
-    return map_rows(docs.select(docs[id_column], docs[text_column]), f"key {key}, x array<double>", make).withColumnRenamed("key", id_column)
+    return map_texts(docs, id_column, text_column, "x array<double>", make)
 
 
 @dataclass

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import crc_fold, map_rows, prepare
+from tessergraph.llm.common import crc_fold, map_rows, map_texts, prepare
 
 DIMENSIONS = 8192
 #: Bounds of the training sample, per language: rows fitted on, and those that are landmarks.
@@ -145,22 +145,20 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     return fit_sample([r[0] for r in found], rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1)))
 
 
-def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: its id, ``lang_pred`` and ``score``.
+def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its id, the ``carry`` columns, ``lang_pred`` and ``score``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is
     every text if there was nothing to learn from.
     """
     prepare(docs.sparkSession)
-    key = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        def one(batch):
-            names, scores = shared.value.predict(batch.column(1).to_pylist())
-            return {"key": batch.column(0), "lang_pred": names, "score": scores}
+        def one(texts):
+            names, scores = shared.value.predict(texts.to_pylist())
+            return {"lang_pred": names, "score": scores}
 
         return one
 
-    rows = map_rows(docs.select(docs[id_column], docs[text_column]), f"key {key}, lang_pred string, score double", make)
-    return rows.withColumnRenamed("key", id_column)
+    return map_texts(docs, id_column, text_column, "lang_pred string, score double", make, carry)

@@ -79,8 +79,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(crc_fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_bpe, op3_near_dedup, op4_phrase_dedup, op5_quality, op6_media, op7_token_shards, op8_packing, op9_repetition, op10_language)}
+    return {f.__name__: f for f in (op1_main_text, op2_bpe, op3_near_dedup, op4_phrase_dedup, op5_quality, op6_media, op7_token_shards, op8_packing, op9_repetition, op10_language, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

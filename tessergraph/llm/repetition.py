@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessergraph.llm.common import as_bytes, map_rows, prepare, word_hashes
+from tessergraph.llm.common import as_bytes, map_texts, prepare, word_hashes
 
 #: Share of a text's word characters that may lie in repeated n-grams, by n, and in repeated lines.
 LIMITS = {3: 0.50, 4: 0.40, 5: 0.30, 7: 0.25, 10: 0.20}
@@ -93,23 +93,21 @@ def measure(data: bytes) -> dict:
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_share double, gram_shares array<double>, base_failed boolean, kept boolean"
 
 
-def repetition_rules(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: its id and the statistics of `measure`.
+def repetition_rules(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its id, the ``carry`` columns and the statistics of `measure`.
 
     Null and empty texts have no words, fail the base rules and are not kept.
     Each row is judged by itself, so ties and repeated rows don't matter; only
-    the id and text columns are read, so other names can't clash.
+    the columns named are read, so other names can't clash.
     """
     prepare(df.sparkSession)
-    key = df.schema[id_column].dataType.simpleString()
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def make():
-        def one(batch):
-            rows = [measure(x or b"") for x in as_bytes(batch.column(1))]
-            return {"key": batch.column(0)} | {n: [r[n] for r in rows] for n in names}
+        def one(texts):
+            rows = [measure(x or b"") for x in as_bytes(texts)]
+            return {n: [r[n] for r in rows] for n in names}
 
         return one
 
-    rows = map_rows(df.select(df[id_column], df[text_column]), f"key {key}, {FIELDS}", make)
-    return rows.withColumnRenamed("key", id_column)
+    return map_texts(df, id_column, text_column, FIELDS, make, carry)
