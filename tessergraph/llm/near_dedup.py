@@ -10,16 +10,18 @@
 4. What is left is confirmed on full sets.
 
 Within a bucket the first and the last member are compared with all others.
-That alone would lose a link between two others, so buckets that still span
-several components are searched again: members outside the first member's
-component meet all members of other components, until no untested pair is
-left. Members that are linked already are never paired, so a bucket of n like
-copies costs about 2n comparisons, and nothing is capped.
+That alone would lose a link between two others, so in buckets that still span
+several components, members outside the first one's component ask all others.
+They meet in blocks of bounded size, where intersections are counted in numpy
+and only links are given out. Members that are linked already are not
+compared, so a bucket of n like copies costs about 2n comparisons, and nothing
+is capped.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ BANDS, ROWS, BITS = 32, 4, 2
 HASHES = BANDS * ROWS
 #: Candidates whose estimate is below this are let go: 0.75 less six standard deviations of the estimate.
 LEAST_ESTIMATE = 0.47
+#: Shingles in a block of members that ask, and of those that are asked.
+ASK_SHINGLES, ALL_SHINGLES = 64_000, 500_000
 
 _draw = np.random.default_rng(20240501)
 _MULTIPLY = _draw.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1)
@@ -137,6 +141,61 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), "a long, b long", make)
 
 
+def crossed(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """Links between askers and others of other components: (asks, rep, component, shingles). One for each asker and component.
+
+    Askers' shingles are looked up in the others' sorted shingles, and
+    intersections are counted by owner, so no pair is ever listed.
+    """
+    others = [r for r in rows if not r[0]]
+    sets = [np.frombuffer(r[3], np.uint64) for r in others]
+    if not sets:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    reps, labels = np.array([r[1] for r in others]), np.array([r[2] for r in others])
+    links = []
+    for _, rep, component, held in (r for r in rows if r[0]):
+        own = np.frombuffer(held, np.uint64)
+        low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owners[at], minlength=len(sets))
+        good = np.flatnonzero((100 * both >= PERCENT * (sizes + len(own) - both)) & (labels != component))
+        _, firsts = np.unique(labels[good], return_index=True)
+        links += [(rep, int(reps[k])) for k in good[firsts]]
+    return links
+
+
+def unmet(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) within buckets that comparing with the first and last member has not joined.
+
+    In each bucket that spans several components, members outside the first
+    one's ask all members. Both are dealt into blocks of a bounded number of
+    shingles, and each pair of blocks is one group.
+    """
+    label = found.select(F.col("node").alias("rep"), "component")
+    named = members.where("size > 3").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_bands = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n").alias("all_n")).where("least < most")
+    main = named.where("rep = lo").select("band", F.col("component").alias("main"))
+    waiting = named.join(open_bands.join(main, "band"), "band").withColumn("asks", F.col("component") != F.col("main"))
+    asked = waiting.where("asks").groupBy("band").agg(F.sum("n").alias("ask_n"))
+    waiting = waiting.join(asked, "band")
+    waiting = waiting.withColumn("ask_blocks", F.expr(f"CAST(1 + ask_n div {ASK_SHINGLES} AS INT)")).withColumn("all_blocks", F.expr(f"CAST(1 + all_n div {ALL_SHINGLES} AS INT)"))
+    draw = F.xxhash64("rep")
+    asking = waiting.where("asks").select("band", F.pmod(draw, "ask_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("asks"), "rep", "component")
+    all_of = waiting.select("band", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), F.pmod(draw, "all_blocks").cast("int").alias("j"), F.lit(False).alias("asks"), "rep", "component")
+    rows = asking.union(all_of).join(sets.withColumnRenamed("node", "rep"), "rep").select("band", "i", "j", "asks", "rep", "component", "shingles")
+
+    def meet(group: pa.Table) -> pa.Table:
+        links = crossed(list(zip(*(group.column(c).to_pylist() for c in ("asks", "rep", "component", "shingles")))))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept.
 
@@ -155,9 +214,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     drawn = classes.select("rep", "n", *SIGNATURE)
 
     # Buckets of two and more.
-    placed = classes.select("rep", F.explode("bands").alias("band"))
+    placed = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    members, members_path = written(placed.join(shared, "band"), "members")
+    members, members_path = written(placed.join(shared, "band").select("band", "rep", "n", "lo", "hi", "size"), "members")
     sets, sets_path = written(_sets(docs, members.select("rep").distinct(), id_column, text_column), "sets")
 
     def drawn_as(side: str, on: str) -> DataFrame:
@@ -168,38 +227,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     stars = first.union(last).distinct()
     pairs = stars.join(drawn_as("p", "a"), "a").join(drawn_as("q", "b"), "b").where(likely("p", "q")).select("a", "b")
     links, links_path = written(confirmed(pairs, sets), "confirmed")
-    tested, paths = stars, [seen_path, classes_path, members_path, sets_path, links_path]
-    best_first = True
     found, found_path = written(components(links), "components")
-
-    crowded = members.where("size > 3").select("band", "rep", "lo")
-    while True:
-        label = found.select(F.col("node").alias("rep"), "component")
-        named = crowded.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_bands = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
-        waiting, waiting_path = written(named.join(open_bands, "band").join(drawn, "rep"), "waiting")
-        main = waiting.where("rep = lo").select("band", F.col("component").alias("main"))
-        outside = waiting.join(main, "band").where("component != main")
-        p, q = outside.alias("p"), waiting.alias("q")
-        near = p.join(q, F.expr(f"p.band = q.band AND p.component != q.component AND (q.component = p.main OR p.rep < q.rep) AND {likely('p', 'q')}"))
-        near = near.select(
-            F.expr("least(p.rep, q.rep)").alias("a"), F.expr("greatest(p.rep, q.rep)").alias("b"),
-            F.expr("p.rep").alias("one"), F.expr("q.component").alias("other"), F.expr(estimate("p", "q")).alias("similar"),
-        )
-        near = near.join(tested, ["a", "b"], "left_anti")
-        if best_first:
-            near = near.groupBy("one", "other").agg(F.max_by(F.struct("a", "b"), F.struct("similar", "a", "b")).alias("best")).select("best.a", "best.b")
-        more, more_path = written(near.select("a", "b").distinct(), "pairs")
-        if is_empty(more):
-            drop(spark, waiting_path, more_path)
-            break
-        new, new_path = written(confirmed(more, sets), "confirmed")
-        best_first = best_first and not is_empty(new)  # while they bind, the likeliest go first
-        tested = tested.union(more)
-        links = links.union(new)
-        drop(spark, waiting_path, found_path)
-        paths += [more_path, new_path]
-        found, found_path = written(components(links), "components")
+    rest, rest_path = written(unmet(members, found, sets), "rest")
+    paths = [seen_path, classes_path, members_path, sets_path, links_path, rest_path]
+    if not is_empty(rest):
+        paths.append(found_path)
+        found, found_path = written(components(links.union(rest)), "components")
 
     named = seen.join(classes.select("d0", "d1", "rep"), ["d0", "d1"], "left")
     result = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
