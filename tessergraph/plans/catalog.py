@@ -749,6 +749,84 @@ def embedding_input(spark, sf):
     return tables.nodes(spark, sf).select("node_id", text.embedding_input(F.col("label")).alias("input"))
 
 
+# write path, streaming, questions
+
+
+def _reply(key, owner, broken):
+    entity = '{{"type": "{}", "canonical_name": "{}", "properties": {{"tier": "1"}}, "evidence_quote": "q", "confidence": 0.9}}'
+    good = F.format_string(
+        '{"entities": [' + entity.format("Service", "svc-%s").replace("{{", "{").replace("}}", "}") + ", " + entity.format("Team", "team-%s").replace("{{", "{").replace("}}", "}")
+        + '], "relationships": [{"type": "OWNED_BY", "source_canonical_name": "svc-%s", "target_canonical_name": "team-%s", "evidence_quote": "q", "confidence": 0.8}]}',
+        key, owner, key, owner,
+    )
+    return F.when(broken == 0, "{not json").when(broken == 1, '{"entities": []}').otherwise(good)
+
+
+@query("extraction_parse", """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'json' WHEN 1 THEN 'schema' END AS error_stage, (CASE WHEN event_id % 7 > 1 THEN 2 ELSE 0 END)::BIGINT AS n_entities FROM events""")
+def extraction_parse(spark, sf):
+    e = tables.table(spark, sf, "events")
+    replies = e.select("event_id", _reply(F.col("user_id").cast("string"), F.col("event_type"), F.col("event_id") % 7).alias("raw"))
+    return extraction.parsed_replies(replies).select("event_id", "error_stage", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities"))
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.table(spark, sf, "events")
+    replies = e.select(tables.name_of("ev-", "event_id").alias("event_id"), F.col("ts").alias("created_at"), _reply(F.col("user_id").cast("string"), F.col("event_type"), F.col("event_id") % 7).alias("raw"))
+    return extraction.parsed_replies(replies).where("error_stage IS NULL")
+
+
+@query("sink_node_merge", """WITH m AS (SELECT * FROM events WHERE event_id % 7 > 1) SELECT 'Service:svc-' || user_id AS node_id, count(*)::BIGINT AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at FROM m GROUP BY user_id
+UNION ALL SELECT 'Team:team-' || event_type, count(*), strftime(min(ts), '%Y-%m-%d %H:%M:%S') FROM m GROUP BY event_type""")
+def sink_node_merge(spark, sf):
+    rows = extraction.merged_nodes(_parsed(spark, sf))
+    return rows.select("node_id", F.size("source_event_ids").cast("long").alias("n_events"), exprs.stamp(F.col("created_at")).alias("created_at"))
+
+
+@query("sink_edge_merge", """SELECT 'OWNED_BY' AS edge_type, 'Service:svc-' || user_id AS src, 'Team:team-' || event_type AS dst, arg_max('ev-' || event_id, (ts, 'ev-' || event_id)) AS source_event_id FROM events WHERE event_id % 7 > 1 GROUP BY user_id, event_type""")
+def sink_edge_merge(spark, sf):
+    return extraction.merged_edges(_parsed(spark, sf))[0].select("edge_type", "src", "dst", "source_event_id")
+
+
+def first_words(content: str) -> str:
+    """A deterministic extractor: the first word is a service, the second a team that owns it."""
+    import json
+
+    words = (content.split() + ["none", "none"])[:2]
+    entities = [{"type": t, "canonical_name": w, "properties": {}, "evidence_quote": w, "confidence": 0.9} for t, w in zip(("Service", "Team"), words)]
+    link = {"type": "OWNED_BY", "source_canonical_name": words[0], "target_canonical_name": words[1], "evidence_quote": words[0], "confidence": 0.8}
+    return json.dumps({"entities": entities, "relationships": [link] if words[0] != words[1] else []})
+
+
+@query("foreach_batch_reconcile", f"WITH {LOG} SELECT 'reconciled' AS status, source_type, count(*)::BIGINT AS n FROM log WHERE length(content) BETWEEN 10 AND 10000 GROUP BY 2")
+def foreach_batch_reconcile(spark, sf):
+    """The whole log as a stream into an empty store."""
+    import uuid
+
+    from tessergraph.sources.store import Store, shared_folder
+    from tessergraph.streaming import ingest
+
+    root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}"
+    tables.event_log(spark, sf).select([f.name for f in ingest.EVENT_SCHEMA]).write.parquet(f"{root}/incoming")
+    store = Store(spark, f"{root}/store")
+    ingest.start(spark, f"{root}/incoming", ingest.Reconciler(store, first_words), f"{root}/checkpoint").awaitTermination()
+    events = store.read("events").select(F.col("id").alias("event_id"), "source_type")
+    return store.read("ingestion_runs").join(events, "event_id").groupBy("status", "source_type").agg(F.count("*").alias("n"))
+
+
+QUESTIONS = (
+    "Who owns the service behind D-100?", "Which decisions are contradicted?", "What breaks if part-3 fails?", "What changed about part-7 in 90 days?", "What depends on part-6?",
+    "List all services without owner", "How many services are there per team?", "What is the status of D-20?", "notes about latency", "tell me a joke",
+)
+
+
+@query("ask_route")
+def ask_route(spark, sf):
+    from tessergraph.agent import ask
+
+    routed = [(q, ask.checked_input(ask.route_question(q))) for q in QUESTIONS]
+    return spark.createDataFrame([(q, r.name, ",".join(f"{k}={v}" for k, v in sorted(r.tool_input.items()))) for q, r in routed], "question string, route string, tool_input string")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
