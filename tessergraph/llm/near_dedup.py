@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     result = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         F.col("key").alias(id_column),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "rep", "key")).otherwise(F.col("key")).alias("component_id"),
+        F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")).otherwise(F.col("key")).alias("component_id"),
     )
     result = result.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
     result, _ = written(result, "groups")
