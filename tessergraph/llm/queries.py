@@ -89,5 +89,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_main_text, op2_bpe, op3_near_dedup, op4_phrase_dedup, op5_quality, op6_media, op7_token_shards, op8_packing, op9_repetition, op10_language, pipeline)}
 
 
+#: Words of a text: what lies between ASCII white space.
+WORDS = "list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DEDUP_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END AS gram FROM w, LATERAL unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id, min(r.other) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+PHRASE_DEDUP_SQL = f"""WITH w AS (SELECT doc_id, {WORDS.format(text="text")} AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i:i + 12] AS gram FROM w, LATERAL unnest(range(1, greatest(len(ws) - 11, 1))) t(i)),
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY 1),
+c AS (SELECT DISTINCT g.doc_id, i + k AS place FROM g JOIN f ON f.gram = g.gram AND f.first < g.doc_id, LATERAL unnest(range(13)) t(k)),
+gone AS (SELECT doc_id, list(place) AS places FROM c GROUP BY 1),
+left_over AS (SELECT w.doc_id, len(ws) AS n, CASE WHEN places IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(places, i)) END AS kept FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM left_over"""
+
+
+def _repetition_sql() -> str:
+    grams, joins, tests = [], [], []
+    for n, limit in repetition.LIMITS.items():
+        grams.append(f"""g{n} AS (SELECT doc_id, unnest(list(i)) AS i FROM (SELECT doc_id, i, array_to_string(ws[i:i + {n - 1}], ' ') AS gram FROM w, LATERAL unnest(range(1, greatest(len(ws) - {n - 2}, 1))) t(i)) GROUP BY doc_id, gram HAVING count(*) > 1),
+c{n} AS (SELECT q.doc_id, count(*) AS words, sum(length(w.ws[q.place])) AS chars FROM (SELECT DISTINCT doc_id, i + k AS place FROM g{n}, LATERAL unnest(range({n})) t(k)) q JOIN w ON w.doc_id = q.doc_id GROUP BY 1)""")
+        joins.append(f"LEFT JOIN c{n} ON c{n}.doc_id = w.doc_id")
+        tests.append(f"coalesce(c{n}.chars, 0) / chars <= {limit}::DOUBLE")
+    base = repetition.BASE_N
+    return f"""WITH w AS (SELECT doc_id, text, {WORDS.format(text="text")} AS ws FROM documents), {", ".join(grams)},
+t AS (SELECT doc_id, i, x.line, row_number() OVER (PARTITION BY doc_id, x.line ORDER BY i) AS turn FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) x),
+d AS (SELECT doc_id, count(*) AS lines, sum(length(array_to_string({WORDS.format(text="line")}, ''))) AS chars FROM t WHERE turn > 1 AND len({WORDS.format(text="line")}) > 0 GROUP BY 1),
+v AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, ws FROM w)
+SELECT w.doc_id, w.n_words, w.chars AS word_chars, w.n_symbols, coalesce(d.lines, 0)::BIGINT AS n_dup_lines, coalesce(c{base}.words, 0)::BIGINT AS n_repeat_words,
+  w.n_words < {repetition.MIN_WORDS} OR 100 * coalesce(c{base}.words, 0) > {repetition.BASE_PERCENT} * w.n_words AS base_failed,
+  NOT (w.n_words < {repetition.MIN_WORDS} OR 100 * coalesce(c{base}.words, 0) > {repetition.BASE_PERCENT} * w.n_words) AND coalesce(d.chars, 0) / chars <= {repetition.LINE_LIMIT}::DOUBLE AND {" AND ".join(tests)} AS kept
+FROM v w LEFT JOIN d ON d.doc_id = w.doc_id {" ".join(joins)}""".replace("coalesce(d.chars, 0) / chars", "coalesce(d.chars, 0) / greatest(w.chars, 1)").replace(") / chars <=", ") / greatest(w.chars, 1) <=")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; the other queries are tested against brute-force versions."""
+    return {"op3_near_dedup": NEAR_DEDUP_SQL, "op4_phrase_dedup": PHRASE_DEDUP_SQL, "op9_repetition": _repetition_sql()}
