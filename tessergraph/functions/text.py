@@ -128,3 +128,12 @@ def embedding_input(label: Column) -> Column:
 def duration_ms(started: Column, completed: Column) -> Column:
     """Milliseconds with one decimal; null while it runs."""
     return F.round(F.timestamp_diff("MICROSECOND", started, completed) / 1000.0, 1)
+
+
+def handle_at_age(handle: Column, former: Column, age_days: Column) -> Column:
+    """The former handle in texts of at least 120 days ago."""
+    return F.when((age_days >= 120) & former.isNotNull(), former).otherwise(handle)
+
+
+def prompt_fingerprint(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("\u001f", *parts).cast("binary"), 256)

@@ -28,7 +28,7 @@ def parsed_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
         both["relationships"],
         lambda e: e["type"].isin(*ENDPOINTS) & e["source_canonical_name"].isNotNull() & e["target_canonical_name"].isNotNull() & e["confidence"].between(0, 1) & e["evidence_quote"].isNotNull(),
     )
-    is_json = F.expr(f"is_valid_json({raw})") if False else F.try_parse_json(text).isNotNull()
+    is_json = F.try_parse_json(text).isNotNull()
     good = both["entities"].isNotNull() & both["relationships"].isNotNull() & F.coalesce(entity_ok, F.lit(False)) & F.coalesce(relation_ok, F.lit(False))
     stage = F.when(~F.coalesce(is_json, F.lit(False)), "json").when(~good, "schema")
     return replies.withColumn("error_stage", stage).withColumn("_p", both).select(

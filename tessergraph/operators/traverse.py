@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +105,3 @@ def longest_depth(links: DataFrame, rounds: int = 100) -> DataFrame:
     else:
         raise ValueError(f"no end after {rounds} rounds: the graph has a cycle")
     return known
-
-
-def fresh(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:8]}"

@@ -53,7 +53,7 @@ class Store:
         fs, p = _fs(self.spark, f"{self.root}/{name}/CURRENT")
         if not fs.exists(p):
             return None
-        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0] and int(self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0])
+        return int(self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0])
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
