@@ -12,14 +12,16 @@ KEY_FIELDS = {
     "Person": "canonical_id", "Team": "canonical_name", "Service": "canonical_name", "System": "canonical_name", "Decision": "id", "Message": "id",
 }
 ENDPOINTS = {
-    "OWNED_BY": (("Service", "System"), ("Team", "Person")),
+    "DEPENDS_ON": (("Service",), ("Service", "System")),
+    "OWNED_BY": (("Service", "System"), ("Person", "Team")),
     "MEMBER_OF": (("Person",), ("Team",)),
-    "DEPENDS_ON": (("Service", "System"), ("Service", "System")),
-    "DEPRECATES": (("Decision",), ("Service", "System")),
-    "SUPERSEDES": (("Decision",), ("Decision",)),
-    "ABOUT": (("Decision",), ("Service", "System")),
+    "DEPRECATES": (("Decision",), ("System",)),
+    "ABOUT": (("Decision",), ("System", "Service")),
     "APPROVED_BY": (("Decision",), ("Person",)),
-    "CONTRADICTS": (("Message",), ("Decision",)),
+    "AUTHORED": (("Person",), ("Decision",)),
+    "MENTIONS": (("Person",), ("Service", "System", "Team", "Decision", "Person")),
+    "CONTRADICTS": (("Person", "Message"), ("Decision",)),
+    "SUPERSEDES": (("Decision",), ("Decision",)),
 }
 
 

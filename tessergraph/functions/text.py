@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Substrings that mark a text as opposing something.
+#: Substrings of a lower-case text that mark it as opposing something.
 OPPOSITION_CUES = (
-    "actually", "but ", "contradict", "disagree", "instead", "no longer", "not ", "reconsider", "revert", "roll back", "still using", "wrong", "we should keep",
+    "not ", "n't", "should not", "stale", "deprecated", "stop ", "no longer",
+    "instead", "contradic", "disagree", "shouldn", "don't", "won't",
 )
+#: Properties that extractors can't set.
+RESERVED = ("id", "canonical_name", "canonical_id", "source_event_ids", "created_at")
 FORMAL_ID = r"^D-\d{3,4}$"
 _SUPERSEDED = r"(?i)supersed\w*\s+(?:the\s+)?(D-\d{3,4})"
 _CITATION = r"\[evt:\s*([^\]]+?)\s*\]"
@@ -100,29 +103,41 @@ def verdict(raw: Column, flag: str) -> Column:
     )
 
 
-def safe_properties(props: Column, reserved: tuple[str, ...] = ("id", "source_event_ids", "created_at", "status")) -> Column:
+def safe_properties(props: Column, reserved: tuple[str, ...] = RESERVED) -> Column:
     """A string map without reserved names and null values."""
     return F.map_filter(props, lambda k, v: ~k.isin(*reserved) & v.isNotNull())
 
 
 def properties_block(props: Column, hidden: tuple[str, ...] = ("source_event_ids", "created_at")) -> Column:
-    """Sorted ``k=v`` list."""
+    """Sorted ``k='v'`` list."""
     shown = F.map_entries(F.map_filter(props, lambda k, v: ~k.isin(*hidden)))
-    return F.array_join(F.array_sort(F.transform(shown, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ", ")
+    listed = F.array_join(F.array_sort(F.transform(shown, lambda e: F.concat(e["key"], F.lit("='"), e["value"], F.lit("'")))), ", ")
+    return F.when(F.size(shown) > 0, listed).otherwise("(none)")
 
 
-def embedding_input(label: Column) -> Column:
-    """Text by which a node is compared: its label's fields, joined by |; its id if they are all empty."""
+def embedding_input(label: Column, more: tuple[str, ...] = ()) -> Column:
+    """Text by which a node is compared: its label's fields, joined by |, without empty ones.
 
-    def parts(*names: str) -> Column:
-        return F.concat_ws("|", *(F.nullif(strip(F.col(n)), F.lit("")) for n in names))
+    more: which of the optional columns email and aliases (an array) there are.
+    """
 
-    text = (
-        F.when(label == "Person", parts("display_name", "canonical_id", "handle"))
-        .when(label == "Decision", parts("title", "content"))
-        .otherwise(parts("canonical_name", "display_name"))
+    def filled(column: Column) -> Column:
+        return F.nullif(column, F.lit(""))
+
+    def parts(*columns: Column) -> Column:
+        return F.concat_ws("|", *(filled(c) for c in columns))
+
+    def named(name: str) -> Column:
+        return F.coalesce(filled(F.col(name)), F.col("id"))
+
+    email = [F.col("email")] if "email" in more else []
+    aliases = [F.array_join("aliases", " ")] if "aliases" in more else []
+    return (
+        F.when(label == "Person", parts(named("display_name"), F.col("handle"), *email))
+        .when(label.isin("Service", "System"), parts(named("canonical_name"), *aliases))
+        .when(label == "Team", parts(named("canonical_name"), F.col("display_name")))
+        .otherwise(parts(F.col("id"), F.col("title")))
     )
-    return F.coalesce(F.nullif(text, F.lit("")), F.col("id"))
 
 
 def duration_ms(started: Column, completed: Column) -> Column:

@@ -420,7 +420,7 @@ def supersedes_regex(spark, sf):
 
 #: Messages: turns with an order's id, or a supplier's name and a cue, put before their text.
 TALK = "CASE WHEN turn % 3 = 0 THEN 'about D-' || (conv_id % 50) || ': ' WHEN turn % 3 = 1 THEN 'not Supplier#' || lpad((conv_id % 20)::VARCHAR, 9, '0') || ' again. ' ELSE '' END || text"
-CUES = " OR ".join(f"contains(lower(m.content), '{c}')" for c in text.OPPOSITION_CUES)
+CUES = " OR ".join("contains(lower(m.content), '" + c.replace("'", "''") + "')" for c in text.OPPOSITION_CUES)
 
 
 @query("contradiction_candidates", f"""WITH m AS (SELECT 'msg-' || conv_id || '-' || turn AS id, {TALK} AS content FROM conversations), d AS (SELECT 'D-' || s_suppkey AS id, s_name AS subject FROM supplier),
@@ -517,8 +517,8 @@ def revert_event(spark, sf):
 
 @query("endpoint_violations", f"""{GRAPH}, p AS (SELECT e.edge_type, e.src, e.dst, a.label AS src_label, b.label AS dst_label FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst)
 SELECT * FROM p WHERE edge_type <> 'MERGE_INTO' AND NOT ((edge_type = 'OWNED_BY' AND src_label IN ('Service', 'System') AND dst_label IN ('Team', 'Person')) OR (edge_type = 'MEMBER_OF' AND src_label = 'Person' AND dst_label = 'Team')
- OR (edge_type = 'DEPENDS_ON' AND src_label IN ('Service', 'System') AND dst_label IN ('Service', 'System')) OR (edge_type IN ('DEPRECATES', 'ABOUT') AND src_label = 'Decision' AND dst_label IN ('Service', 'System'))
- OR (edge_type = 'SUPERSEDES' AND src_label = 'Decision' AND dst_label = 'Decision') OR (edge_type = 'APPROVED_BY' AND src_label = 'Decision' AND dst_label = 'Person') OR (edge_type = 'CONTRADICTS' AND src_label = 'Message' AND dst_label = 'Decision'))""")
+ OR (edge_type = 'DEPENDS_ON' AND src_label = 'Service' AND dst_label IN ('Service', 'System')) OR (edge_type = 'ABOUT' AND src_label = 'Decision' AND dst_label IN ('Service', 'System')) OR (edge_type = 'DEPRECATES' AND src_label = 'Decision' AND dst_label = 'System')
+ OR (edge_type = 'SUPERSEDES' AND src_label = 'Decision' AND dst_label = 'Decision') OR (edge_type = 'APPROVED_BY' AND src_label = 'Decision' AND dst_label = 'Person') OR (edge_type = 'CONTRADICTS' AND src_label IN ('Person', 'Message') AND dst_label = 'Decision'))""")
 def endpoint_violations(spark, sf):
     return extraction.endpoint_violations(*_graph(spark, sf))
 
@@ -744,7 +744,7 @@ def reachable_set(spark, sf):
     return traverse.reachable(_halves(spark, sf), spark.range(3, 4).select(F.col("id").alias("node")))
 
 
-@query("embedding_input", f"WITH {NODES} SELECT node_id, coalesce(nullif(CASE label WHEN 'Person' THEN concat_ws('|', nullif(display_name, ''), nullif(canonical_id, ''), nullif(handle, '')) WHEN 'Decision' THEN concat_ws('|', nullif(title, ''), nullif(content, '')) ELSE concat_ws('|', nullif(canonical_name, ''), nullif(display_name, '')) END, ''), id) AS input FROM nodes")
+@query("embedding_input", f"WITH {NODES} SELECT node_id, CASE label WHEN 'Person' THEN concat_ws('|', coalesce(display_name, id), handle) WHEN 'Service' THEN coalesce(canonical_name, id) WHEN 'System' THEN coalesce(canonical_name, id) WHEN 'Team' THEN concat_ws('|', coalesce(canonical_name, id), display_name) ELSE concat_ws('|', id, title) END AS input FROM nodes")
 def embedding_input(spark, sf):
     return tables.nodes(spark, sf).select("node_id", text.embedding_input(F.col("label")).alias("input"))
 
