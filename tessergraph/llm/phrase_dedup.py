@@ -29,7 +29,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +37,17 @@ from tessergraph.llm.common import as_bytes, drop, map_rows, prepare, window_has
 WINDOW, ANCHOR = 13, 5
 #: Documents of an anchor above which its windows are routed one by one.
 COMMON = 1000
-#: Distinct stretches of an automaton.
-SHARD_ROWS = 20_000
+#: Distinct stretches of an automaton, about: its root is searched in line, so many small automata beat a large one.
+SHARD_ROWS = 300
 
 
 def anchors_of(words: np.ndarray) -> np.ndarray:
     """The anchor of each window."""
-    return sliding_window_view(window_hashes(words, ANCHOR), WINDOW - ANCHOR + 1).min(1)
+    low, width, wanted = window_hashes(words, ANCHOR), 1, WINDOW - ANCHOR + 1
+    while width < wanted:  # least of ever wider windows
+        step = min(width, wanted - width)
+        low, width = np.minimum(low[:-step], low[step:]), width + step
+    return low
 
 
 def outline(docs: DataFrame) -> DataFrame:
@@ -104,11 +107,13 @@ def stretches(docs: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def locate(rows: list[tuple[int, int, bytes, int, int]]) -> Iterator[tuple[int, int, list[int], list[int]]]:
     """(shard, content, words, first document, last document) of one shard -> shard, content, places of recurring windows and their first documents."""
-    texts = [np.frombuffer(r[2], "<u4") for r in rows]
-    sizes = np.array([len(t) - WINDOW + 1 for t in texts])
+    words = np.frombuffer(b"".join(r[2] for r in rows), "<u4")
+    lengths = np.array([len(r[2]) // 4 for r in rows])
+    starts = np.cumsum(lengths) - lengths
+    sizes = lengths - WINDOW + 1
     row = np.repeat(np.arange(len(rows)), sizes)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hashes = np.concatenate([window_hashes(t.astype(np.uint64), WINDOW) for t in texts])
+    at = starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hashes = window_hashes(words.astype(np.uint64), WINDOW)[at]  # of one array; windows over two texts are left out
     first, last = np.array([r[3] for r in rows])[row], np.array([r[4] for r in rows])[row]
     order = np.argsort(hashes, kind="stable")
     begins = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
@@ -118,14 +123,15 @@ def locate(rows: list[tuple[int, int, bytes, int, int]]) -> Iterator[tuple[int,
         return
     phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     owners = owner[again].tolist()
-    for k, i in enumerate(order[begins[again]].tolist()):
-        at = place[i]
-        phrases.add_word(tuple(texts[row[i]][at : at + WINDOW].tolist()), k)
+    flat = words.tolist()
+    for k, x in enumerate(at[order[begins[again]]].tolist()):
+        phrases.add_word(tuple(flat[x : x + WINDOW]), k)
     phrases.make_automaton()
-    for r, text in zip(rows, texts):
-        found = list(phrases.iter(tuple(text.tolist())))
+    recurs = np.repeat(again, np.diff(np.append(begins, len(order))))
+    for j in np.unique(row[order[recurs]]).tolist():
+        found = list(phrases.iter(tuple(flat[starts[j] : starts[j] + lengths[j]])))
         if found:
-            yield r[0], r[1], [end - WINDOW + 1 for end, _ in found], [owners[k] for _, k in found]
+            yield rows[j][0], rows[j][1], [end - WINDOW + 1 for end, _ in found], [owners[k] for _, k in found]
 
 
 def located(contents: DataFrame, shards: int) -> DataFrame:
