@@ -3,10 +3,11 @@
 Markup is stripped so that every block element is a line. A line's length
 counts only if it is not page furniture: menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments are lines of length 0, told by
-element, role, and the words of class and id. Where a page marks its article,
-so is all outside of it; elsewhere linked text doesn't count. Lengths are
-summed over sliding windows of lines: text begins where a sum surges over the
-threshold and ends where it dives to nothing, and the lines between are kept.
+element, role, and the words of class and id. What a page marks as its article
+is kept whole. Elsewhere, on pages with an article too, linked text doesn't
+count, and lengths are summed over sliding windows of lines: text begins where
+a sum surges over the threshold and ends where it dives to nothing, and the
+lines between are kept.
 """
 
 from __future__ import annotations
@@ -123,15 +124,12 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    marked = any(inside and not furniture for _, furniture, inside, _ in lines)
-    lengths = np.array(
-        [0 if furniture or (marked and not inside) else len(text) if marked else max(0, len(text) - linked) for text, furniture, inside, linked in lines],
-        np.int64,
-    )
+    article = np.array([inside for _, _, inside, _ in lines], bool)
+    lengths = np.array([0 if furniture else len(text) if inside else max(0, len(text) - linked) for text, furniture, inside, linked in lines], np.int64)
     if not lengths.any():
         return ""
     sums = np.convolve(lengths, np.ones(LINES, np.int64))
-    kept = surges(lengths, 1 if marked else min(SURGE, SURGE_SHARE * sums.max()))
+    kept = article | surges(np.where(article, 0, lengths), min(SURGE, SURGE_SHARE * sums.max()))
     return "\n".join(line[0] for line, k, n in zip(lines, kept, lengths) if k and n)
 
 

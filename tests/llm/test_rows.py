@@ -35,6 +35,15 @@ def test_main_text(page, text):
     assert main_text.main_text(page) == text
 
 
+def test_text_outside_an_article_is_kept_by_its_lengths():
+    body = ["a long line of the main text, which no element marks, " * 3 for _ in range(4)]
+    card = '<article><p>A teaser card</p></article><ul><li><a href="x">a link</a></li></ul>'
+    page = f"<nav>menu</nav>{card}<div>{''.join(f'<p>{x}</p>' for x in body)}</div><footer>foot</footer>"
+    assert main_text.main_text(page).split("\n") == ["A teaser card", *(x.strip() for x in body)]
+    page = f"<p>a stray line</p><article>{''.join(f'<p>{x}</p>' for x in ['Title', *body, 'end'])}</article><p>another</p>"
+    assert main_text.main_text(page).split("\n") == ["Title", *(x.strip() for x in body), "end"]
+
+
 def test_pages_of_the_table(spark):
     rows = queries.op1_main_text(spark, SF).collect()
     assert all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
