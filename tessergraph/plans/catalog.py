@@ -503,6 +503,25 @@ def provenance_orphans(spark, sf):
     return extraction.provenance_orphans(tables.nodes(spark, sf), _known(spark, sf))
 
 
+#: The same over the whole log; the two queries above keep the log of an older state.
+CITED_WHOLE = f"WITH {NODES}, c AS (SELECT node_id, unnest(source_event_ids) AS event_id FROM nodes), known AS (SELECT 'ev-' || event_id AS id FROM events UNION ALL SELECT 'doc-' || doc_id FROM documents)"
+
+
+def _known_whole(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.table(spark, sf, "documents").select(tables.name_of("doc-", "doc_id"))
+    return tables.raw_events(spark, sf).select("id").union(docs)
+
+
+@query("provenance_missing_whole_log", f"{CITED_WHOLE} SELECT event_id, count(*)::BIGINT AS n_nodes FROM c WHERE event_id NOT IN (SELECT id FROM known) GROUP BY 1")
+def provenance_missing_whole_log(spark, sf):
+    return extraction.provenance_missing(tables.nodes(spark, sf), _known_whole(spark, sf))
+
+
+@query("provenance_orphans_whole_log", f"{CITED_WHOLE} SELECT id AS event_id FROM known WHERE id NOT IN (SELECT event_id FROM c)")
+def provenance_orphans_whole_log(spark, sf):
+    return extraction.provenance_orphans(tables.nodes(spark, sf), _known_whole(spark, sf))
+
+
 @query("graph_scope_new", f"WITH {NODES} SELECT node_id, event_id, n = 1 AS newly_created FROM (SELECT node_id, unnest(source_event_ids) AS event_id, len(source_event_ids) AS n FROM nodes) WHERE event_id IN (SELECT 'ev-' || event_id FROM events WHERE event_type = 'signup')")
 def graph_scope_new(spark, sf):
     scope = tables.table(spark, sf, "events").where("event_type = 'signup'").select(tables.name_of("ev-", "event_id").alias("id"))
