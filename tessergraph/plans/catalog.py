@@ -707,6 +707,15 @@ def text_normalize(spark, sf):
     return tables.table(spark, sf, "documents").select("doc_id", text.normalized(F.concat(F.lit("@@ "), F.substring("text", 1, 30), F.lit(" "))).alias("name"))
 
 
+#: The same of whole texts; text_normalize keeps to heads of 30 characters.
+WHOLE = "'@@ ' || text || ' '"
+
+
+@query("text_normalize_whole", f"SELECT doc_id, {NORMAL.format(x=WHOLE)} AS name FROM documents")
+def text_normalize_whole(spark, sf):
+    return tables.table(spark, sf, "documents").select("doc_id", text.normalized(F.concat(F.lit("@@ "), "text", F.lit(" "))).alias("name"))
+
+
 @query("text_slug", "SELECT p_partkey, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (SELECT p_partkey, " + NORMAL.format(x="CASE WHEN p_partkey % 5 = 0 THEN '@ - ' ELSE p_name || ' ' || p_type END") + " AS s FROM part)")
 def text_slug(spark, sf):
     name = F.when(F.col("p_partkey") % 5 == 0, "@ - ").otherwise(F.concat("p_name", F.lit(" "), "p_type"))
