@@ -651,6 +651,32 @@ def eval_search_report(spark, sf):
     return evaluation.search_report(evaluation.recall_mrr(*_ranked(spark, sf)))
 
 
+#: The same over all rows: questions are the vectors with ids divisible by 20, ranked are all vectors, right answers all of the question's label, or none for every fifth question.
+RANKED_ALL = """WITH q AS (SELECT vec_id AS question, label FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT question, e.vec_id AS item, row_number() OVER (PARTITION BY question ORDER BY (e.vec_id * 7919 + question) % 503, e.vec_id) AS place FROM q CROSS JOIN embeddings e),
+x AS (SELECT question, e.vec_id AS item FROM q LEFT JOIN embeddings e ON q.label = e.label AND question % 100 <> 0)"""
+RECALL_ALL = RECALL.replace(RANKED, RANKED_ALL)
+
+
+def _ranked_all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    e = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("l"))
+    q = e.where("item % 20 = 0").select(F.col("item").alias("question"), F.col("l").alias("label"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy((F.col("item") * 7919 + F.col("question")) % 503, "item"))
+    ranked = q.crossJoin(e).select("question", "item", place.alias("place"))
+    return ranked, q.join(e, (F.col("label") == F.col("l")) & (F.col("question") % 100 != 0), "left").select("question", "item")
+
+
+@query("eval_recall_mrr_all", RECALL_ALL)
+def eval_recall_mrr_all(spark, sf):
+    return evaluation.recall_mrr(*_ranked_all(spark, sf))
+
+
+@query("eval_search_report_all", f"WITH per AS ({RECALL_ALL}) SELECT round(avg(recall), 6) AS mean_recall, round(avg(reciprocal_rank), 6) AS mrr, avg(recall) >= 0.7 AND avg(reciprocal_rank) >= 0.5 AS passed FROM per")
+def eval_search_report_all(spark, sf):
+    return evaluation.search_report(evaluation.recall_mrr(*_ranked_all(spark, sf)))
+
+
 @query("eval_jaccard", """WITH w AS (SELECT conv_id, list_distinct(list(role) FILTER (WHERE turn % 2 = 0)) AS a, list_distinct(list(role) FILTER (WHERE turn % 3 = 0)) AS b FROM conversations GROUP BY 1), x AS (SELECT conv_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM w)
 SELECT conv_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM x""")
 def eval_jaccard(spark, sf):
@@ -673,6 +699,16 @@ def eval_failure_modes(spark, sf):
     return evaluation.failure_modes(rows.where("vec_id < 250").withColumn("type", F.col("label").cast("string")), found)
 
 
+@query("eval_failure_modes_all", """WITH v AS (SELECT 'k' || lpad(vec_id::VARCHAR, 12, '0') AS key, label, vec_id FROM embeddings), e AS (SELECT key, list_sort(list_distinct(list(label::VARCHAR))) AS t FROM v WHERE vec_id % 6 <> 5 GROUP BY 1),
+f AS (SELECT key, list_sort(list_distinct(list((label + CASE WHEN vec_id % 9 = 0 THEN 1 ELSE 0 END)::VARCHAR))) AS t FROM v WHERE vec_id % 6 <> 0 GROUP BY 1),
+w AS (SELECT coalesce(e.key, f.key) AS key, CASE WHEN f.t IS NULL THEN 'missed_entity' WHEN e.t IS NULL THEN 'invented_entity' WHEN e.t <> f.t THEN 'mistyped_entity' END AS mode FROM e FULL JOIN f ON e.key = f.key),
+n AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY key) AS place FROM w WHERE mode IS NOT NULL) SELECT mode, count(*)::BIGINT AS n, string_agg(key, ',' ORDER BY key) FILTER (WHERE place <= 3) AS examples FROM n GROUP BY 1""")
+def eval_failure_modes_all(spark, sf):
+    rows = tables.table(spark, sf, "embeddings").select("vec_id", "label", F.lit("entity").alias("kind"), F.concat(F.lit("k"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("key"))
+    found = rows.where("vec_id % 6 != 0").withColumn("type", (F.col("label") + F.when(F.col("vec_id") % 9 == 0, 1).otherwise(0)).cast("string"))
+    return evaluation.failure_modes(rows.where("vec_id % 6 != 5").withColumn("type", F.col("label").cast("string")), found)
+
+
 @query("eval_truth_pairs", "SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = b.vec_id % 50 AND a.vec_id < b.vec_id")
 def eval_truth_pairs(spark, sf):
     return evaluation.truth_pairs(tables.table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("group"), F.col("vec_id").alias("member")))
