@@ -42,9 +42,10 @@ def by_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def by_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of earlier documents; documents of which no word is left go."""
     prepare(spark)
-    cut = phrase_dedup.without_repeats(docs).where("kept_text IS NOT NULL").groupBy("doc_id").agg(F.first("kept_text").alias("kept_text"))
+    cut = phrase_dedup.without_repeats(docs).where("kept_text IS NOT NULL").select("doc_id", "words_sha256", "kept_text").dropDuplicates(["doc_id", "words_sha256"])
     text = F.coalesce("kept_text", "text")
-    rows = docs.join(cut, "doc_id", "left").where("kept_text IS NULL OR kept_text != ''")
+    named = docs.withColumn("words_sha256", phrase_dedup.words_digest(F.col("text")))
+    rows = named.join(cut, ["doc_id", "words_sha256"], "left").where("kept_text IS NULL OR kept_text != ''")
     return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
@@ -61,7 +62,7 @@ STAGES = [
     ("packing", by_packing),
 ]
 
-#: Languages, similarities and tokens are beyond SQL; tests compare run() with a brute-force version.
+#: Languages, similarities and tokens are beyond SQL; a test compares the substring stage with a brute-force version, none all of run().
 ORACLE_SQL = None
 
 

@@ -29,7 +29,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm.common import as_bytes, drop, map_rows, prepare, window_hashes, word_hashes, written
@@ -188,12 +188,17 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     return seen.drop("anchors"), hits
 
 
+def words_digest(text: Column) -> Column:
+    return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")).cast("binary"), 256)
+
+
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: its id, n_words, n_removed, kept_sha256, and ``kept_text`` where words were removed.
+    """One row per document: its id, n_words, n_removed, kept_sha256, ``kept_text`` where words were removed, and words_sha256.
 
     kept_text is null where nothing was removed. Null and empty texts have no
     words; texts shorter than a window keep all; a null id loses nothing. Rows
     of one id lose nothing to each other.
+    words_sha256, of all words with single spaces between (`words_digest`), tells rows of one id apart.
     """
     spark = docs.sparkSession
     seen, hits = repeated_passages(docs, id_column, text_column)
@@ -217,7 +222,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 gone = np.cumsum(steps)[: len(words)] > 0
                 left = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 text = b" ".join(left)
-                for name, value in zip(out, (key, d0, len(left), hashlib.sha256(text).hexdigest(), text.decode())):
+                for name, value in zip(out, (key, d0, len(left), hashlib.sha256(text).hexdigest(), text.decode() if len(left) < len(words) else None)):
                     out[name].append(value)
             return out
 
@@ -233,4 +238,5 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce(F.col("n_words") - F.col("n_left"), F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
         F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        F.col("sha").alias("words_sha256"),
     )

@@ -145,3 +145,23 @@ def test_kept_text_and_empty_tables(spark):
     got = {r["doc_id"]: r["kept_text"] for r in phrase_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: None, 2: "a b", 3: "", 4: None}
     assert phrase_dedup.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_substring_stage_of_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    common = " ".join(f"w{i}" for i in range(20))
+    texts = [(1, common), (2, "own words before " + common + " and after"), (2, "an untouched\ttext  of the same id é"), (2, common), (2, ""), (2, None), (3, "x " + common), (3, "y"), (None, common)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    want = []
+    for i, t in texts:
+        words, gone = (t or "").split(), set()
+        for k in range(len(words) - 12):
+            gram = " ".join(words[k : k + 13])
+            if i is not None and any(j is not None and j < i and gram in " ".join((u or "").split()) for j, u in texts):
+                gone.update(range(k, k + 13))
+        left = t if not gone else " ".join(w for k, w in enumerate(words) if k not in gone)
+        if not gone or left:
+            want.append((i, left))
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.by_substring_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
