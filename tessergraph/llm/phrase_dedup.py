@@ -7,17 +7,19 @@ smaller id. All such windows are found, without comparing documents:
    windows have equal anchors, and a text has few. Anchors found in two
    documents may lie in recurring passages; windows of other anchors cannot
    recur.
-2. The stretches of text around such anchors are routed to the anchor's shard.
-   Equal stretches are one there, however many documents hold them.
-3. In each shard recurring windows are confirmed, compiled into an
-   Aho-Corasick automaton over word numbers, and all stretches are streamed
-   through it; each match gives the first document that has the phrase.
+2. The stretches of text around such anchors, words and all, are routed to the
+   anchor's shard. Equal stretches are one there, however many documents hold
+   them.
+3. In each shard the words themselves are numbered, so that equal numbers are
+   equal words. Recurring windows are confirmed, compiled into an Aho-Corasick
+   automaton over the numbers, and all stretches are streamed through it; each
+   match gives the first document that has the phrase. Hashes only propose.
 4. Matches go back to the documents, which drop the covered words.
 
 An anchor of very many documents is routed window by window, so neither common
 phrases nor common beginnings make a large shard. Documents whose words are
-the same throughout count once; of copies with at least one window everything
-goes.
+the same throughout (by a 128-bit digest) count once; of copies with at least
+one window everything goes.
 """
 
 from __future__ import annotations
@@ -50,40 +52,41 @@ def anchors_of(words: np.ndarray) -> np.ndarray:
     return low
 
 
+def text_digest(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart; of null it is that of an empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def outline(docs: DataFrame) -> DataFrame:
-    """key, digest (d0, d1) of the words, their number, sha256 of them all, and the distinct anchors."""
+    """key, t0 (see `text_digest`), digest (d0, d1) of the words, their number, and the distinct anchors."""
 
     def make():
         def one(batch):
-            out: dict[str, list] = {k: [] for k in ("d0", "d1", "n_words", "sha", "anchors")}
-            for data in as_bytes(batch.column(1)):
+            out: dict[str, list] = {k: [] for k in ("d0", "d1", "n_words", "anchors")}
+            for data in as_bytes(batch.column(2)):
                 words = (data or b"").split()
-                text = b" ".join(words)
-                d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(text), np.int64).tolist()
+                d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64).tolist()
                 anchors = np.unique(anchors_of(word_hashes(words))).view(np.int64) if len(words) >= WINDOW else []
-                for name, value in zip(out, (d0, d1, len(words), hashlib.sha256(text).hexdigest(), anchors)):
+                for name, value in zip(out, (d0, d1, len(words), anchors)):
                     out[name].append(value)
-            return {"key": batch.column(0)} | out
+            return {"key": batch.column(0), "t0": batch.column(1)} | out
 
         return one
 
-    return map_rows(docs, "key long, d0 long, d1 long, n_words long, sha string, anchors array<long>", make)
+    return map_rows(docs, "key long, t0 long, d0 long, d1 long, n_words long, anchors array<long>", make)
 
 
 def stretches(docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """shard, content, key, d0, start and words (uint32) around the flagged anchors of each document."""
+    """shard, content, key, t0, start and words (single spaces between) around the flagged anchors of each document."""
 
     def make():
         def one(batch):
-            out: dict[str, list] = {k: [] for k in ("shard", "content", "key", "d0", "start", "words")}
-            for key, data, anchors, common in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), batch.column(3)):
+            out: dict[str, list] = {k: [] for k in ("shard", "content", "key", "t0", "start", "words")}
+            for key, t0, data, anchors, common in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3), batch.column(4)):
                 words = (data or b"").split()
                 if len(words) < WINDOW:
                     continue
-                d0 = int(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)[0])
-                full = word_hashes(words)
-                short = (full >> np.uint64(32)).astype("<u4")
-                each = anchors_of(full).view(np.int64)
+                each = anchors_of(word_hashes(words)).view(np.int64)
                 begins = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1])))
                 ends = np.append(begins[1:], len(each))
                 common_at = dict(zip(anchors.values.to_pylist(), common.values.to_pylist()))
@@ -92,38 +95,50 @@ def stretches(docs: DataFrame, flagged: DataFrame) -> DataFrame:
                     a, b, anchor = int(begins[i]), int(ends[i]), int(each[begins[i]])
                     parts = [(a, b)] if not common_at[anchor] else [(k, k + 1) for k in range(a, b)]
                     for x, y in parts:
-                        held = short[x : y + WINDOW - 1].tobytes()
-                        content = xxhash.xxh3_64_intdigest(held) - (1 << 63)
-                        shard = content if common_at[anchor] else anchor
-                        for name, value in zip(out, (shard, content, key, d0, x, held)):
+                        held = b" ".join(words[x : y + WINDOW - 1])
+                        content, other = np.frombuffer(xxhash.xxh3_128_digest(held), np.int64).tolist()
+                        shard = other if common_at[anchor] else anchor
+                        for name, value in zip(out, (shard, content, key, t0, x, held)):
                             out[name].append(value)
             return out if out["key"] else None
 
         return one
 
-    met = docs.join(flagged, "key").select("key", "text", "anchors", "common")
-    return map_rows(met, "shard long, content long, key long, d0 long, start int, words binary", make)
+    met = docs.join(flagged, "key").select("key", "t0", "text", "anchors", "common")
+    return map_rows(met, "shard long, content long, key long, t0 long, start int, words binary", make)
+
+
+def _groups(numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which equal windows (WINDOW numbers from each place of ``at``) stand together, and where each group begins."""
+    hashes = window_hashes(numbers.astype(np.uint64), WINDOW)[at]
+    order = np.argsort(hashes, kind="stable")
+    begins = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
+    windows = numbers[at[order, None] + np.arange(WINDOW)]
+    if (windows == np.repeat(windows[begins], np.diff(np.append(begins, len(at))), axis=0)).all():
+        return order, begins
+    _, group = np.unique(numbers[at[:, None] + np.arange(WINDOW)], axis=0, return_inverse=True)  # two windows share a hash
+    order = np.argsort(group.ravel(), kind="stable")
+    return order, np.flatnonzero(np.concatenate(([True], np.diff(group.ravel()[order]) != 0)))
 
 
 def locate(rows: list[tuple[int, int, bytes, int, int]]) -> Iterator[tuple[int, int, list[int], list[int]]]:
     """(shard, content, words, first document, last document) of one shard -> shard, content, places of recurring windows and their first documents."""
-    words = np.frombuffer(b"".join(r[2] for r in rows), "<u4")
-    lengths = np.array([len(r[2]) // 4 for r in rows])
+    number: dict[bytes, int] = {}
+    texts = [r[2].split(b" ") for r in rows]
+    flat = [number.setdefault(w, len(number)) for words in texts for w in words]
+    lengths = np.array(list(map(len, texts)))
     starts = np.cumsum(lengths) - lengths
     sizes = lengths - WINDOW + 1
     row = np.repeat(np.arange(len(rows)), sizes)
-    at = starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hashes = window_hashes(words.astype(np.uint64), WINDOW)[at]  # of one array; windows over two texts are left out
+    at = starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # windows over two texts are left out
+    order, begins = _groups(np.array(flat, np.uint32), at)
     first, last = np.array([r[3] for r in rows])[row], np.array([r[4] for r in rows])[row]
-    order = np.argsort(hashes, kind="stable")
-    begins = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
     owner = np.minimum.reduceat(first[order], begins)
     again = owner < np.maximum.reduceat(last[order], begins)
     if not again.any():
         return
     phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     owners = owner[again].tolist()
-    flat = words.tolist()
     for k, x in enumerate(at[order[begins[again]]].tolist()):
         phrases.add_word(tuple(flat[x : x + WINDOW]), k)
     phrases.make_automaton()
@@ -159,84 +174,79 @@ def located(contents: DataFrame, shards: int) -> DataFrame:
     return dealt.select("bucket", "shard", "content", "words", "first", "last").mapInArrow(run, "shard long, content long, places array<int>, owners array<long>")
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(outline, hits): hits has key, d0 and the starts of all windows that begin in a document of smaller id, but for whole copies."""
-    spark = docs.sparkSession
-    prepare(spark)
-    named = docs.select(docs[id_column].cast("long").alias("key"), docs[text_column].alias("text"))
-    seen, seen_path = written(outline(named), "outline")
-    usable = seen.where("key IS NOT NULL AND n_words > 0")
-    firsts = usable.groupBy("d0", "d1").agg(F.min("key").alias("first"))
-    live = usable.join(firsts, ["d0", "d1"]).where("key = first").select("key", F.explode("anchors").alias("anchor"))
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """docs: key, t0 and text. Written table of key, t0, ``starts`` of the windows that begin in a document of smaller id, and ``whole``.
+
+    whole: all words of the row are those of a document of smaller id. Rows
+    that lose nothing are left out.
+    """
+    prepare(docs.sparkSession)
+    seen, seen_path = written(outline(docs), "outline")
+    usable = seen.where(f"key IS NOT NULL AND n_words >= {WINDOW}")
+    # Only groups of copies are written, so the joins with them are of two dealt sides and a hot group's rows can be split.
+    firsts = usable.groupBy("d0", "d1").agg(F.min("key").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    firsts, firsts_path = written(firsts, "firsts")
+    live = usable.join(firsts, ["d0", "d1"], "left").where("key = coalesce(first, key)").select("key", F.explode("anchors").alias("anchor"))
     live, live_path = written(live, "anchors")
 
     repeated = live.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("docs")).where("lo < hi")
     flagged = live.join(repeated, "anchor").select("key", "anchor", (F.col("docs") > COMMON).alias("is_common"))
     flagged = flagged.groupBy("key").agg(F.collect_list(F.struct("anchor", "is_common")).alias("x"))
     flagged, flagged_path = written(flagged.select("key", F.col("x.anchor").alias("anchors"), F.col("x.is_common").alias("common")), "flagged")
-    drop(spark, live_path)
+    drop(docs.sparkSession, live_path)
 
-    parts, parts_path = written(stretches(named, flagged), "stretches")
+    parts, parts_path = written(stretches(docs, flagged), "stretches")
     contents = parts.groupBy("shard", "content").agg(F.first("words").alias("words"), F.min("key").alias("first"), F.max("key").alias("last"))
     shards = parts.count() // SHARD_ROWS + 1
     places, places_path = written(located(contents, shards), "located")
-    hits = parts.select("shard", "content", "key", "d0", "start").join(places, ["shard", "content"])
+    hits = parts.select("shard", "content", "key", "t0", "start").join(places, ["shard", "content"])
     starts = F.expr("transform(filter(arrays_zip(places, owners), x -> x.owners < key), x -> start + x.places)")
-    hits = hits.select("key", "d0", starts.alias("starts")).where("size(starts) > 0")
-    hits, _ = written(hits.groupBy("key", "d0").agg(F.flatten(F.collect_list("starts")).alias("starts")), "hits")
-    drop(spark, flagged_path, parts_path, places_path)
-    return seen.drop("anchors"), hits
+    hits = hits.select("key", "t0", starts.alias("starts"), F.lit(False).alias("whole")).where("size(starts) > 0")
+    copies = usable.select("key", "t0", "d0", "d1").join(firsts, ["d0", "d1"]).where("key > first")
+    lost = hits.union(copies.select("key", "t0", F.array().cast("array<int>"), F.lit(True)).distinct())
+    lost, _ = written(lost.groupBy("key", "t0").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("whole").alias("whole")), "lost")
+    drop(docs.sparkSession, seen_path, firsts_path, flagged_path, parts_path, places_path)
+    return lost
 
 
-def words_digest(text: Column) -> Column:
-    return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")).cast("binary"), 256)
+FIELDS = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: its id, n_words, n_removed, kept_sha256, ``kept_text`` where words were removed, and words_sha256.
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its id, the ``carry`` columns, n_words, n_removed, kept_sha256 and, where words were removed, ``kept_text``.
 
-    kept_text is null where nothing was removed. Null and empty texts have no
-    words; texts shorter than a window keep all; a null id loses nothing. Rows
-    of one id lose nothing to each other.
-    words_sha256, of all words with single spaces between (`words_digest`), tells rows of one id apart.
+    Ids are integers. Null and empty texts have no words; texts shorter than a
+    window keep all; a null id loses nothing. Rows of one id are judged each by
+    its own text and lose nothing to each other. kept_text is null where
+    nothing was removed. Only the columns named are read, so others can't
+    clash; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    seen, hits = repeated_passages(docs, id_column, text_column)
-    firsts = seen.where("key IS NOT NULL").groupBy("d0", "d1").agg(F.min("key").alias("first"))
-    copy = seen.join(firsts, ["d0", "d1"], "left").withColumn("copy", F.coalesce((F.col("first") < F.col("key")) & (F.col("n_words") >= WINDOW), F.lit(False)))
-
-    cut = hits.groupBy("key").agg(F.collect_list(F.struct("d0", "starts")).alias("cuts"))
-    named = docs.select(docs[id_column].cast("long").alias("key"), docs[text_column].alias("text"))
+    names = [id_column, *(c for c in carry if c != id_column)]
+    named = docs.select(docs[id_column].cast("long").alias("key"), text_digest(docs[text_column]).alias("t0"), docs[text_column].alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(names)))
+    lost = repeated_passages(named.select("key", "t0", "text")).withColumnsRenamed({"key": "_key", "t0": "_t0"})
+    met = named.join(lost, (named["key"] == lost["_key"]) & (named["t0"] == lost["_t0"]), "left").drop("key", "t0", "_key", "_t0")
+    held = [f"c{i}" for i in range(len(names))]
 
     def make():
         def one(batch):
-            out: dict[str, list] = {k: [] for k in ("key", "d0", "n_left", "sha", "kept_text")}
-            for key, data, cuts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                words = (data or b"").split()
-                d0 = int(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)[0])
-                steps = np.zeros(len(words) + WINDOW + 1, np.int32)
-                for c in cuts:
-                    if c["d0"] == d0:
-                        np.add.at(steps, c["starts"], 1)
-                        np.add.at(steps, np.array(c["starts"]) + WINDOW, -1)
-                gone = np.cumsum(steps)[: len(words)] > 0
-                left = [words[i] for i in np.flatnonzero(~gone).tolist()]
+            column = dict(zip(batch.schema.names, batch.columns))
+            out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "kept_text")}
+            for data, starts, whole in zip(as_bytes(column["text"]), column["starts"], column["whole"].to_pylist()):
+                words = left = (data or b"").split()
+                if whole:
+                    left = []
+                elif starts.is_valid:
+                    at = starts.values.to_numpy()
+                    steps = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
+                    left = [words[i] for i in np.flatnonzero(np.cumsum(steps)[:-1] == 0).tolist()]
                 text = b" ".join(left)
-                for name, value in zip(out, (key, d0, len(left), hashlib.sha256(text).hexdigest(), text.decode() if len(left) < len(words) else None)):
+                gone = len(words) - len(left)
+                for name, value in zip(out, (len(words), gone, hashlib.sha256(text).hexdigest(), text.decode() if gone else None)):
                     out[name].append(value)
-            return out
+            return {c: column[c] for c in held} | out
 
         return one
 
-    shortened = map_rows(named.join(cut, "key").select("key", "text", "cuts"), "key long, d0 long, n_left long, sha string, kept_text string", make)
-    shortened = shortened.dropDuplicates(["key", "d0"]).withColumnRenamed("sha", "left_sha")
-    met = copy.join(shortened, ["key", "d0"], "left")
-    nothing = hashlib.sha256(b"").hexdigest()
-    return met.select(
-        F.col("key").alias(id_column),
-        "n_words",
-        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce(F.col("n_words") - F.col("n_left"), F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
-        F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-        F.col("sha").alias("words_sha256"),
-    )
+    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    rows = map_rows(met.select(*held, "text", "starts", "whole"), f"{kinds}, {FIELDS}", make)
+    return rows.withColumnsRenamed({f"c{i}": c for i, c in enumerate(names)})

@@ -139,6 +139,37 @@ def test_removed_words_equal_brute_force(spark, monkeypatch, common):
     assert sorted(map(tuple, got), key=str) == removed(rows)
 
 
+def test_words_of_like_hashes_are_not_taken_for_one(spark):
+    import xxhash
+
+    like = ("w57212", "w67677")
+    assert xxhash.xxh3_64_intdigest(like[0]) >> 32 == xxhash.xxh3_64_intdigest(like[1]) >> 32
+    same = [f"c{i}" for i in range(12)]
+    rows = [(k, " ".join([*same[: k % 13], like[k % 2], *same[k % 13 :]])) for k in range(13)] + [(50, " ".join([*same, like[0]])), (51, " ".join([*same, like[1]]))]
+    got = phrase_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows)
+    assert not any(r["n_removed"] for r in got if r["doc_id"] < 13)
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(phrase_dedup, "window_hashes", lambda words, n: np.zeros(len(words) - n + 1, np.uint64))
+    same, other = b" ".join(b"a%d" % i for i in range(13)), b" ".join(b"b%d" % i for i in range(13))
+    rows = [(1, 1, same, 3, 3), (1, 2, same + b" x", 5, 9), (1, 3, other, 1, 1)]
+    assert list(phrase_dedup.locate(rows)) == [(1, 1, [0], [3]), (1, 2, [0, 1], [3, 5])]
+
+
+def test_very_long_texts(spark):
+    draw = random.Random(4)
+    long = [f"w{draw.randrange(9000)}" for _ in range(25_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x", *long[5000:20_000], "y"])), (3, " ".join(long[:24_000] + ["z"] * 50)), (4, "q " * 30_000), (5, "q " * 20)]
+    got = phrase_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == removed(rows)
+    sets = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sets == groups(rows)
+
+
 def test_kept_text_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(20))
     rows = [(1, text), (2, f"a {text} b"), (3, text), (4, "short")]
