@@ -40,13 +40,16 @@ def by_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def by_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of earlier documents; documents of which no word is left go."""
+    """Texts without the passages of earlier documents; documents of which no word is left go.
+
+    Untouched texts stay as they are, white space too; null and empty texts
+    have nothing to lose and stay. Rows that share an id are cut each by its
+    own text. n_chars follows the text.
+    """
     prepare(spark)
-    cut = phrase_dedup.without_repeats(docs).where("kept_text IS NOT NULL").select("doc_id", "words_sha256", "kept_text").dropDuplicates(["doc_id", "words_sha256"])
+    rows = phrase_dedup.without_repeats(docs, carry=COLUMNS).where("kept_text IS NULL OR kept_text != ''")
     text = F.coalesce("kept_text", "text")
-    named = docs.withColumn("words_sha256", phrase_dedup.words_digest(F.col("text")))
-    rows = named.join(cut, ["doc_id", "words_sha256"], "left").where("kept_text IS NULL OR kept_text != ''")
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
