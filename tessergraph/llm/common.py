@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,17 +18,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessergraph.sources.store import hadoop_path, shared_folder
+
 #: Rows in one Arrow batch: bounds a Python worker's memory with long texts.
 ARROW_ROWS = 500
 #: Entries of a per-worker memo before its older half goes.
 MEMO_ENTRIES = 250_000
 
-_own_folders: dict[str, str] = {}
+#: Spark's own value of the batch size, which `prepare` replaces.
+DEFAULT_ROWS = "10000"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and this package on the Python workers' path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Small Arrow batches, unless the session names a size of its own, and this package on the Python workers' path."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
@@ -37,26 +40,10 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="tessergraph-")
-    return _own_folders[app]
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}-{name}"
-    fs, p = _hadoop_path(spark, path)
+    fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
     return path
 
@@ -74,7 +61,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
-        fs, p = _hadoop_path(spark, path)
+        fs, p = hadoop_path(spark, path)
         fs.delete(p, True)
 
 
@@ -112,6 +99,7 @@ def map_rows(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    prepare(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block element is a line. A line's length
-counts only if it is not page furniture: menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments are lines of length 0, told by
-element, role, and the words of class and id. What a page marks as its article
-is kept whole. Elsewhere, on pages with an article too, linked text doesn't
-count, and lengths are summed over sliding windows of lines: text begins where
-a sum surges over the threshold and ends where it dives to nothing, and the
-lines between are kept.
+Markup is stripped so that every block element is a line. With the markup go
+script, style, and the segments that tags name as page furniture: menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments, told
+by element, role, and the words of class and id, inside a line too.
+
+Of what is left the distribution decides on every page. A line's length counts
+without linked text, and lengths are summed over sliding windows of lines. Text
+surges where the sums leave zero on the way to the threshold, and dives where
+they are back at zero; stretches whose sums never reach the threshold are
+dropped, and between surge and dive every line is kept. Where a page marks an
+article, lines inside of it keep half of their linked text, lines outside have
+to be long to count, and no window spans the article's edge.
 """
 
 from __future__ import annotations
@@ -18,28 +22,47 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import map_rows, prepare
-from tessergraph.llm.markup import BLOCKS, CLOSES, RAW, VOID, attributes, tokens
+from tessergraph.llm.common import map_rows
+from tessergraph.llm.markup import BLOCKS, CLOSES, RAW, UNSEEN, VOID, attributes, tokens
 
-#: Lines of a window; the sum at which text begins, at most, and as a share of the page's largest.
+#: Lines of a window; the sum that makes a stretch text, at most, and as a share of the page's largest.
 LINES, SURGE, SURGE_SHARE = 3, 80, 0.25
+#: Beside a marked article, characters of a line that don't count; of the others every second one does.
+OUTSIDE = 80
 
 FURNITURE = frozenset("nav header footer aside form menu dialog button select input label head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Controls that stand apart from the words beside them.
+CONTROLS = frozenset("button select input label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = frozenset(
+COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+WORDS = COMMENT_WORDS | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert "
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments disqus respond reply replies "
-    "share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager widget toolbar skip "
-    "hidden form search".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside share sharing social related recommended "
+    "newsletter subscribe signup login popup modal overlay pagination pager widget toolbar skip hidden form search".split()
 )
-COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
-_SPLIT = re.compile(r"[^a-z0-9]+")
+#: Words of a class that say where or what for, not what it holds: beside them a furniture word still names furniture.
+PLACES = frozenset(
+    "site page main global top bottom left right upper lower primary secondary inner outer wrap wrapper container box bar block slot area unit row col "
+    "list item items link links button buttons icon icons post posts thread author user reader body count text message up to us module js is the of in".split()
+)
+_SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 
-def _furniture(tag: str, source: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it holds comments."""
-    if tag in FURNITURE:
+def _named(names: str) -> tuple[bool, bool]:
+    """Whether a class or id names furniture, and whether comments: all words of it are furniture's and places."""
+    furniture = comments = False
+    for name in names.split():
+        words = {w for w in _SPLIT.split(_CAMEL.sub(r"\1 \2", name).lower()) if w}
+        if words & WORDS and words <= WORDS | PLACES:
+            furniture, comments = True, comments or bool(words & COMMENT_WORDS)
+    return furniture, comments
+
+
+def _furniture(tag: str, source: str, inside: bool, by_class: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether it holds comments. inside: it is within an article."""
+    if tag in FURNITURE or tag in RAW or tag in UNSEEN:
         return True, False
     if not source or tag in ("html", "body", "main"):
         return False, False
@@ -48,55 +71,65 @@ def _furniture(tag: str, source: str) -> tuple[bool, bool]:
         return True, False
     if re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return True, False
-    names = set(_SPLIT.split(_CAMEL.sub(r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    if tag == "article":
-        names &= COMMENT_WORDS
-    return bool(names & WORDS), bool(names & COMMENT_WORDS)
+    furniture, comments = _named(f"{a.get('class', '')} {a.get('id', '')}")
+    if comments:
+        return True, True
+    return furniture and by_class and tag != "article" and not (inside and tag in HEADINGS), False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, furniture, inside an article, characters in links) of every block with text."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]  # tag, furniture, comments, article, link
+def lines_of(page: str, by_class: bool = True) -> list[tuple[str, int, bool]]:
+    """(text, characters in links, inside an article) of every block with text, without furniture."""
+    out: list[tuple[str, int, bool]] = []
+    # tag, furniture, comments, article, link
+    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
     held: list[str] = []
-    linked = 0
+    linked, article = 0, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, article
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, stack[-1][1], stack[-1][3], linked))
+            out.append((text, min(linked, len(text)), article))
         held.clear()
-        linked = 0
+        linked, article = 0, False
 
     for kind, value, source in tokens(page):
+        _, furniture, comments, inside, link = stack[-1]
         if kind == "text":
-            held.append(value)
-            if stack[-1][4]:
-                linked += len(value)
+            if not furniture:
+                held.append(value)
+                if value.strip():
+                    article = article or inside
+                    if link:
+                        linked += len(" ".join(value.split()))
         elif kind == "open":
             if value in BLOCKS:
                 flush()
                 for closed in CLOSES.get(value, ()):
                     if stack[-1][0] == closed:
                         stack.pop()
-                while len(stack) > 1 and stack[-1][0] == "p":
-                    stack.pop()
-            elif value == "br":
+                for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, and what is open inside of it
+                    if stack[i][0] in BLOCKS:
+                        if stack[i][0] == "p":
+                            del stack[i:]
+                        break
+            elif value == "br" or value in CONTROLS:
                 held.append(" ")
             if value in VOID:
                 continue
-            above = stack[-1]
-            is_furniture, is_comments = _furniture(value, source)
-            article = above[3]
-            furniture, comments = above[1] or is_furniture, above[2] or is_comments
-            if value in ("article", "main") and not is_furniture and not comments:
-                # A wrapper named after what stands beside the article doesn't hide the article.
-                furniture, article = any(s[0] in FURNITURE for s in stack), True
-            stack.append((value, furniture or value in RAW, comments, article, above[4] or value == "a"))
+            _, furniture, comments, inside, link = stack[-1]
+            is_furniture, is_comments = _furniture(value, source, inside, by_class)
+            if value in HEADINGS and inside and stack[-1][0] == "header" and not is_furniture:
+                furniture = any(s[1] for s in stack[:-1])  # the title in an article's own header
+            furniture, comments = furniture or is_furniture, comments or is_comments
+            if value in ("article", "main") and not furniture:
+                inside = True
+            stack.append((value, furniture, comments, inside, link or value == "a"))
         else:
             if value in BLOCKS:
                 flush()
+            elif value in CONTROLS:
+                held.append(" ")
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == value:
                     del stack[i:]
@@ -105,49 +138,62 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     return out
 
 
-def surges(lengths: np.ndarray, threshold: float) -> np.ndarray:
-    """Which lines lie between a surge of the windowed sum over the threshold and its dive to 0."""
-    n = len(lengths)
-    total = np.concatenate(([0], np.cumsum(lengths)))
-    at = np.arange(n)
-    sums = total[np.minimum(at + LINES, n)] - total[at]
+def weights(lines: list[tuple[str, int, bool]]) -> np.ndarray:
+    """What each line counts for, by the lengths of its text and links."""
+    size = np.array([len(text) for text, _, _ in lines], np.int64)
+    linked = np.array([n for _, n, _ in lines], np.int64)
+    inside = np.array([x for _, _, x in lines], bool)
+    beside = np.maximum(0, size - linked - OUTSIDE) // 2 if inside.any() else size - linked
+    return np.where(inside, size - linked // 2, beside)
+
+
+def surges(counts: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Which lines lie between a surge and its dive. edges: whether an article's edge is before the line."""
+    at = np.arange(len(counts)) + LINES * np.cumsum(edges)  # empty lines at each edge, so that no window spans it
+    spread = np.zeros(at[-1] + LINES, np.int64)
+    spread[at] = counts
+    total = np.concatenate(([0], np.cumsum(spread)))
+    sums = total[LINES:] - total[:-LINES]
+    threshold = min(SURGE, SURGE_SHARE * sums.max())
     alive = np.concatenate(([0], (sums > 0).astype(np.int8), [0]))
-    kept = np.zeros(n, bool)
+    between = np.zeros(len(spread), bool)
     for a, b in zip(np.flatnonzero(np.diff(alive) == 1), np.flatnonzero(np.diff(alive) == -1)):
-        over = np.flatnonzero(sums[a:b] >= threshold)
-        if len(over):
-            kept[a + over[0] : b] = True
-    return kept
+        if sums[a:b].max() >= threshold:
+            counted = np.flatnonzero(spread[a : b + LINES - 1])
+            between[a + counted[0] : a + counted[-1] + 1] = True
+    return between[at]
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    article = np.array([inside for _, _, inside, _ in lines], bool)
-    lengths = np.array([0 if furniture else len(text) if inside else max(0, len(text) - linked) for text, furniture, inside, linked in lines], np.int64)
-    if not lengths.any():
-        return ""
-    sums = np.convolve(lengths, np.ones(LINES, np.int64))
-    kept = article | surges(np.where(article, 0, lengths), min(SURGE, SURGE_SHARE * sums.max()))
-    return "\n".join(line[0] for line, k, n in zip(lines, kept, lengths) if k and n)
+    for by_class in (True, False):  # classes that would leave nothing of a page are not believed
+        lines = lines_of(page or "", by_class)
+        if not lines:
+            continue
+        counts = weights(lines)
+        if not counts.any():
+            continue
+        inside = np.array([x for _, _, x in lines], bool)
+        kept = surges(counts, np.concatenate(([False], inside[1:] != inside[:-1])))
+        return "\n".join(line[0] for line, k in zip(lines, kept) if k)
+    return ""
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns of every page, ``text`` and ``n_chars``.
 
     Null, empty and textless pages have an empty text. Each row is taken by
-    itself; columns other than those named are left out, so names can't clash.
+    itself, so repeated rows and ties don't matter; an empty table gives an
+    empty one. Columns other than those named are left out, so names can't
+    clash.
     """
-    prepare(pages.sparkSession)
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = ", ".join(f"k{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
     def make():
         def one(batch):
             texts = [main_text(x) for x in batch.column(len(keep)).to_pylist()]
-            return {c: batch.column(i) for i, c in enumerate(keep)} | {"text": texts}
+            return {f"k{i}": batch.column(i) for i in range(len(keep))} | {"text": texts}
 
         return one
 
-    rows = map_rows(pages.select(*keep, F.col(html_column).alias("_html")), f"{fields}, text string", make)
-    return rows.withColumn("n_chars", F.length("text").cast("long"))
+    rows = map_rows(pages.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(html_column).alias("_html")), f"{kinds}, text string", make)
+    return rows.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)}).withColumn("n_chars", F.length("text").cast("long"))

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
-RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math canvas object".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+#: Elements whose content is markup, but no text of the page.
+UNSEEN = frozenset("noscript template svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table "

@@ -7,51 +7,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessergraph.llm import discriminant, language, main_text, media, queries, repetition
+from tessergraph.llm import discriminant, language, media, queries, repetition
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-# main text
-
-
-@pytest.mark.parametrize(
-    "page, text",
-    [
-        (None, ""), ("", ""), ("   ", ""), ("<script>var a='</p>';</script>", ""), ("plain words only", "plain words only"),
-        ("<nav>Menu a b c</nav><article><h1>T &amp; U</h1><p><b>one\n two<br></b><p>three</p></article><footer>&copy; x</footer>", "T & U\none two\nthree"),
-        ('<body><div class="ad">buy this now</div><article><p>short</p><aside>see also</aside><p>end</p></article>', "short\nend"),
-        ("<article><p>a &lt;b&gt; &amp;amp; &#233;&nbsp;x</p></article>", "a <b> &amp; é x"),
-        ('<article><p>body</p><section id="comments"><article class="comment"><p>first!</p></article></section></article>', "body"),
-        ('<div class="has-sidebar"><article><p>kept</p></article></div>', "kept"),
-        ("<article><form><p>mail?</p></form><p>text</p><style>p{}</style></article><p class=notice>cut <a href=", "text"),
-        ("<!-- <p>no</p> --><main><p>yes<ul><li>one<li>two</ul></main>", "yes\none\ntwo"),
-        ('<p>' + "long text of a page without an article, " * 6 + '</p><p>more.</p><ul><li><a href="x">link one</a></li></ul>', ("long text of a page without an article, " * 6).strip() + "\nmore."),
-    ],
-)
-def test_main_text(page, text):
-    assert main_text.main_text(page) == text
-
-
-def test_text_outside_an_article_is_kept_by_its_lengths():
-    body = ["a long line of the main text, which no element marks, " * 3 for _ in range(4)]
-    card = '<article><p>A teaser card</p></article><ul><li><a href="x">a link</a></li></ul>'
-    page = f"<nav>menu</nav>{card}<div>{''.join(f'<p>{x}</p>' for x in body)}</div><footer>foot</footer>"
-    assert main_text.main_text(page).split("\n") == ["A teaser card", *(x.strip() for x in body)]
-    page = f"<p>a stray line</p><article>{''.join(f'<p>{x}</p>' for x in ['Title', *body, 'end'])}</article><p>another</p>"
-    assert main_text.main_text(page).split("\n") == ["Title", *(x.strip() for x in body), "end"]
-
-
-def test_pages_of_the_table(spark):
-    rows = queries.op1_main_text(spark, SF).collect()
-    assert all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
-    df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
-    assert sorted(r["text"] for r in main_text.extract(df).collect()) == ["", "a"]
-    assert main_text.extract(df.limit(0)).count() == 0
-
-
 # quality rules
 
 
