@@ -19,15 +19,19 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of this machine, for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if not base and app not in _own:
+    if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tessergraph-")
-    return (base or _own[app]).rstrip("/")
+    return _own[app]
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
@@ -36,7 +40,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows as a written table, so that loops don't grow their plans and lost executors cost little."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}-lineage"
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
     df.write.parquet(path)
     gc.collect()
@@ -50,7 +54,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _current(self, name: str) -> int | None:
-        fs, p = _fs(self.spark, f"{self.root}/{name}/CURRENT")
+        fs, p = hadoop_path(self.spark, f"{self.root}/{name}/CURRENT")
         if not fs.exists(p):
             return None
         return int(self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0])
@@ -65,7 +69,7 @@ class Store:
         """A new version; older ones stay readable until `vacuum`."""
         version = (self._current(name) or 0) + 1
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/v{version:08d}")
-        fs, p = _fs(self.spark, f"{self.root}/{name}/CURRENT")
+        fs, p = hadoop_path(self.spark, f"{self.root}/{name}/CURRENT")
         out = fs.create(p, True)
         out.write(bytearray(f"{version}\n".encode()))
         out.close()
@@ -74,7 +78,7 @@ class Store:
     def vacuum(self, name: str, keep: int = 2) -> None:
         now = self._current(name) or 0
         for version in range(1, now - keep + 1):
-            fs, p = _fs(self.spark, f"{self.root}/{name}/v{version:08d}")
+            fs, p = hadoop_path(self.spark, f"{self.root}/{name}/v{version:08d}")
             fs.delete(p, True)
 
     def append(self, name: str, df: DataFrame) -> int:
