@@ -8,18 +8,23 @@ rank among pieces of equal length. Ranks come from counts by task, so no task
 ever holds all pieces of a length.
 
 The search is branch and bound over bin completions: the longest piece left
-opens a sequence, undominated fillings of the rest are enumerated, fillings
-that waste more than the incumbent allows are pruned, and a best-fit-decreasing
-plan is the first incumbent. A filling is used as often as the counts allow at
-once, so the plan has a few thousand kinds of sequences at any corpus size.
+opens a sequence, and fillings of the rest are enumerated, least waste first.
+Tables of the sums that the shorter lengths can reach keep the enumeration from
+trying what can't work out. A filling that another one dominates is passed
+over; one that wastes more than still beats the incumbent ends the enumeration;
+best fit decreasing is the first incumbent. A filling is tried as often as the
+counts allow, then fewer times, so a plan has a few thousand kinds of
+sequences at any corpus size. The search ends at the lower bound, when
+everything is enumerated, or after a number of steps: never by the clock, so
+equal tables have equal plans.
 """
 
 from __future__ import annotations
 
-import time
 import zlib
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -85,107 +90,152 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(n, filling) for fillings in open_bins.values() for filling, n in fillings.items()]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int, most: int, steps: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` that leave at most ``waste``, least waste first, at most ``most``.
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of b can be dealt into the places of a's pieces, so that a does as well wherever b does. Both longest first."""
+    left = Counter(a) - Counter(b)
+    pieces = list((Counter(b) - Counter(a)).elements())
+    if sum(left.elements()) < sum(pieces):
+        return False
+    rooms = sorted(left.elements(), reverse=True)
+    tries = 200
 
-    One filling dominates another of no larger sum if the other's pieces fit
-    into its pieces' places; of equal sums the one of fewer, longer pieces is
-    kept. Pieces are tried from the longest, so dominators come first.
-    lengths: ascending. steps: bound on the nodes of the enumeration.
+    def put(i: int) -> bool:
+        nonlocal tries
+        if i == len(pieces):
+            return True
+        tries -= 1
+        for k in range(len(rooms)):
+            if rooms[k] >= pieces[i] and (not k or rooms[k] != rooms[k - 1]) and tries > 0:
+                rooms[k] -= pieces[i]
+                if put(i + 1):
+                    return True
+                rooms[k] += pieces[i]
+        return False
+
+    pieces.sort(reverse=True)
+    return put(0)
+
+
+class Steps:
+    """What is left of a search's steps."""
+
+    def __init__(self, most: int):
+        self.left = most
+
+
+def fillings(counts: dict[int, int], room: int, waste: int, steps: Steps) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` that leave at most ``waste``: least waste first, then longest pieces first.
+
+    A filling is left out only if an earlier one of the last KEPT dominates
+    it. The first is given however few steps are left; later ones need some.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    sums: set[int] = set()
-    left = steps
-
-    def full() -> bool:
-        return left <= 0 or (len(found) >= most and found[0][0] == 0)
-
-    def extend(room: int, chosen: tuple[int, ...], upto: int) -> None:
-        nonlocal left
-        left -= 1
-        widened = False
-        for i in range(bisect_right(lengths, room, 0, upto) - 1, -1, -1):
-            length = lengths[i]
-            copies = min(counts[length], room // length)
-            for k in range(copies, 0, -1):
-                widened = True
-                extend(room - k * length, chosen + (length,) * k, i)
-                if full():
+    steps.left -= len(counts) // 4
+    lengths = sorted(n for n, c in counts.items() if c and n <= room)
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # reach[i]: sums of lengths[:i], as bits
+    for n in lengths:
+        sums = reach[-1]
+        more, copies, step = sums, min(counts[n], room // n), 1
+        while copies:  # doubling: up to ``copies`` of n
+            step = min(step, copies)
+            more |= (more << (n * step)) & mask
+            copies -= step
+            step *= 2
+        reach.append(more)
+
+    def extend(i: int, sum_left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Choices from lengths[:i] of exactly sum_left."""
+        if not sum_left:
+            yield chosen
+            return
+        while i and lengths[i - 1] > sum_left:
+            i -= 1
+        while i and reach[i] >> sum_left & 1:
+            steps.left -= 1
+            n = lengths[i - 1]
+            for k in range(min(counts[n], sum_left // n), 0, -1):
+                if reach[i - 1] >> (sum_left - k * n) & 1:
+                    yield from extend(i - 1, sum_left - k * n, chosen + (n,) * k)
+            i -= 1
+
+    seen: list[tuple[int, ...]] = []
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if reach[-1] >> total & 1:
+            for chosen in extend(len(lengths), total, ()):
+                if seen and steps.left <= 0:
                     return
-            if copies and room == length:
-                break  # what else fills this room is dominated
-        if not widened and room <= waste and room not in sums:
-            sums.add(room)
-            found.append((room, chosen))
-            found.sort(key=lambda x: x[0])
+                steps.left -= 4 * len(seen)
+                if not any(dominates(a, chosen) for a in seen):
+                    seen = [*seen[1 - KEPT :], chosen]
+                    yield chosen
+
+
+#: Earlier fillings that a new one is compared with.
+KEPT = 20
+
 
-    extend(room, (), len(lengths))
-    return [chosen for _, chosen in found[:most]]
+def _often(most: int) -> Iterator[int]:
+    """How often to use a filling: as often as can be, then fewer times; every number up to 4."""
+    while most > 4:
+        yield most
+        most //= 2
+    yield from range(most, 0, -1)
 
 
-def plan(histogram: dict[int, int], capacity: int, nodes: int = 200, width: int = 3, steps: int = 400, seconds: float = 10.0) -> Plan:
+def plan(histogram: dict[int, int], capacity: int, most_steps: int = 600_000) -> Plan:
     """Fillings and how often to use them, in as few sequences as the search finds.
 
-    nodes, width, steps and seconds bound the search, never the pieces packed:
-    the incumbent is whole at any time.
+    most_steps: steps of the search, some seconds' worth; they bound the search,
+    never the pieces packed: the incumbent is whole at any time.
     """
-    singles = {n: c for n, c in histogram.items() if n >= capacity}
+    done: Plan = [(c, (n,)) for n, c in histogram.items() if n >= capacity]
     counts = {n: c for n, c in histogram.items() if 0 < n < capacity and c > 0}
-    done: Plan = [(c, (n,)) for n, c in singles.items()]
     if not counts:
         return done
-    total = sum(n * c for n, c in counts.items())
     least = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     best = sum(n for n, _ in incumbent)
-    until = time.monotonic() + seconds
-    visits = 0
-
-    # Depth first; one entry of the stack is a node: counts, plan so far, sequences, tokens left.
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, total)]
-    while stack and best > least and visits < nodes and time.monotonic() < until:
-        now, made, used, left = stack.pop()
-        now, made = dict(now), list(made)
-        lengths = sorted(now)
-        while lengths:
-            allowed = (best - 1 - used) * capacity - left  # waste that still beats the incumbent
-            if allowed < 0:
-                break
-            top = lengths[-1]
-            now[top] -= 1
-            choices = fillings(lengths, now, capacity - top, allowed, width, steps)
-            now[top] += 1
-            if not choices:
-                break
-            ways = []
-            for choice in choices:
-                filling = (top, *choice)
-                need = Counter(filling)
-                waste = capacity - sum(filling)
-                times = min(now[n] // k for n, k in need.items())
-                if waste:
-                    times = min(times, max(1, allowed // waste))
-                ways.append((filling, need, times))
-            for filling, need, times in ways[:0:-1]:
-                if len(stack) < nodes:
-                    other = dict(now)
-                    for n, k in need.items():
-                        other[n] -= k * times
-                        if not other[n]:
-                            del other[n]
-                    stack.append((other, [*made, (times, filling)], used + times, left - times * sum(filling)))
-            filling, need, times = ways[0]
-            for n, k in need.items():
-                now[n] -= k * times
-                if not now[n]:
-                    del now[n]
-                    lengths.remove(n)
-            made.append((times, filling))
-            used += times
-            left -= times * sum(filling)
-        visits += 1
-        if not lengths and used < best:
-            best, incumbent = used, made
+    now = dict(counts)
+    made: Plan = []
+    used, left = 0, sum(n * c for n, c in counts.items())
+    steps = Steps(most_steps)
+
+    def ways(allowed: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        top = max(now)
+        rest = now | {top: now[top] - 1}
+        for choice in fillings(rest, capacity - top, min(allowed, capacity - top), steps):
+            filling = (top, *choice)
+            waste = capacity - sum(filling)
+            most = min(now[n] // k for n, k in Counter(filling).items())
+            for often in _often(min(most, max(1, allowed // waste)) if waste else most):
+                yield often, filling
+
+    def use(often: int, filling: tuple[int, ...], sign: int) -> None:
+        nonlocal used, left
+        for n in filling:
+            now[n] = now.get(n, 0) - sign * often
+            if not now[n]:
+                del now[n]
+        used += sign * often
+        left -= sign * often * sum(filling)
+
+    # Depth first: each level of the stack is one node's untried ways, and the last one used stands in ``made``.
+    stack = [ways((best - 1) * capacity - left)]
+    while stack and best > least and steps.left > 0:
+        way = next(stack[-1], None)
+        if way is None or (used + way[0] + -(-(left - way[0] * sum(way[1])) // capacity) >= best):
+            if way is None:
+                stack.pop()
+                if made:
+                    use(*made.pop(), -1)
+            continue
+        use(*way, 1)
+        made.append(way)
+        if not now:
+            best, incumbent = used, list(made)
+            use(*made.pop(), -1)
+            continue
+        stack.append(ways((best - 1 - used) * capacity - left))
     return done + incumbent
 
 
