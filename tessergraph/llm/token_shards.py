@@ -4,8 +4,8 @@ A shard file is, all integers little-endian:
 
     b"TSHARD01" | uint32 header length | header JSON | index | frames
 
-The header names the dictionary's sha256, the width of an id in bytes, and the
-number of documents. The index has a row for each document: int64 doc_id,
+The header names the dictionary's sha256, the width of an id in bytes, the
+number of documents, and how many of the first ones have no id (null). The index has a row for each document: int64 doc_id,
 int64 start (ids of this shard before it), int64 n_tokens, int64 place and
 int64 size of its frame. A short document is read with one seek. The
 dictionary lies beside the shards as ``ids.zdict``.
@@ -37,12 +37,13 @@ from tessergraph.llm.common import joined, map_rows, new_path, prepare, written
 
 MAGIC = b"TSHARD01"
 INDEX = np.dtype([(n, "<i8") for n in ("doc_id", "start", "n_tokens", "place", "size")])
-#: Bounds of the dictionary's training: documents asked for, and bytes of their ids.
+#: Bounds of the dictionary's training: distinct documents asked for, and bytes of their ids.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 8 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Bytes of frames after which a task begins another shard.
 SHARD_BYTES = 128 << 20
-NULL_ID = -(1 << 63)
+#: Tasks that read shards, at most, for each core.
+READERS = 20
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -63,16 +64,17 @@ def _encoded(path: str, end_id: int):
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> bytes:
-    """A dictionary from whole documents' ids: SAMPLE_DOCS in the order of a hash of their id, SAMPLE_BYTES at most.
+    """A dictionary from whole documents' ids: about SAMPLE_DOCS distinct rows, SAMPLE_BYTES at most.
 
-    Without enough material (zstandard needs some), the dictionary is the raw sample.
+    Rows are drawn by a threshold on a hash of id and text, in the scan, and
+    equal rows fall together before they are dealt, so what leaves the tasks is
+    about SAMPLE_DOCS texts whatever the table's size. Without enough material
+    (zstandard needs some), the dictionary is the raw sample.
     """
-    sample = (
-        docs.select(id_column, text_column)
-        .orderBy(F.xxhash64(id_column), id_column)
-        .limit(SAMPLE_DOCS)
-        .repartition(1)
-    )
+    draw = F.xxhash64(docs[id_column], docs[text_column])
+    one_in = max(docs.select(id_column).count() // SAMPLE_DOCS, 1)
+    drawn = docs.select(draw.alias("draw"), docs[text_column].alias("text")).where(F.pmod("draw", F.lit(one_in)) == 0)
+    sample = drawn.groupBy("draw").agg(F.first("text").alias("text")).orderBy("draw").limit(2 * SAMPLE_DOCS).coalesce(1)
 
     def make():
         rows = _encoded(path, end_id)
@@ -98,8 +100,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_
 
     The manifest has a row for each shard: part, shard (their order), uri,
     n_docs, n_tokens and ``before``, the ids of all shards before it. Null or
-    empty texts hold the end id alone; a null doc_id comes first; an empty
-    table has no shard.
+    empty texts hold the end id alone; null ids come first; rows of one id
+    follow each other in the order of a hash of their text; an empty table has
+    no shard. Ids are integers. Only the columns named are read, so other
+    names can't clash.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -115,8 +119,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = (
         docs.select(docs[id_column].alias("key"), docs[text_column].alias("text"))
-        .repartitionByRange(partitions, "key")
-        .sortWithinPartitions("key", "text")
+        .withColumn("turn", F.xxhash64("text"))  # rows of one id can lie in several ranges
+        .repartitionByRange(partitions, "key", "turn")
+        .sortWithinPartitions("key", "turn", "text")
+        .drop("turn")
     )
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,17 +130,17 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_
         part = TaskContext.get().partitionId()
         rows, width = _encoded(path, end_id), codec(path).dtype.itemsize
         compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int | None, int, bytes]] = []
         size = shard = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, shard
             index = np.zeros(len(held), INDEX)
-            index["doc_id"] = [x[0] for x in held]
+            index["doc_id"] = [x[0] or 0 for x in held]
             index["n_tokens"] = [x[1] for x in held]
             index["size"] = [len(x[2]) for x in held]
             index["start"] = np.cumsum(index["n_tokens"]) - index["n_tokens"]
-            head = json.dumps({"dictionary": digest, "width": width, "docs": len(held)}).encode()
+            head = json.dumps({"dictionary": digest, "width": width, "docs": len(held), "nulls": sum(x[0] is None for x in held)}).encode()
             index["place"] = len(MAGIC) + 4 + len(head) + index.nbytes + np.cumsum(index["size"]) - index["size"]
             uri = f"{part:06d}-{shard:04d}-{uuid.uuid4().hex}.tshard"
             with target.open_output_stream(f"{root}/{uri}") as f:
@@ -147,7 +153,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_
 
         for batch in joined(batches, GATHER):
             for key, ids in zip(batch.column(0).to_pylist(), rows(batch.column(1))):
-                held.append((NULL_ID if key is None else key, len(ids), compressor.compress(ids.tobytes())))
+                held.append((key, len(ids), compressor.compress(ids.tobytes())))
                 size += len(held[-1][2])
                 if size >= SHARD_BYTES:
                     yield flush()
@@ -202,11 +208,12 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 for a in range(0, len(shard), 500):
                     part = shard.index[a : a + 500]
                     ids = [shard[a + i].astype("<u4").tobytes() for i in range(len(part))]
-                    keys = [None if k == NULL_ID else k for k in part["doc_id"].tolist()]
+                    keys = [None if a + i < shard.header["nulls"] else k for i, k in enumerate(part["doc_id"].tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys, pa.int64()), pa.array(part["start"] + before), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    spread = manifest.select("uri", "before").repartition("uri")
+    most = READERS * manifest.sparkSession.sparkContext.defaultParallelism
+    spread = manifest.select("uri", "before").repartition(max(1, min(manifest.count(), most)))  # a count of its own, so that it isn't coalesced
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
