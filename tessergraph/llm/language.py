@@ -17,11 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import crc_fold, map_rows, map_texts, prepare
+from tessergraph.llm.common import crc_fold, map_rows, map_texts
 
 DIMENSIONS = 8192
 #: Bounds of the training sample, per language: rows fitted on, and those that are landmarks.
 SAMPLE_ROWS, LANDMARKS = 400, 40
+#: Bounds of all of them together; with many languages each has fewer. More languages than landmarks are an error.
+ALL_ROWS, ALL_LANDMARKS = 8000, 800
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Texts in one matrix product.
@@ -86,46 +88,59 @@ class Model:
         return names, scores
 
 
-def fit_sample(languages: list[str], rows: np.ndarray) -> Model:
-    """Kernel ridge regression in the landmarks' space; languages[i] is that of rows[i], landmarks of each come first."""
+def scaled(bits: np.ndarray) -> np.ndarray:
+    """Packed presence rows as rows of length 1."""
+    rows = np.unpackbits(bits, axis=1).astype(np.float32)
+    return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+
+
+def fit_sample(languages: list[str], bits: np.ndarray) -> Model:
+    """Kernel ridge regression in the landmarks' space; languages[i] is that of bits[i] (packed presence), landmarks of each come first."""
     names = sorted(set(languages))
+    each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(names)))
     seen = dict.fromkeys(names, 0)
     marks = []
     for i, name in enumerate(languages):
-        if seen[name] < LANDMARKS:
+        if seen[name] < each:
             marks.append(i)
         seen[name] += 1
-    landmarks = rows[marks]
+    landmarks = scaled(bits[marks])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
     good = values > 1e-6 * max(values.max(), 1e-9)
     root = vectors[:, good] / np.sqrt(values[good])
-    features = np.column_stack((rows.astype(float) @ landmarks.T.astype(float) @ root, np.ones(len(rows))))
-    target = np.array([[float(x == n) for n in names] for x in languages])
-    size = np.array([1 / languages.count(n) for n in names]) @ target.T * len(languages) / len(names)  # languages weigh the same
+    kernel = np.concatenate([scaled(bits[a : a + BLOCK]) @ landmarks.T for a in range(0, len(bits), BLOCK)])
+    features = np.column_stack((kernel.astype(float) @ root, np.ones(len(bits))))
+    target = (np.array(languages)[:, None] == np.array(names)).astype(float)
+    size = (target / target.sum(0)).sum(1) * len(languages) / len(names)  # languages weigh the same
     gram = features.T @ (features * size[:, None])
-    gram[np.diag_indices(len(gram) - 1)] += RIDGE * len(rows)
+    gram[np.diag_indices(len(gram) - 1)] += RIDGE * len(bits)
     solved = np.linalg.solve(gram + 1e-9 * np.eye(len(gram)), features.T @ (target * size[:, None]))
     return Model(names, landmarks, np.vstack((root @ solved[:-1], solved[-1:])).astype(np.float32))
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model:
-    """Learns from SAMPLE_ROWS rows of each language, in the order of a hash of their id.
+    """Learns from SAMPLE_ROWS distinct rows of each language, in the order of a hash of id and text.
 
     Rows without label or letter, and those of the held-out fold, are left out.
+    A threshold on the hash, from the language's count, leaves about twice as
+    many rows as are wanted, before anything is dealt by language; what comes
+    to the driver is ALL_ROWS presence rows at most. Labels beyond
+    ALL_LANDMARKS raise an error.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
     usable = (
-        docs.select(F.col(id_column).alias("key"), F.col(label_column).alias("label"), F.col(text_column).alias("text"))
-        .where(F.col("label").isNotNull() & F.col("key").isNotNull() & (crc_fold("key") != 2))
-    )
-    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    chosen = (
-        usable.where(F.col("text").rlike(r"\p{L}"))
-        .select("key", "label")
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= SAMPLE_ROWS)
-    )
-    sample = usable.select("key", "text").join(F.broadcast(chosen), "key").select("label", "place", "text")
+        docs.select(docs[id_column].alias("key"), docs[label_column].cast("string").alias("label"), docs[text_column].alias("text"))
+        .where(F.col("label").isNotNull() & F.col("key").isNotNull() & (crc_fold("key") != 2) & F.col("text").rlike(r"\p{L}"))
+    )
+    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).limit(ALL_LANDMARKS + 1).collect()}
+    if len(counts) > ALL_LANDMARKS:
+        raise ValueError(f"more than {ALL_LANDMARKS} languages")
+    if not counts:
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((1, 0), np.float32))
+    wanted = min(SAMPLE_ROWS, ALL_ROWS // len(counts))
+    steps = spark.createDataFrame([(name, max(1, n // (2 * wanted))) for name, n in sorted(counts.items())], "label string, one_in long")
+    drawn = usable.withColumn("draw", F.xxhash64("key", "text")).join(F.broadcast(steps), "label")  # at most ALL_LANDMARKS rows
+    drawn = drawn.where(F.pmod("draw", "one_in") == 0).select("label", "draw", "text")
 
     def make():
         def one(batch):
@@ -134,24 +149,27 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
             rows = np.zeros((len(kept), DIMENSIONS), np.uint8)
             for row, i in zip(rows, kept):
                 presence(texts[i], row)
-            return {"label": batch.column(0).take(kept), "place": batch.column(1).take(kept), "bits": [np.packbits(r).tobytes() for r in rows]}
+            return {"label": batch.column(0).take(kept), "draw": batch.column(1).take(kept), "bits": [np.packbits(r).tobytes() for r in rows]}
 
         return one
 
-    found = sorted(map(tuple, map_rows(sample, "label string, place int, bits binary", make).collect()), key=lambda r: (r[1], r[0], bytes(r[2])))
+    sample = map_rows(drawn, "label string, draw long, bits binary", make).groupBy("label", "draw").agg(F.first("bits").alias("bits"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw"))
+    found = sample.withColumn("place", place).where(F.col("place") <= wanted).collect()
+    found.sort(key=lambda r: (r["place"], r["label"]))
     if not found:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((1, 0), np.float32))
-    rows = np.unpackbits(np.frombuffer(b"".join(bytes(r[2]) for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    return fit_sample([r[0] for r in found], rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1)))
+    return fit_sample([r["label"] for r in found], np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), -1))
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its id, the ``carry`` columns, ``lang_pred`` and ``score``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is
-    every text if there was nothing to learn from.
+    every text if there was nothing to learn from. Each row is judged by
+    itself, so repeated rows don't matter; of equal outputs the first language
+    by name is taken; only the columns named are read, so others can't clash.
     """
-    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
