@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ def test_encode_decode_rows(spark):
 
 
 def test_shards_round_trip(spark):
-    rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(None, "no id")]
+    rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(None, "no id"), (-(1 << 63), "the smallest id")]
     manifest, _ = token_shards.write_shards(spark.createDataFrame(rows, SCHEMA), BYTE, end_id=2)
     library = Tokenizer.from_file(BYTE)
     got = {r["doc_id"]: r for r in token_shards.read_shards(manifest).collect()}
@@ -105,7 +106,7 @@ def optimum(lengths, capacity):
 
 def test_plans_are_whole_and_optimal_on_small_cases():
     draw = random.Random(3)
-    for _ in range(60):
+    for _ in range(150):
         lengths = [draw.randint(1, 40) for _ in range(draw.randint(1, 10))]
         counts = {n: lengths.count(n) for n in lengths}
         steps = packing.plan(counts, 40)
@@ -113,7 +114,31 @@ def test_plans_are_whole_and_optimal_on_small_cases():
         used = sorted(n for k, f in steps for _ in range(k) for n in f)
         assert used == sorted(lengths)
         bins = sum(k for k, _ in steps)
-        assert packing.lower_bound({n: c for n, c in counts.items() if n < 40}, 40) + counts.get(40, 0) <= optimum(lengths, 40) <= bins <= optimum(lengths, 40) + 1
+        assert packing.lower_bound({n: c for n, c in counts.items() if n < 40}, 40) + counts.get(40, 0) <= optimum(lengths, 40) == bins
+
+
+def test_fillings_are_the_undominated_ones():
+    """Against all subsets: nothing that fits is better than what is given."""
+    from itertools import combinations
+
+    draw = random.Random(6)
+    for _ in range(60):
+        pieces = sorted((draw.randint(1, 20) for _ in range(draw.randint(1, 8))), reverse=True)
+        room, waste = draw.randint(1, 40), draw.randint(0, 10)
+        given = list(packing.fillings(Counter(pieces), room, waste, packing.Steps(10**9)))
+        every = {c for k in range(len(pieces) + 1) for c in combinations(pieces, k) if room - waste <= sum(c) <= room}
+        assert set(given) <= every and len(set(given)) == len(given)
+        assert [sum(g) for g in given] == sorted(map(sum, given), reverse=True)
+        assert all(any(g == c or packing.dominates(g, c) for g in given) for c in every)
+    assert packing.dominates((7,), (4, 3)) and packing.dominates((5, 4), (4, 4)) and not packing.dominates((4, 4), (5, 3)) and not packing.dominates((4, 3), (7,))
+
+
+def test_a_hard_mix_beats_best_fit_and_the_same_plan_comes_twice():
+    draw = random.Random(0)
+    counts = dict(Counter(draw.randint(300, 900) for _ in range(1000)))
+    plans = [packing.plan(counts, 2048, 100_000) for _ in range(2)]
+    assert plans[0] == plans[1]
+    assert sum(k for k, _ in plans[0]) < sum(k for k, _ in packing.best_fit(counts, 2048))
 
 
 def test_packed_pieces(spark):
