@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.functions.text import normalized
+from tessergraph.operators.matching import occurring
 from tessergraph.operators.traverse import components
 
 
@@ -29,11 +30,10 @@ def canonical_endpoints(relations: DataFrame, index: DataFrame, side: str, label
 
 
 def expected_entities(surfaces: DataFrame, events: DataFrame) -> DataFrame:
-    """(label, canonical) of which some surface's words occur in the log. surfaces: (label, surface, canonical)."""
-    words = events.select("id", F.lower("content").alias("low")).where("low IS NOT NULL")
-    tokens = words.select("low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    first = surfaces.withColumn("surface", F.lower("surface")).withColumn("token", F.regexp_extract("surface", "[a-z0-9]+", 0)).where("token != ''")
-    return first.join(tokens, "token").where(F.col("low").contains(F.col("surface"))).select("label", "canonical").distinct()
+    """(label, canonical) of which some surface occurs in the log, anywhere in a text and in any case. surfaces: (label, surface, canonical)."""
+    named = surfaces.withColumn("name", F.lower("surface"))
+    texts = events.select(F.col("id").alias("key"), F.lower("content").alias("text"))
+    return named.join(occurring(texts, named.select("name")).select("name").distinct(), "name").select("label", "canonical").distinct()
 
 
 def expected_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
