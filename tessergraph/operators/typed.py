@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessergraph.functions.exprs import MERGE, answers_to, display_name, effective_status, in_window, joined, resolved, stamp, status_mode, view_label
-from tessergraph.operators.traverse import levels, trails
+from tessergraph.operators.traverse import MAX_DEPTH, levels, reachable, trails
 
 GROUP_EDGES = ("OWNED_BY", "MEMBER_OF", "DEPENDS_ON")
 ORDERS = ("name", "valid_from_asc", "valid_from_desc", "created_at_asc", "created_at_desc")
@@ -60,19 +60,48 @@ def find_chain_owner(nodes: DataFrame, edges: DataFrame, decision_id: str) -> Da
 
 
 def find_contradictions(nodes: DataFrame, edges: DataFrame, as_of: str, window_days: int = 30) -> DataFrame:
-    """KQ2: active decisions that messages of the window contradict, with the messages."""
+    """KQ2: active decisions that messages of the window contradict, with the messages; most messages first."""
     bounded(window_days, 1, 365, "window_days")
     messages = live(nodes, "Message").where(in_window(F.col("created_at"), as_of, window_days)).select(F.col("node_id").alias("src"), F.col("id").alias("message_id"))
     decisions = nodes.where((F.col("label") == "Decision") & (effective_status() == "active")).select(F.col("node_id").alias("dst"), F.col("id").alias("decision_id"), "title")
     met = edge(edges, "CONTRADICTS").select("src", "dst", "confidence").join(messages, "src").join(decisions, "dst")
-    return met.groupBy("decision_id", "title").agg(
+    rows = met.groupBy("decision_id", "title").agg(
         F.count("*").alias("n_messages"), F.array_join(F.sort_array(F.collect_list("message_id")), ",").alias("message_ids"), F.max("confidence").alias("max_confidence")
     )
+    return rows.orderBy(F.desc("n_messages"), "decision_id")
+
+
+def _contradicting(nodes: DataFrame, edges: DataFrame, as_of: str, window_days: int) -> DataFrame:
+    messages = live(nodes, "Message").where(in_window(F.col("created_at"), as_of, window_days))
+    messages = messages.select(F.col("node_id").alias("src"), F.col("id").alias("message_id"), F.col("created_at").alias("said_at"), F.col("source_event_ids").alias("message_events"))
+    decisions = nodes.where((F.col("label") == "Decision") & (effective_status() == "active"))
+    decisions = decisions.select(F.col("node_id").alias("dst"), F.col("id").alias("decision_id"), F.col("source_event_ids").alias("decision_events"))
+    return edge(edges, "CONTRADICTS").select("src", "dst", "confidence", "source_event_id").join(messages, "src").join(decisions, "dst")
+
+
+def contradicting_messages(nodes: DataFrame, edges: DataFrame, as_of: str, window_days: int = 30) -> DataFrame:
+    """KQ2 in long form: one row per decision and message, with when it was said and how sure the verdict is."""
+    bounded(window_days, 1, 365, "window_days")
+    return _contradicting(nodes, edges, as_of, window_days).select("decision_id", "message_id", stamp(F.col("said_at")).alias("said_at"), "confidence", "source_event_id")
+
+
+def _provenance(*parts: tuple[DataFrame, Column, Column]) -> DataFrame:
+    """(element_key, event_id) of parts (rows, key, events), distinct, without null and empty events."""
+    each = [rows.select(key.alias("element_key"), F.explode(events).alias("event_id")) for rows, key, events in parts]
+    return reduce(DataFrame.union, each).where("event_id IS NOT NULL AND event_id != ''").distinct()
+
+
+def contradiction_provenance(nodes: DataFrame, edges: DataFrame, as_of: str, window_days: int = 30) -> DataFrame:
+    """KQ2: the events behind each decision and behind each contradicting message and its edge, in long form."""
+    bounded(window_days, 1, 365, "window_days")
+    met = _contradicting(nodes, edges, as_of, window_days)
+    decision, link = F.concat(F.lit("node:Decision:"), "decision_id"), F.concat(F.lit("edge:CONTRADICTS:"), "message_id", F.lit("->"), "decision_id")
+    return _provenance((met, decision, F.col("decision_events")), (met, link, F.array("source_event_id")), (met, link, F.col("message_events")))
 
 
 def dependency_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """DEPENDS_ON links between nodes that are not merged."""
-    ids = live(nodes, "Service", "System").select("node_id")
+    """DEPENDS_ON links between nodes of any label that are not merged."""
+    ids = live(nodes).select("node_id")
     links = edge(edges, "DEPENDS_ON").select("src", "dst")
     return links.join(ids, F.col("src") == F.col("node_id"), "left_semi").join(ids, F.col("dst") == F.col("node_id"), "left_semi")
 
@@ -94,16 +123,17 @@ def blast_services(nodes: DataFrame, edges: DataFrame, service: str, max_depth:
     return depths.join(names, "node").where(F.col("service") != service).select("service", "min_depth", "max_depth")
 
 
-def _impacted(nodes: DataFrame, edges: DataFrame, service: str, max_depth: int, acyclic: bool) -> DataFrame:
+def _impacted(nodes: DataFrame, edges: DataFrame, service: str, max_depth: int) -> DataFrame:
+    """The seed and the services that reach it; a shortest path is a trail, so no trail has to be listed."""
     seed = _seed(nodes, service)
-    found = (levels if acyclic else trails)(dependency_links(nodes, edges), seed, max_depth).select("node")
+    found = reachable(dependency_links(nodes, edges), seed, max(1, min(max_depth, MAX_DEPTH))).select("node")
     services = live(nodes, "Service").select(F.col("node_id").alias("node"))
     return seed.union(found.join(services, "node", "left_semi")).distinct()
 
 
-def blast_people(nodes: DataFrame, edges: DataFrame, service: str, max_depth: int = 5, acyclic: bool = False) -> DataFrame:
+def blast_people(nodes: DataFrame, edges: DataFrame, service: str, max_depth: int = 5) -> DataFrame:
     """KQ3: people who own what is hit or belong to an owning team; a team without members adds nobody."""
-    hit = _impacted(nodes, edges, service, max_depth, acyclic)
+    hit = _impacted(nodes, edges, service, max_depth)
     owners = live(nodes).select(F.col("node_id").alias("owner"), F.col("canonical_id").alias("owner_person"))
     owned = hit.join(edge(edges, "OWNED_BY").select(F.col("src").alias("node"), F.col("dst").alias("owner")), "node").join(owners, "owner").select("owner", "owner_person").distinct()
     people = live(nodes, "Person").select(F.col("node_id").alias("p"), F.col("canonical_id").alias("member"))
@@ -111,9 +141,9 @@ def blast_people(nodes: DataFrame, edges: DataFrame, service: str, max_depth: in
     return owned.join(members, "owner", "left").select(F.coalesce("member", "owner_person").alias("person_id")).where("person_id IS NOT NULL").distinct()
 
 
-def blast_decisions(nodes: DataFrame, edges: DataFrame, service: str, max_depth: int = 5, acyclic: bool = False) -> DataFrame:
+def blast_decisions(nodes: DataFrame, edges: DataFrame, service: str, max_depth: int = 5) -> DataFrame:
     """KQ3: decisions, superseded ones too, about or deprecating what is hit."""
-    hit = _impacted(nodes, edges, service, max_depth, acyclic)
+    hit = _impacted(nodes, edges, service, max_depth)
     decisions = live(nodes, "Decision").select(F.col("node_id").alias("src"), F.col("id").alias("decision_id"))
     touching = edge(edges, "ABOUT", "DEPRECATES").select("src", F.col("dst").alias("node"))
     return hit.join(touching, "node").join(decisions, "src").select("decision_id").distinct()
@@ -126,22 +156,49 @@ def blast_provenance(nodes: DataFrame, edges: DataFrame, service: str, max_depth
     return used.join(asserted, "element_key").distinct()
 
 
-def track_changes(nodes: DataFrame, edges: DataFrame, target: DataFrame, as_of: str, window_days: int = 90) -> DataFrame:
-    """KQ4: decisions of the window about or deprecating ``target`` (node_id), newest first by their valid_from.
-
-    Approvers are resolved persons; superseded decisions are named whatever their status.
-    """
+def _changes(nodes: DataFrame, edges: DataFrame, target: DataFrame, as_of: str, window_days: int) -> DataFrame:
+    """Decisions (src and their columns) of the window about or deprecating ``target``."""
     bounded(window_days, 1, 3650, "window_days")
     goal = live(nodes, "System", "Service").join(target, "node_id", "left_semi").select(F.col("node_id").alias("dst"))
     decisions = live(nodes, "Decision").where(in_window(F.col("valid_from"), as_of, window_days))
-    decisions = decisions.select(F.col("node_id").alias("src"), F.col("id").alias("decision_id"), "title", "status", "valid_from")
+    decisions = decisions.select(F.col("node_id").alias("src"), F.col("id").alias("decision_id"), "title", "status", "valid_from", "source_event_ids")
+    return edge(edges, "ABOUT", "DEPRECATES").select("src", "dst").join(goal, "dst").select("src").distinct().join(decisions, "src")
+
+
+def _approved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     people = live(nodes, "Person").select(F.col("node_id").alias("p"), F.col("canonical_id").alias("approver"))
-    approved = edge(edges, "APPROVED_BY").select("src", F.col("dst").alias("p")).join(people, "p").select("src", "approver")
+    return edge(edges, "APPROVED_BY").select("src", F.col("dst").alias("p"), "source_event_id").join(people, "p").select("src", "approver", "source_event_id")
+
+
+def _replaced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     older = nodes.where("label = 'Decision'").select(F.col("node_id").alias("q"), F.col("id").alias("older"))
-    replaced = edge(edges, "SUPERSEDES").select("src", F.col("dst").alias("q")).join(older, "q").select("src", "older")
-    met = edge(edges, "ABOUT", "DEPRECATES").select("src", "dst").join(goal, "dst").select("src").distinct().join(decisions, "src")
-    rows = met.join(approved, "src", "left").join(replaced, "src", "left").groupBy("decision_id", "title", "status", "valid_from")
-    return rows.agg(joined(F.col("approver")).alias("approvers"), joined(F.col("older")).alias("supersedes")).withColumn("valid_from", stamp(F.col("valid_from")))
+    return edge(edges, "SUPERSEDES").select("src", F.col("dst").alias("q"), "source_event_id").join(older, "q").select("src", "older", "source_event_id")
+
+
+def track_changes(nodes: DataFrame, edges: DataFrame, target: DataFrame, as_of: str, window_days: int = 90) -> DataFrame:
+    """KQ4: decisions of the window about or deprecating ``target`` (node_id), newest first by their valid_from.
+
+    Approvers are resolved persons; superseded decisions are named whatever their status.
+    """
+    met = _changes(nodes, edges, target, as_of, window_days).drop("source_event_ids")
+    rows = met.join(_approved(nodes, edges), "src", "left").join(_replaced(nodes, edges), "src", "left").groupBy("decision_id", "title", "status", "valid_from")
+    rows = rows.agg(joined(F.col("approver")).alias("approvers"), joined(F.col("older")).alias("supersedes"))
+    return rows.orderBy(F.desc("valid_from"), "decision_id").withColumn("valid_from", stamp(F.col("valid_from")))
+
+
+def change_provenance(nodes: DataFrame, edges: DataFrame, target: DataFrame, as_of: str, window_days: int = 90) -> DataFrame:
+    """KQ4: the events behind each decision, its approvals and its supersessions, in long form."""
+    met = _changes(nodes, edges, target, as_of, window_days).select("src", "decision_id", "source_event_ids")
+
+    def key(kind: str) -> Column:
+        return F.concat(F.lit(f"{kind}:"), "decision_id")
+
+    event = F.array("source_event_id")
+    return _provenance(
+        (met, key("node:Decision"), F.col("source_event_ids")),
+        (met.join(_approved(nodes, edges), "src"), key("edge:APPROVED_BY"), event),
+        (met.join(_replaced(nodes, edges), "src"), key("edge:SUPERSEDES"), event),
+    )
 
 
 def _ordering(order: str) -> list[Column]:
