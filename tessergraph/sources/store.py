@@ -1,9 +1,7 @@
 """Snapshot tables: appends, upserts and whole versions on plain Parquet.
 
-A table is a folder of numbered versions and a ``CURRENT`` file that names
-one. A version is written whole, then CURRENT is replaced, so readers see the
-old table or the new one. Parquet has no update, so a change is a join with
-the current version.
+Parquet has no update, so an upsert is a join with the current version; an
+append adds files. See `Store`.
 """
 
 from __future__ import annotations
@@ -48,41 +46,85 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Versioned tables under one folder."""
+    """Versioned tables under one folder.
+
+    A version is a small manifest file that names the table's parts. Parts are
+    written first and never change; a manifest appears by one rename, so
+    readers see the old table or the new one. Appending writes the new rows
+    alone. One writer at a time: a version that exists already is an error.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self, name: str) -> int | None:
-        fs, p = hadoop_path(self.spark, f"{self.root}/{name}/CURRENT")
+    def _versions(self, name: str) -> list[int]:
+        fs, p = hadoop_path(self.spark, f"{self.root}/{name}/versions")
         if not fs.exists(p):
-            return None
-        return int(self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0])
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(p))
+        return sorted(int(n[1:]) for n in names if n.startswith("v"))
+
+    def parts(self, name: str, version: int | None = None) -> list[str]:
+        """The folders of a version's parts; of the current version by default."""
+        found = self._versions(name)
+        if not found:
+            raise ValueError(f"no table {name}")
+        fs, p = hadoop_path(self.spark, f"{self.root}/{name}/versions/v{found[-1] if version is None else version:08d}")
+        held = fs.open(p)
+        try:
+            text = bytes(held.readAllBytes()).decode()
+        finally:
+            held.close()
+        return [f"{self.root}/{name}/{x}" for x in text.split()]
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return bool(self._versions(name))
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v{self._current(name):08d}")
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(*self.parts(name, version))
 
-    def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
-        """A new version; older ones stay readable until `vacuum`."""
-        version = (self._current(name) or 0) + 1
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/v{version:08d}")
-        fs, p = hadoop_path(self.spark, f"{self.root}/{name}/CURRENT")
-        out = fs.create(p, True)
-        out.write(bytearray(f"{version}\n".encode()))
+    def _commit(self, name: str, parts: list[str]) -> int:
+        version = (self._versions(name) or [0])[-1] + 1
+        fs, final = hadoop_path(self.spark, f"{self.root}/{name}/versions/v{version:08d}")
+        _, draft = hadoop_path(self.spark, f"{self.root}/{name}/versions/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray("\n".join(p.rpartition("/")[2] for p in parts).encode()))
         out.close()
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"{name}: another writer made version {version}")
         return version
 
-    def vacuum(self, name: str, keep: int = 2) -> None:
-        now = self._current(name) or 0
-        for version in range(1, now - keep + 1):
-            fs, p = hadoop_path(self.spark, f"{self.root}/{name}/v{version:08d}")
-            fs.delete(p, True)
+    def _part(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
+        path = f"{self.root}/{name}/part-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(path)
+        return path
+
+    def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
+        """A new version of ``df`` alone; older ones stay readable until `vacuum`."""
+        return self._commit(name, [self._part(name, df, partition_by)])
 
     def append(self, name: str, df: DataFrame) -> int:
-        return self.write(name, self.read(name).unionByName(df) if self.exists(name) else df)
+        """The table with the rows of ``df``, which has the same columns; only these are written."""
+        if not self.exists(name):
+            return self.write(name, df)
+        table = self.read(name)
+        if set(table.columns) != set(df.columns):
+            raise ValueError(f"{name} has columns {table.columns}, not {df.columns}")
+        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in table.schema))
+        return self._commit(name, [*self.parts(name), self._part(name, rows)])
+
+    def compact(self, name: str) -> int:
+        """The same rows in one part: after many appends."""
+        return self.write(name, self.read(name))
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Drops all but the last versions, and the parts that only they named."""
+        found = self._versions(name)
+        used = {p for v in found[-keep:] for p in self.parts(name, v)}
+        for version in found[:-keep]:
+            for path in (*set(self.parts(name, version)) - used, f"{self.root}/{name}/versions/v{version:08d}"):
+                fs, p = hadoop_path(self.spark, path)
+                fs.delete(p, True)
 
     def insert_new(self, name: str, df: DataFrame, keys: list[str], order: str) -> int:
         """Rows whose key the table lacks, the first of each key; returns how many there were."""
