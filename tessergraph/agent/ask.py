@@ -7,7 +7,9 @@ router and a template are used, so answers are deterministic.
 
 from __future__ import annotations
 
+import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.functions.exprs import ENDPOINTS, LABELS, answers_to
+from tessergraph.functions.text import CITATION
 from tessergraph.operators import typed
+from tessergraph.operators.evaluation import STRUCTURAL_ROUTES
 
 ROUTES = ("kq1", "kq2", "kq3", "kq4", "get_entity", "neighbors", "enumerate", "aggregate", "search", "unknown")
 MAX_RETRIES = 2
-_CITED = re.compile(r"\[evt:\s*([^\]]+?)\s*\]")
+_CITED = re.compile(CITATION)
 _DECISION = re.compile(r"\bD-\d+\b")
 _NAME = re.compile(r"@?[A-Za-z]+[-_#][\w#-]*\w")
 
@@ -98,6 +102,20 @@ class Tools:
     def __init__(self, nodes: DataFrame, edges: DataFrame, search: Callable[[str], DataFrame], as_of: str):
         self.nodes, self.edges, self.search, self.as_of = nodes, edges, search, as_of
 
+    def _target(self, name: str) -> DataFrame:
+        return self.nodes.where(F.col("canonical_name") == name).select("node_id")
+
+    def provenance(self, route: Route) -> DataFrame | None:
+        """(element_key, event_id) behind an answer whose rows don't carry their events."""
+        n, e, a = self.nodes, self.edges, route.tool_input
+        if route.name == "kq2":
+            return typed.contradiction_provenance(n, e, self.as_of, a.get("window_days", 30))
+        if route.name == "kq3":
+            return typed.blast_provenance(n, e, a["service"], a.get("max_depth", 5))
+        if route.name == "kq4":
+            return typed.change_provenance(n, e, self._target(a["target"]), self.as_of, a.get("window_days", 90))
+        return None
+
     def run(self, route: Route, question: str) -> DataFrame | None:
         n, e, a = self.nodes, self.edges, route.tool_input
         if route.name == "kq1":
@@ -107,8 +125,7 @@ class Tools:
         if route.name == "kq3":
             return typed.blast_services(n, e, a["service"], a.get("max_depth", 5))
         if route.name == "kq4":
-            target = n.where(F.col("canonical_name") == a["target"]).select("node_id")
-            return typed.track_changes(n, e, target, self.as_of, a.get("window_days", 90))
+            return typed.track_changes(n, e, self._target(a["target"]), self.as_of, a.get("window_days", 90))
         if route.name == "get_entity":
             return typed.get_entity(n, e, a["entity_id"], a.get("node_type_hint"))
         if route.name == "neighbors":
@@ -142,33 +159,83 @@ def is_verified(text: str, events: list[str]) -> bool:
     return bool(cited) and set(cited) <= set(events)
 
 
-STRUCTURAL = ("get_entity", "neighbors", "enumerate", "aggregate")
+def accepted(route: str, text: str, events: list[str]) -> tuple[bool, list[str]]:
+    """Whether an answer stands, and its citations.
 
+    Only a structural route without events stands without a citation, and then
+    what it cites nevertheless is dropped. Every other answer cites, and cites
+    nothing but events of its tool.
+    """
+    if route in STRUCTURAL_ROUTES and not events:
+        return True, []
+    return is_verified(text, events), inline_citations(text)
 
-def ask(question: str, tools: Tools, router: Callable[[str], Route] = route_question, writer: Callable[..., str] = template, most: int = 200) -> Answer:
-    """Route, run, write, verify. An answer that cites what the tool didn't return is written again, more strictly, at most twice.
 
-    Results of structural routes without events need no citation. most: rows shown to the writer.
-    """
+def _steps(question: str, tools: Tools, router: Callable[[str], Route], writer: Callable[..., str], most: int) -> Iterator[tuple[str, dict]]:
+    """The steps of an answer as they happen: (event type, data); the last one holds the answer."""
     if not 3 <= len(question) <= 500:
         raise ValueError("a question has 3 to 500 characters")
     try:
         route = checked_input(router(question))
     except Exception:
         route = Route("search", "the router failed")
+    yield "route", {"route": route.name, "reasoning": route.reasoning, "tool_input": route.tool_input}
+    yield "tool_start", {"tool": route.name}
     found = tools.run(route, question)
     if found is None:
-        return Answer("This is not about the graph.", route.name, [], False)
+        yield "tool_done", {"tool": route.name, "rows": 0, "events": 0}
+        yield "complete", {"answer": Answer("This is not about the graph.", route.name, [], False)}
+        return
     rows = [r.asDict(recursive=True) for r in found.limit(most).collect()]
     events = provenance(rows)
-    if not rows or (not events and route.name not in STRUCTURAL and route.name not in ("kq2", "kq3", "kq4")):
-        return Answer("Nothing in the graph answers this.", route.name, [], False)
-    text = ""
+    behind = tools.provenance(route) if rows else None
+    if behind is not None:
+        events = [r["event_id"] for r in behind.select("event_id").distinct().orderBy("event_id").limit(most).collect()]
+    yield "tool_done", {"tool": route.name, "rows": len(rows), "events": len(events)}
+    if not rows or (not events and route.name not in STRUCTURAL_ROUTES):
+        yield "complete", {"answer": Answer("Nothing in the graph answers this.", route.name, [], False, rows=rows)}
+        return
+    text, retry = "", 0
     for retry in range(MAX_RETRIES + 1):
+        yield "synthesis_start", {"retry": retry > 0}
         text = writer(question, route, rows, events, retry > 0)
-        if not events or is_verified(text, events):
-            return Answer(text, route.name, inline_citations(text), True, retry, None, rows)
-    return Answer(text, route.name, [], False, MAX_RETRIES, "provenance_failed", rows)
+        for word in re.findall(r"\S+\s*", text):
+            yield "synthesis_token", {"text": word}
+        yield "synthesis_done", {"characters": len(text)}
+        yield "verify_start", {}
+        verified, citations = accepted(route.name, text, events)
+        yield "verify_done", {"verified": verified, "citations": citations, "retry": retry}
+        if verified:
+            yield "complete", {"answer": Answer(text, route.name, citations, True, retry, None, rows)}
+            return
+    yield "complete", {"answer": Answer(text, route.name, [], False, retry, "provenance_failed", rows)}
+
+
+def ask(question: str, tools: Tools, router: Callable[[str], Route] = route_question, writer: Callable[..., str] = template, most: int = 200) -> Answer:
+    """Route, run, write, verify. An answer that cites what the tool didn't return is written again, more strictly, at most twice.
+
+    most: rows shown to the writer, and events that it may cite.
+    """
+    *_, (_, last) = _steps(question, tools, router, writer, most)
+    return last["answer"]
+
+
+def framed(kind: str, data: dict) -> str:
+    """A server-sent event: its type, its data as JSON, an empty line."""
+    return f"event: {kind}\ndata: {json.dumps(data, default=str)}\n\n"
+
+
+def ask_stream(question: str, tools: Tools, router: Callable[[str], Route] = route_question, writer: Callable[..., str] = template, most: int = 200) -> Iterator[str]:
+    """The same as server-sent events, while it happens; what goes wrong is the last event, of type error."""
+    began = time.monotonic()
+    try:
+        for kind, data in _steps(question, tools, router, writer, most):
+            if kind == "complete":
+                a = data["answer"]
+                data = {"answer": a.text, "route": a.route, "citations": a.citations, "verified": a.verified, "retries": a.retries, "error": a.error, "latency_ms": round(1000 * (time.monotonic() - began), 1)}
+            yield framed(kind, data)
+    except Exception as error:
+        yield framed("error", {"error": str(error)[:500], "stage": "unknown"})
 
 
 def resolve_citations(cited: DataFrame, events: DataFrame, size: int = 200) -> DataFrame:

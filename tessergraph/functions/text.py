@@ -12,9 +12,10 @@ OPPOSITION_CUES = (
 )
 #: Properties that extractors can't set.
 RESERVED = ("id", "canonical_name", "canonical_id", "source_event_ids", "created_at")
+#: Patterns of a decision's formal id, of what a text says is superseded, and of a citation.
 FORMAL_ID = r"^D-\d{3,4}$"
-_SUPERSEDED = r"(?i)supersed\w*\s+(?:the\s+)?(D-\d{3,4})"
-_CITATION = r"\[evt:\s*([^\]]+?)\s*\]"
+SUPERSEDED = r"(?i)supersed\w*\s+(?:the\s+)?(D-\d{3,4})"
+CITATION = r"\[evt:\s*([^\]]+?)\s*\]"
 
 
 def strip(text: Column) -> Column:
@@ -61,7 +62,7 @@ def message_id(source: Column, external: Column) -> Column:
 
 def supersedes_target(text: Column, own_id: Column) -> Column:
     """The first decision id that the text says is superseded, other than its own; null if none."""
-    found = F.regexp_extract_all(text, F.lit(_SUPERSEDED), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(SUPERSEDED), F.lit(1))
     return F.try_element_at(F.filter(found, lambda x: x != own_id), F.lit(1))
 
 
@@ -84,7 +85,7 @@ def mentions(text: Column, name: Column) -> Column:
 
 def inline_citations(text: Column) -> Column:
     """Cited event ids in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(_CITATION), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)))
 
 
 def without_fences(text: Column) -> Column:
