@@ -86,6 +86,52 @@ def failure_modes(expected: DataFrame, found: DataFrame) -> DataFrame:
     return wrong.groupBy("mode").agg(F.count("*").alias("n")).join(examples, "mode")
 
 
+#: The modes' names by kind.
+MODES = {
+    "entity": ("missed_entity", "spurious_entity", "wrong_entity_type"),
+    "relationship": ("missed_relationship", "spurious_relationship", "wrong_relationship_type"),
+}
+
+
+def failure_report(expected: DataFrame, found: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(mode, n): what an extraction missed, made up or mistyped, and aliases that were not merged.
+
+    expected and found: (kind, key, type), kind as in MODES. aliases: (canonical,
+    surface) of the mentions found; a canonical name under several surfaces
+    counts once as alias_not_merged.
+    """
+    e = expected.groupBy("kind", "key").agg(F.sort_array(F.collect_set("type")).alias("et"))
+    f = found.groupBy("kind", "key").agg(F.sort_array(F.collect_set("type")).alias("ft"))
+    met, mode = e.join(f, ["kind", "key"], "full"), F.lit(None).cast("string")
+    for kind, (missed, spurious, wrong) in MODES.items():
+        named = F.when(F.col("ft").isNull(), missed).when(F.col("et").isNull(), spurious).when(F.col("et") != F.col("ft"), wrong)
+        mode = F.when(F.col("kind") == kind, named).otherwise(mode)
+    apart = aliases.groupBy("canonical").agg(F.countDistinct("surface").alias("n")).where("n > 1").select(F.lit("alias_not_merged").alias("mode"))
+    return met.select(mode.alias("mode")).where("mode IS NOT NULL").union(apart).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+STRUCTURAL_ROUTES = ("get_entity", "neighbors", "enumerate", "aggregate")
+
+
+def agent_summary(rows: DataFrame) -> DataFrame:
+    """Over all questions: (expected_route, actual_route, synthesized, first_try, overlap, cost, latency_ms).
+
+    Refusals count among questions that should be refused, first tries among
+    answers that were written, overlap where it is known, and structural
+    accuracy among the structural routes; of nothing each is 0.
+    """
+    right = (F.col("expected_route") == F.col("actual_route")).cast("double")
+
+    def mean(value: Column, where: Column | None = None) -> Column:
+        return F.round(F.coalesce(F.avg(value if where is None else F.when(where, value)), F.lit(0.0)), 6)
+
+    return rows.agg(
+        F.count("*").alias("n"), mean(right).alias("route_accuracy"), mean(right, F.col("expected_route").isin(*STRUCTURAL_ROUTES)).alias("structural_accuracy"),
+        mean(right, F.col("expected_route") == "unknown").alias("refusal_correctness"), mean(F.col("first_try").cast("double"), F.col("synthesized")).alias("first_try_rate"),
+        mean(F.col("overlap")).alias("mean_overlap"), mean(F.col("cost")).alias("mean_cost"), F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 1).alias("mean_latency_ms"),
+    )
+
+
 def agent_report(rows: DataFrame) -> DataFrame:
     """By route: rows (route, chosen, refused, should_refuse, first_try, cost, latency_ms)."""
     return rows.groupBy("route").agg(

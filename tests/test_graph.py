@@ -230,3 +230,98 @@ def test_store_versions(spark, tmp_path):
     assert store.insert_new("t", df, ["k"], "v") == 0
     store.upsert("t", spark.createDataFrame([(2, "z"), (3, "y")], "k int, v string"), ["k"])
     assert rows(store.read("t")) == [(1, "a"), (2, "z"), (3, "y")]
+
+
+def test_traversals_have_no_silent_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(150)], "src long, dst long")
+    end = spark.createDataFrame([(150,)], "node long")
+    assert dict(rows(traverse.reachable(chain, end))) == {150 - k: k for k in range(1, 151)}
+    assert dict(rows(traverse.reachable(chain, end, 7))) == {150 - k: k for k in range(1, 8)}
+    assert dict(rows(traverse.chain_heads(chain))) == {i: 150 for i in range(150)}
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 1)], "src long, dst long")
+    with pytest.raises(ValueError):
+        traverse.chain_heads(circle)
+    with pytest.raises(ValueError):
+        traverse.longest_depth(circle)
+    assert dict(rows(traverse.reachable(circle, spark.createDataFrame([(1,)], "node long")))) == {2: 2, 3: 1, 7: 1}
+
+
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_either_way(spark, one_task):
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(300 + i, 400) for i in range(20)] + [(7, 7), (900, 900), (None, 3)]
+    got = dict(rows(traverse.components(spark.createDataFrame(links, "src long, dst long"), one_task)))
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {300 + i: 300 for i in range(20)} | {400: 300, 900: 900}
+    assert traverse.components(spark.createDataFrame([], "src long, dst long"), one_task).count() == 0
+
+
+def test_blast_passes_through_nodes_of_any_label(spark):
+    nodes = [node("Service", "a"), node("Team", "t"), node("Service", "c"), node("Service", "m", status="merged"), node("Service", "d")]
+    edges = [link("DEPENDS_ON", "Team:t", "Service:a", "e1"), link("DEPENDS_ON", "Service:c", "Team:t", "e2"), link("DEPENDS_ON", "Service:m", "Service:a"), link("DEPENDS_ON", "Service:d", "Service:m")]
+    g = spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA)
+    assert rows(typed.blast_services(*g, "a")) == [("c", 2, 2)]
+    assert {e for _, e in rows(typed.blast_provenance(*g, "a"))} == {"e1", "e2"}
+
+
+def test_provenance_of_contradictions_and_changes(graph):
+    got = rows(typed.contradiction_provenance(*graph, "2026-06-01", 30))
+    assert got == [("edge:CONTRADICTS:slack:1->D-0001", "e-slack:1"), ("edge:CONTRADICTS:slack:1->D-0001", "e1"), ("node:Decision:D-0001", "e-D-0001")]
+    assert rows(typed.contradicting_messages(*graph, "2026-06-01", 30).select("message_id", "said_at")) == [("slack:1", "2026-05-29 00:00:00")]
+    target = graph[0].where("canonical_name = 'pay'").select("node_id")
+    assert rows(typed.change_provenance(*graph, target, "2026-06-01", 90)) == [("edge:APPROVED_BY:D-0001", "e"), ("edge:SUPERSEDES:D-0001", "e"), ("node:Decision:D-0001", "e-D-0001")]
+
+
+def test_contradiction_candidates_anywhere_in_a_text(spark, monkeypatch):
+    from tessergraph.operators import matching
+
+    said = [("1", "we should not touch oauth"), ("2", "pre-D-100 plans"), ("3", "D-1000 and xD-100"), ("4", "AUTH is stale"), ("5", "auth is fine"), ("6", None), ("7", ""), ("8", "so D-100.")]
+    messages = spark.createDataFrame(said, "id string, content string")
+    decisions = spark.createDataFrame([("D-100", ["auth", None, ""]), ("D-2", ["Auth", "billing"]), ("D-3", [])], "id string, subjects array<string>")
+    want = [("1", "D-100", "subject"), ("1", "D-2", "subject"), ("2", "D-100", "id"), ("4", "D-100", "subject"), ("4", "D-2", "subject"), ("8", "D-100", "id")]
+    assert rows(temporal.contradiction_candidates(messages, decisions)) == want
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 1)
+    names = spark.createDataFrame([(n,) for n in ("ab", "b", "abc", "zz", None, "", "ab")], "name string")
+    texts = spark.createDataFrame([(1, "xabcx"), (2, "b"), (3, None)], "key long, text string")
+    assert rows(matching.occurring(texts, names, block_bytes=70)) == rows(matching.occurring(texts, names)) == [(1, "ab"), (1, "abc"), (1, "b"), (2, "b")]
+
+
+def test_scoped_candidates_and_edges(spark):
+    messages = spark.createDataFrame(
+        [("slack:1", "Message:1", "D-1 is wrong", DAY, ["e1", "e2"]), ("slack:2", "Message:2", "D-1 is right", DAY - dt.timedelta(days=70), []), ("slack:3", "Message:3", "not D-2", DAY, ["e3"])],
+        "id string, node_id string, content string, created_at timestamp_ntz, source_event_ids array<string>",
+    )
+    decisions = spark.createDataFrame([("D-1", "Decision:D-1", None, ["x"]), ("D-2", "Decision:D-2", "two", ["x"])], "id string, node_id string, title string, subjects array<string>")
+    assert rows(temporal.candidates_of_message(messages, decisions, "slack:2")) == [("slack:2", "D-1", "id")]
+    assert rows(temporal.candidates_of_decision(messages, decisions, "D-1", "2026-06-01")) == [("slack:1", "D-1", "id")]
+    every = temporal.contradiction_candidates(messages, decisions)
+
+    def judge(content, decision_id, title):
+        return '{"contradicts": true, "confidence": 0.5}' if "wrong" in content else "no json"
+
+    got = temporal.contradiction_edges(every, messages, decisions, judge).select("src", "dst", "confidence", "source_event_id")
+    assert rows(got) == [("Message:1", "Decision:D-1", 0.5, "e1")]
+    column = F.when(F.col("title") == "two", '{"contradicts": true, "confidence": 1.0}').otherwise('{"contradicts": true, "confidence": 7}')
+    assert rows(temporal.contradiction_edges(every, messages, decisions, column).select("src")) == [("Message:3",)]
+
+
+def test_appends_write_their_own_rows_alone(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    for i in range(12):
+        store.append("t", spark.createDataFrame([(i, "x")], "k int, v string").coalesce(1))
+    assert rows(store.read("t")) == [(i, "x") for i in range(12)]
+    assert len(list(tmp_path.glob("t/part-*/*.parquet"))) == 12 and len(store.parts("t")) == 12
+    assert store.read("t", 3).count() == 3
+    with pytest.raises(ValueError):
+        store.append("t", spark.createDataFrame([(1,)], "k int"))
+    assert store.insert_new("t", spark.createDataFrame([(3, "again"), (50, "new")], "k int, v string"), ["k"], "v") == 1
+    store.compact("t")
+    store.vacuum("t", 1)
+    assert store.read("t").count() == 13 and len(list(tmp_path.glob("t/part-*"))) == 1
+
+
+def test_many_vector_queries_equal_one_by_one(spark):
+    vectors = spark.createDataFrame([(f"d{i}", [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [("zero", [0.0, 0.0, 0.0])], "event_id string, embedding array<float>")
+    queries = [(q, [float(q), 1.0, 0.5]) for q in range(6)] + [(9, [0.0, 0.0, 0.0])]
+    got = search.vector_topk_many(vectors, spark.createDataFrame(queries, "query_id long, embedding array<float>"), 5, block=2).collect()
+    for q, v in queries:
+        want = [(r["event_id"], round(r["similarity"], 9)) for r in search.vector_topk(vectors, v, 5).collect()]
+        assert sorted((r["event_id"], round(r["similarity"], 9)) for r in got if r["query_id"] == q) == sorted(want) or {s for _, s in want} == {round(r["similarity"], 9) for r in got if r["query_id"] == q}
