@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm.common import as_bytes, drop, is_empty, map_rows, mixed, prepare, window_hashes, word_hashes, written
-from tessergraph.llm.components import components
+from tessergraph.operators.traverse import components
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 2
@@ -169,6 +169,10 @@ def crossed(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
     return links
 
 
+def _components(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
 def unmet(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """The links (a, b) within buckets that comparing with the first and last member has not joined.
 
@@ -178,11 +182,13 @@ def unmet(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """
     label = found.select(F.col("node").alias("rep"), "component")
     named = members.where("size > 3").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_bands = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n").alias("all_n")).where("least < most")
-    main = named.where("rep = lo").select("band", F.col("component").alias("main"))
-    waiting = named.join(open_bands.join(main, "band"), "band").withColumn("asks", F.col("component") != F.col("main"))
-    asked = waiting.where("asks").groupBy("band").agg(F.sum("n").alias("ask_n"))
-    waiting = waiting.join(asked, "band")
+    # By band and component first, so that a hot band is a few rows when bands meet; written, so that its members can be split in the join.
+    parts = named.groupBy("band", "component").agg(F.sum("n").alias("n"), F.max(F.col("rep") == F.col("lo")).alias("is_main"))
+    bands = parts.groupBy("band").agg(
+        F.sum("n").alias("all_n"), F.sum(F.when(~F.col("is_main"), F.col("n"))).alias("ask_n"), F.max(F.when(F.col("is_main"), F.col("component"))).alias("main")
+    )
+    bands, _ = written(bands.where("ask_n > 0"), "open_bands")
+    waiting = named.join(bands, "band").withColumn("asks", F.col("component") != F.col("main"))
     waiting = waiting.withColumn("ask_blocks", F.expr(f"CAST(1 + ask_n div {ASK_SHINGLES} AS INT)")).withColumn("all_blocks", F.expr(f"CAST(1 + all_n div {ALL_SHINGLES} AS INT)"))
     draw = F.xxhash64("rep")
     asking = waiting.where("asks").select("band", F.pmod(draw, "ask_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("asks"), "rep", "component")
@@ -199,9 +205,10 @@ def unmet(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept.
 
-    Documents without a word have an empty set and are linked with nothing.
-    Rows of one id are one node. A null id is linked with nothing, has a null
-    component and is kept. An empty table gives an empty one.
+    Ids are integers. Documents without a word have an empty set and are
+    linked with nothing. Rows of one id are one node. A null id is linked with
+    nothing, has a null component and is kept. An empty table gives an empty
+    one. Only the columns named are read, so other names can't clash.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -216,6 +223,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Buckets of two and more.
     placed = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    shared, shared_path = written(shared, "shared")  # so that the join is of two dealt sides and a hot band's members can be split
     members, members_path = written(placed.join(shared, "band").select("band", "rep", "n", "lo", "hi", "size"), "members")
     sets, sets_path = written(_sets(docs, members.select("rep").distinct(), id_column, text_column), "sets")
 
@@ -227,12 +235,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     stars = first.union(last).distinct()
     pairs = stars.join(drawn_as("p", "a"), "a").join(drawn_as("q", "b"), "b").where(likely("p", "q")).select("a", "b")
     links, links_path = written(confirmed(pairs, sets), "confirmed")
-    found, found_path = written(components(links), "components")
+    found, found_path = written(_components(links), "components")
     rest, rest_path = written(unmet(members, found, sets), "rest")
-    paths = [seen_path, classes_path, members_path, sets_path, links_path, rest_path]
+    paths = [seen_path, classes_path, shared_path, members_path, sets_path, links_path, rest_path]
     if not is_empty(rest):
         paths.append(found_path)
-        found, found_path = written(components(links.union(rest)), "components")
+        found, found_path = written(_components(links.union(rest)), "components")
 
     named = seen.join(classes.select("d0", "d1", "rep"), ["d0", "d1"], "left")
     result = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tessergraph.llm import components, near_dedup, phrase_dedup
+from tessergraph.llm import near_dedup, phrase_dedup
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,13 +103,6 @@ def test_links_that_only_others_have_are_found():
     assert near_dedup.crossed(rows) == [(3, 2)]
 
 
-def test_components_of_chains_and_stars(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect()))
-    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 def removed(rows):
     words = [(k, WORD.findall(t or "")) for k, t in rows]
     first: dict = {}
