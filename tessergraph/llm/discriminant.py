@@ -9,7 +9,6 @@ Mahalanobis distances by cached Cholesky factors.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,16 +23,20 @@ TO_DIAGONAL, TO_SCALE = 0.10, 0.02
 THRESHOLD = 0.7
 
 NAMES = (
-    "word_length", "upper", "symbols", "digits", "exclaims", "distinct",
-    "top_word", "same_next", "repeated_lines", "bar_words", "odd_words",
+    "word_length", "upper", "symbols", "digits", "exclaims", "distinct", "top_word", "same_next",
+    "repeated_lines", "repeated_triples", "bare_words", "mark_tails", "mark_runs", "word_entropy", "byte_entropy",
 )
 #: A share is seen beside so many more characters or words of usual prose, so that a short text says little.
 USUAL_CHARS, USUAL_WORDS, USUAL_LENGTH, USUAL_UPPER = 200, 20, 6.0, 0.03
-_UPPER = bytes(range(65, 91))
-_LOWER = bytes(range(97, 123))
+#: Entropies of usual prose, which a short text is drawn to: of words relative to the most there can be, and of bytes.
+USUAL_WORD_ENTROPY, USUAL_BYTE_ENTROPY = 0.97, 4.2
 _DIGITS = b"0123456789"
-_SYMBOLS = b"#*$%&|<>@^~={}[]\\"
-_ODD = re.compile(rb"[#*$%&|<>!]{2,}$")
+#: ASCII marks that prose has between its words, and all others.
+_PROSE = b".,;:!?'\"()-"
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_SYMBOLS = _MARKS.translate(None, _PROSE)
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(_MARKS)] = True
 
 
 def _root(share: float) -> float:
@@ -41,33 +44,58 @@ def _root(share: float) -> float:
     return float(np.arcsin(np.sqrt(min(max(share, 0.0), 1.0))))
 
 
+def _entropy(counts: np.ndarray) -> float:
+    """In bits."""
+    shares = counts[counts > 0] / counts.sum()
+    return float(-(shares * np.log2(shares)).sum())
+
+
+def _capitals(text: str) -> int:
+    """Characters that have a lower case other than themselves."""
+    low = text.lower()
+    if len(low) != len(text):
+        return sum(c != c.lower() for c in text)
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (text, low))
+    return int((a != b).sum())
+
+
 def statistics(data: bytes) -> list[float]:
-    """The vector of one text; an empty text is like usual prose."""
+    """The vector of one text, of any language and script; an empty text is like usual prose."""
     words = data.split()
     n = len(words)
     some = n + USUAL_WORDS
     counts = Counter(words)
+    triples = Counter(zip(words, words[1:], words[2:]))
     lines = [x for x in data.split(b"\n") if x.strip()]
-
-    def count(chars: bytes) -> int:
-        return len(data) - len(data.translate(None, chars))
+    raw = np.frombuffer(data, np.uint8)
+    marks = _IS_MARK[raw]
+    text = data.decode("utf-8", "replace")
+    letters = len(text) - int(marks.sum()) - (len(data) - len(data.translate(None, b" \t\n\r\v\f0123456789")))
 
     def share(chars: bytes) -> float:
-        return _root(count(chars) / (len(data) + USUAL_CHARS))
+        return _root((len(data) - len(data.translate(None, chars))) / (len(data) + USUAL_CHARS))
+
+    def drawn(value: float, usual: float, size: int, weight: int) -> float:
+        return (size * value + weight * usual) / (size + weight)
 
-    upper = count(_UPPER)
+    word_entropy = _entropy(np.fromiter(counts.values(), float, len(counts))) / np.log2(max(n, 2)) if n > 1 else USUAL_WORD_ENTROPY
+    byte_entropy = _entropy(np.bincount(raw, minlength=256)) if len(raw) else USUAL_BYTE_ENTROPY
     return [
         float(np.log((sum(map(len, words)) + USUAL_WORDS * USUAL_LENGTH) / some)),
-        _root((upper + USUAL_CHARS * USUAL_UPPER) / (upper + count(_LOWER) + USUAL_CHARS)),
+        _root((_capitals(text) + USUAL_CHARS * USUAL_UPPER) / (letters + USUAL_CHARS)),
         share(_SYMBOLS),
         share(_DIGITS),
-        share(b"!"),
+        share(b"!?"),
         float(np.log(len(counts) + USUAL_WORDS) / np.log(some)),
         _root(max(counts.values(), default=0) / some),
         _root(sum(map(bytes.__eq__, words, words[1:])) / some),
         _root((len(lines) - len(set(lines))) / (len(lines) + 5)),
-        _root(counts[b"|"] / some),
-        _root(sum(_ODD.search(w) is not None for w in words) / some),
+        _root(sum(c for c in triples.values() if c > 1) / some),
+        _root(sum(c for w, c in counts.items() if not w.translate(None, _MARKS)) / some),
+        _root(sum(c for w, c in counts.items() if len(w) - len(w.rstrip(_MARKS)) > 1) / some),
+        _root(int((marks[1:] & marks[:-1]).sum()) / (len(data) + USUAL_CHARS)),
+        drawn(word_entropy, USUAL_WORD_ENTROPY, n, USUAL_WORDS),
+        drawn(byte_entropy, USUAL_BYTE_ENTROPY, len(data), USUAL_CHARS),
     ]
 
 
@@ -141,7 +169,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
     labels: doc_id and quality (0 or 1; others are left out). Statistics are
     computed once and written; labels meet them, not the texts. A null text
-    counts as empty. Without rows of both classes every score is 0.5.
+    counts as empty; a null id is in no fold and learns nothing. Repeated rows
+    are scored each, and learnt from each. Without two rows of both classes
+    every score is 0.5; an empty table gives an empty one. Only the columns
+    named are read, so other names can't clash.
     """
     spark = docs.sparkSession
     x, _ = written(vectors(docs, id_column, text_column), "statistics")
