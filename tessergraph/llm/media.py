@@ -3,8 +3,8 @@
 `sequences` turns HTML into an array of items in page order: text, or a
 reference to a medium with its caption. `store` keeps payloads as greyscale
 PNG images of 8-bit samples in a table by digest; `features` reads them back.
-`resolve` joins references and payloads by digest, and puts the items back in
-their positions, so captions stay beside their media.
+`resolve` joins references and payloads by digest and puts each payload beside
+its reference in the page's array, so positions and captions stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.llm.common import as_bytes, map_rows, prepare, written
-from tessergraph.llm.markup import BLOCKS, RAW, VOID, attributes, tokens
+from tessergraph.llm.markup import BLOCKS, UNSEEN, VOID, attributes, tokens
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -83,7 +83,9 @@ def feature(payload: bytes) -> str:
 def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Written table: key, n_bytes, digest (of the payload) and ``media``, the stored form of each text.
 
-    Null texts count as empty; an empty payload is WIDTH zeros.
+    Null texts count as empty; an empty payload is WIDTH zeros. Repeated rows
+    are stored each; an empty table gives an empty one. Only the columns named
+    are read, so other names can't clash.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -143,10 +145,11 @@ def items_of(page: str | None) -> list[tuple[int, str, str | None, str | None, s
     """
     items: list[list] = []
     held: list[str] = []
+    opened: list[str] = []
     figure: int | None = None  # first item of the open figure
-    in_caption, skipped = False, ""
+    in_caption = False
 
-    def flush() -> str:
+    def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text and in_caption and figure is not None:
@@ -155,16 +158,13 @@ def items_of(page: str | None) -> list[tuple[int, str, str | None, str | None, s
                     item[3] = text
         elif text:
             items.append(["text", text, None, None])
-        return text
 
     for kind, value, source in tokens(page or ""):
         if kind == "text":
-            if not skipped:
+            if not UNSEEN.intersection(opened):
                 held.append(value)
         elif kind == "open":
-            if value in RAW:
-                skipped = value
-            elif value in MEDIA_TAGS:
+            if value in MEDIA_TAGS:
                 flush()
                 a = attributes(source)
                 src = a.get("src", "")
@@ -176,15 +176,19 @@ def items_of(page: str | None) -> list[tuple[int, str, str | None, str | None, s
                 figure = len(items)
             elif value == "figcaption":
                 in_caption = True
+            if value not in VOID and not source.endswith("/"):
+                opened.append(value)
         else:
-            if value == skipped:
-                skipped = ""
             if value in BLOCKS:
                 flush()
             if value == "figcaption":
                 in_caption = False
             elif value == "figure":
                 figure = None
+            for i in range(len(opened) - 1, -1, -1):
+                if opened[i] == value:
+                    del opened[i:]
+                    break
     flush()
     return [(i, *item) for i, item in enumerate(items)]
 
@@ -204,11 +208,21 @@ def sequences(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
     return map_rows(pages.select(pages[id_column], pages[html_column]), f"key {kind}, items array<{ITEM}>", make)
 
 
-def resolve(sequence: DataFrame, payloads: DataFrame, row: str = "row") -> DataFrame:
-    """One row per item of ``sequence`` (``row``, key, items), with the payload's columns where the digest is known.
+PAYLOAD = "struct<" + FEATURES.replace(" ", ":").replace(",:", ",") + ">"
 
-    payloads has one row per digest. Text items and unknown digests have nulls.
+
+def resolve(sequence: DataFrame, payloads: DataFrame) -> DataFrame:
+    """``sequence`` with a ``payload`` in each of its ``items``: the columns of `features` where the digest is known, or null.
+
+    payloads has one row per digest. Items stay in their order, and rows
+    without items stay, too; repeated rows are resolved each. Only references
+    are dealt by digest, against a written table, so those of one medium that
+    many pages show can be split.
     """
-    each = sequence.select(row, "key", F.explode("items").alias("i")).select(row, "key", "i.*")
-    known = payloads.withColumnRenamed("digest", "_digest")
-    return each.join(known, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    held, _ = written(sequence.withColumn("_row", F.monotonically_increasing_id()), "sequences")
+    known, _ = written(payloads.select("digest", F.struct(*(f.split()[0] for f in FEATURES.split(", "))).alias("payload")), "payloads")
+    each = held.select("_row", F.explode("items").alias("i")).where("i.digest IS NOT NULL").select("_row", "i.position", "i.digest")
+    found = each.join(known, "digest").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("_found"))
+    met = held.join(found, "_row", "left")
+    item = F.transform("items", lambda i: F.struct(*(i[n].alias(n) for n in ("position", "kind", "text", "digest", "caption")), F.try_element_at("_found", i["position"]).alias("payload")))
+    return met.withColumn("items", item).select(*sequence.columns)

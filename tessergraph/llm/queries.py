@@ -39,10 +39,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents"))
     page = F.concat(F.lit(f'<figure><img src="{media.SCHEME}'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("key").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
     pages = stored.select(F.struct("key", "n_bytes").alias("row"), page.alias("page"))
-    items = media.resolve(media.sequences(pages, "row", "page").withColumn("row", F.col("key")), media.features(stored))
-    return items.where("kind = 'media'").select(
-        F.col("row.key").alias("doc_id"), F.col("row.n_bytes").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+    rows = media.resolve(media.sequences(pages, "row", "page"), media.features(stored))
+    medium = F.filter("items", lambda i: i["kind"] == "media")[0]["payload"]
+    return rows.select(
+        F.col("key.key").alias("doc_id"), F.col("key.n_bytes").alias("n_bytes"),
+        *(medium[n].alias(n) for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")),
     )
 
 
