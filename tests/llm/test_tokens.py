@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessergraph.llm import bpe, packing, token_shards
@@ -163,3 +164,54 @@ def test_packed_pieces(spark):
         assert end <= 64
     assert len(by) <= -(-sum(w[3] for w in want) // 64) + 1
     assert packing.pack_documents(df.limit(0), WORD).count() == 0
+
+
+def test_queries_equal_the_library_in_every_column(spark):
+    import hashlib
+
+    from tessergraph.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+
+    def packed(ids):
+        return np.array(ids, "<u4").tobytes()
+
+    ids = {k: word.encode(t, add_special_tokens=False).ids for k, t in docs.items()}
+    want = {k: (len(i), hashlib.sha256(packed(i)).hexdigest(), hashlib.sha256(word.decode(i, skip_special_tokens=False).encode()).hexdigest()) for k, i in ids.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op2_bpe(spark, sf).collect()} == want
+
+    start, want = 0, {}
+    for k in sorted(docs):
+        row = [*byte.encode(docs[k], add_special_tokens=False).ids, 2]
+        want[k] = (start, len(row), zlib.crc32(packed(row)))
+        start += len(row)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op7_token_shards(spark, sf).collect()} == want
+
+    want, places = {}, {}
+    for k, i in ids.items():
+        row = [*i, 0]
+        want |= {(k, p): (s, len(row[s : s + 2048]), zlib.crc32(packed(row[s : s + 2048]))) for p, s in enumerate(range(0, len(row), 2048))}
+    got = queries.op8_packing(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+    assert len(places) == packing.lower_bound(Counter(n for _, n, _ in want.values()), 2048)
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    rows = [(3, "one text", "clash"), (3, "another", "clash"), (3, "one text", "clash"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string").withColumn("ids", F.lit("x")).withColumn("task", F.lit(1)).withColumn("key", F.lit(2))
+    library = Tokenizer.from_file(BYTE)
+    manifest, _ = token_shards.write_shards(df, BYTE, end_id=2)
+    got = token_shards.read_shards(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, 3, 3, 3]
+    assert sorted(bytes(r["ids"]) for r in got) == sorted(np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t, _ in rows)
+    assert packing.pack_documents(df, WORD, capacity=64).count() == 4
+    encoded = {(r["doc_id"], bytes(r["ids"])) for r in bpe.encode_decode(df, WORD).collect()}
+    library = Tokenizer.from_file(WORD)
+    assert encoded == {(k, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for k, t, _ in rows}
