@@ -20,20 +20,34 @@ LEAST_LANGUAGE_SCORE = 0.30
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts without a letter, or of no learned language's letters, go."""
+    """Documents with a language: texts without a letter, or of no learned language's letters, go.
+
+    Null, empty and letterless texts go; so does every text if no row has a
+    language to learn from. Each row is judged by itself: rows that share an
+    id, equal rows too, stay or go each by their own text.
+    """
     prepare(spark)
     rows = language.predict(docs, language.fit(docs), carry=COLUMNS)
     return rows.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the repetition limits."""
+    """Documents that pass the base rules and the repetition limits.
+
+    Null and empty texts, and those of fewer than ten words, go. Each row is
+    judged by its own text, so repeated ids and rows don't matter.
+    """
     prepare(spark)
     return repetition.repetition_rules(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def by_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Rows that share an id are one document: they stay or go together, all of
+    them, if any of their texts is near one of a smaller id. Texts without a
+    word and null ids are near nothing and stay.
+    """
     prepare(spark)
     gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -53,7 +67,13 @@ def by_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in packed sequences."""
+    """Pieces of at most 2048 tokens and their places in packed sequences.
+
+    Null and empty texts are one piece of the end id; repeated rows are packed
+    each. Equally long pieces are exchangeable: which of them takes which place
+    is open.
+    """
+    prepare(spark)
     return packing.pack_documents(docs, WORD_BPE, capacity=2048, end_id=0)
 
 
@@ -65,13 +85,14 @@ STAGES = [
     ("packing", by_packing),
 ]
 
-#: Languages, similarities and tokens are beyond SQL; a test compares the substring stage with a brute-force version, none all of run().
+#: Languages, similarities and tokens are beyond SQL; tests/llm/test_pipeline.py compares each stage and run() with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written and read again; columns other than a document's are left out at once."""
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs, _ = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
