@@ -107,6 +107,17 @@ def stamp(when: Column) -> Column:
     return F.date_format(when, "yyyy-MM-dd HH:mm:ss")
 
 
+def iso(when: Column) -> Column:
+    """ISO 8601 with microseconds where there are any; without a zone, as the column has none."""
+    plain = F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(when, "SSSSSS") == "000000", plain).otherwise(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def jsonable(*columns: str) -> Column:
+    """A JSON object of the columns, without nulls; times in ISO 8601."""
+    return F.to_json(F.struct(*columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"})
+
+
 def joined(values: Column) -> Column:
     """Sorted distinct values as one string."""
     return F.array_join(F.sort_array(F.collect_set(values)), ",")

@@ -141,6 +141,12 @@ def embedding_input(label: Column, more: tuple[str, ...] = ()) -> Column:
     )
 
 
+def decision_text(title: Column, body: Column, key: Column) -> Column:
+    """What a decision says, for comparing contents: title and body, or else its id."""
+    said = strip(F.concat_ws(" ", title, body))
+    return F.when(said != "", said).otherwise(key)
+
+
 def duration_ms(started: Column, completed: Column) -> Column:
     """Milliseconds with one decimal; null while it runs."""
     return F.round(F.timestamp_diff("MICROSECOND", started, completed) / 1000.0, 1)

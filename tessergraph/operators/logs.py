@@ -25,6 +25,10 @@ def by_type(events: DataFrame, source_type: str) -> DataFrame:
     return events.where(F.col("source_type") == source_type).orderBy("created_at", "id")
 
 
+def by_time(events: DataFrame) -> DataFrame:
+    return events.orderBy("created_at", "id")
+
+
 def since(events: DataFrame, when: str) -> DataFrame:
     return events.where(F.col("created_at") >= F.lit(when).cast("timestamp_ntz")).orderBy("created_at", "id")
 
@@ -38,7 +42,12 @@ def deduplicated(events: DataFrame, keys: tuple[str, ...] = ("content_hash",)) -
     return events.groupBy(*keys).agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
 
 
+def embedding_of(vectors: DataFrame, event_id: str) -> DataFrame:
+    return vectors.where(F.col("event_id") == event_id)
+
+
 def unembedded(events: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Events without a vector, oldest first where their order is asked for by `by_time`."""
     return events.join(vectors.select(F.col("event_id").alias("id")), "id", "left_anti")
 
 

@@ -72,14 +72,20 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "kq1_ownership",
-    f"""{GRAPH}, m AS (SELECT e.src, e.dst, e.source_event_id, p.canonical_id FROM edges e JOIN live p ON p.node_id = e.src AND p.label = 'Person' WHERE e.edge_type = 'MEMBER_OF')
+    f"""{GRAPH}, d AS MATERIALIZED (SELECT node_id, title FROM live WHERE label = 'Decision' AND id = '{DECISION}'),
+e1 AS MATERIALIZED (SELECT e.* FROM edges e JOIN d ON d.node_id = e.src WHERE e.edge_type = 'DEPRECATES'),
+y AS MATERIALIZED (SELECT node_id, canonical_name FROM live WHERE label = 'System' AND node_id IN (SELECT dst FROM e1)),
+e2 AS MATERIALIZED (SELECT * FROM edges WHERE edge_type = 'DEPENDS_ON' AND dst IN (SELECT node_id FROM y)),
+s AS MATERIALIZED (SELECT node_id, canonical_name FROM live WHERE label = 'Service' AND node_id IN (SELECT src FROM e2)),
+e3 AS MATERIALIZED (SELECT * FROM edges WHERE edge_type = 'OWNED_BY' AND src IN (SELECT node_id FROM s)),
+o AS MATERIALIZED (SELECT node_id, label, canonical_name, canonical_id FROM live WHERE node_id IN (SELECT dst FROM e3)),
+b AS MATERIALIZED (SELECT src, dst, source_event_id FROM edges WHERE edge_type = 'MEMBER_OF' AND dst IN (SELECT node_id FROM o)),
+m AS MATERIALIZED (SELECT b.dst, b.source_event_id, p.canonical_id FROM b JOIN live p ON p.node_id = b.src WHERE p.label = 'Person')
 SELECT d.title AS decision_title, y.canonical_name AS system, s.canonical_name AS service, o.label AS owner_type, coalesce(o.canonical_name, o.canonical_id) AS owner_id,
        CASE o.label WHEN 'Team' THEN m.canonical_id WHEN 'Person' THEN o.canonical_id END AS person_id, (CASE WHEN o.label = 'Team' AND m.canonical_id IS NOT NULL THEN 4 ELSE 3 END)::BIGINT AS hops,
        e1.source_event_id AS deprecates_event, e2.source_event_id AS depends_event, e3.source_event_id AS owned_event, m.source_event_id AS member_event
-FROM live d JOIN edges e1 ON e1.src = d.node_id AND e1.edge_type = 'DEPRECATES' JOIN live y ON y.node_id = e1.dst AND y.label = 'System'
-JOIN edges e2 ON e2.dst = y.node_id AND e2.edge_type = 'DEPENDS_ON' JOIN live s ON s.node_id = e2.src AND s.label = 'Service'
-JOIN edges e3 ON e3.src = s.node_id AND e3.edge_type = 'OWNED_BY' JOIN live o ON o.node_id = e3.dst LEFT JOIN m ON m.dst = o.node_id AND o.label = 'Team'
-WHERE d.label = 'Decision' AND d.id = '{DECISION}'""",
+FROM d JOIN e1 ON e1.src = d.node_id JOIN y ON y.node_id = e1.dst JOIN e2 ON e2.dst = y.node_id JOIN s ON s.node_id = e2.src
+JOIN e3 ON e3.src = s.node_id JOIN o ON o.node_id = e3.dst LEFT JOIN m ON m.dst = o.node_id AND o.label = 'Team'""",
 )
 def kq1_ownership(spark, sf):
     return typed.find_chain_owner(*_graph(spark, sf), DECISION)
@@ -158,6 +164,43 @@ def kq4_changes(spark, sf):
     return typed.track_changes(nodes, edges, busiest, KQ4_AS_OF, KQ4_DAYS)
 
 
+@query(
+    "kq2_messages",
+    f"""{GRAPH} SELECT d.id AS decision_id, m.id AS message_id, strftime(m.created_at, '%Y-%m-%d %H:%M:%S') AS said_at, e.confidence, e.source_event_id
+FROM live m JOIN edges e ON e.src = m.node_id AND e.edge_type = 'CONTRADICTS' JOIN nodes d ON d.node_id = e.dst AND d.label = 'Decision' AND coalesce(d.status, 'active') = 'active'
+WHERE m.label = 'Message' AND m.created_at BETWEEN TIMESTAMP '{KQ2_AS_OF}' - INTERVAL 30 DAY AND TIMESTAMP '{KQ2_AS_OF}'""",
+)
+def kq2_messages(spark, sf):
+    return typed.contradicting_messages(*_graph(spark, sf), KQ2_AS_OF, 30)
+
+
+@query(
+    "kq2_provenance",
+    f"""{GRAPH}, c AS (SELECT d.id AS decision_id, m.id AS message_id, e.source_event_id, m.source_event_ids AS said, d.source_event_ids AS decided
+FROM live m JOIN edges e ON e.src = m.node_id AND e.edge_type = 'CONTRADICTS' JOIN nodes d ON d.node_id = e.dst AND d.label = 'Decision' AND coalesce(d.status, 'active') = 'active'
+WHERE m.label = 'Message' AND m.created_at BETWEEN TIMESTAMP '{KQ2_AS_OF}' - INTERVAL 30 DAY AND TIMESTAMP '{KQ2_AS_OF}')
+SELECT DISTINCT element_key, event_id FROM (SELECT 'node:Decision:' || decision_id AS element_key, unnest(decided) AS event_id FROM c UNION ALL SELECT 'edge:CONTRADICTS:' || message_id || '->' || decision_id, unnest(list_append(said, source_event_id)) FROM c)
+WHERE event_id <> ''""",
+)
+def kq2_provenance(spark, sf):
+    return typed.contradiction_provenance(*_graph(spark, sf), KQ2_AS_OF, 30)
+
+
+@query(
+    "kq4_provenance",
+    f"""{GRAPH}, goal AS (SELECT dst FROM edges WHERE edge_type = 'ABOUT' GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+d AS MATERIALIZED (SELECT DISTINCT d.node_id, d.id, d.source_event_ids FROM goal JOIN live g ON g.node_id = goal.dst JOIN edges e ON e.dst = g.node_id AND e.edge_type IN ('ABOUT', 'DEPRECATES') JOIN live d ON d.node_id = e.src AND d.label = 'Decision'
+  WHERE d.valid_from BETWEEN TIMESTAMP '{KQ4_AS_OF}' - INTERVAL {KQ4_DAYS} DAY AND TIMESTAMP '{KQ4_AS_OF}')
+SELECT DISTINCT element_key, event_id FROM (SELECT 'node:Decision:' || id AS element_key, unnest(source_event_ids) AS event_id FROM d
+UNION ALL SELECT 'edge:APPROVED_BY:' || d.id, e.source_event_id FROM d JOIN edges e ON e.src = d.node_id AND e.edge_type = 'APPROVED_BY' JOIN live p ON p.node_id = e.dst AND p.label = 'Person'
+UNION ALL SELECT 'edge:SUPERSEDES:' || d.id, e.source_event_id FROM d JOIN edges e ON e.src = d.node_id AND e.edge_type = 'SUPERSEDES' JOIN nodes q ON q.node_id = e.dst AND q.label = 'Decision') WHERE event_id <> ''""",
+)
+def kq4_provenance(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    busiest = typed.edge(edges, "ABOUT").groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1).select(F.col("dst").alias("node_id"))
+    return typed.change_provenance(nodes, edges, busiest, KQ4_AS_OF, KQ4_DAYS)
+
+
 MODES = {"active": "NOT IN ('merged', 'deprecated', 'superseded')", "deprecated": "IN ('deprecated', 'superseded')", "all": "<> 'merged'"}
 
 
@@ -268,6 +311,21 @@ def similar_to_threshold(spark, sf):
     return search.similar_to(tables.embeddings(spark, sf), _vector(spark, sf, 1), 0.2, 20).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "vector_topk_all",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, 'doc-' || vec_id AS event_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS similarity FROM q, embeddings)
+SELECT query_id, place, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, event_id)::BIGINT AS place FROM s) WHERE place <= 10""",
+)
+def vector_topk_all(spark, sf):
+    """Every vector whose id is divisible by 20 against all vectors; similarities by place, since equal ones have no order between engines."""
+    from pyspark.sql import Window
+
+    vectors = tables.embeddings(spark, sf)
+    found = search.vector_topk_many(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "event_id"))
+    return found.select("query_id", place.cast("long").alias("place"), F.round("similarity", 6).alias("similarity"))
+
+
 def _hybrid_sql(fanout: int, where: str) -> str:
     return f"""WITH {NODES}, {LOG}, c AS (SELECT * FROM ({SIMILAR.format(q=VECTOR_SQL.format(n=5))}) ORDER BY similarity DESC, event_id LIMIT {fanout}),
 e AS (SELECT event_id, count(DISTINCT id) AS n, list(DISTINCT label) AS labels FROM (SELECT unnest(source_event_ids) AS event_id, id, label FROM nodes) GROUP BY 1),
@@ -438,6 +496,45 @@ def contradiction_candidates(spark, sf):
     return temporal.contradiction_candidates(messages, decisions)
 
 
+#: Messages whose subject lies inside a word, or whose id follows a hyphen; some ids are only part of a longer one.
+INSIDE = "CASE conv_id % 4 WHEN 0 THEN 'pre-D-' || (conv_id % 50) || ' plans' WHEN 1 THEN 'we should not touch XSUPPLIER#' || lpad((conv_id % 20)::VARCHAR, 9, '0') || 'y' WHEN 2 THEN 'aD-' || (conv_id % 50) || ' b' ELSE 'xSupplier#' || lpad((conv_id % 20)::VARCHAR, 9, '0') || ' is fine' END"
+
+
+def _inside(spark, sf):
+    conv = F.col("conv_id")
+    supplier = F.concat(F.lit("upplier#"), F.lpad((conv % 20).cast("string"), 9, "0"))
+    order = F.concat(F.lit("D-"), (conv % 50).cast("string"))
+    said = (
+        F.when(conv % 4 == 0, F.concat(F.lit("pre-"), order, F.lit(" plans"))).when(conv % 4 == 1, F.concat(F.lit("we should not touch XS"), F.upper(supplier), F.lit("y")))
+        .when(conv % 4 == 2, F.concat(F.lit("a"), order, F.lit(" b"))).otherwise(F.concat(F.lit("xS"), supplier, F.lit(" is fine")))
+    )
+    at = F.timestamp_add("MINUTE", conv * 60 + F.col("turn"), F.lit(tables.EPOCH_MESSAGES).cast("timestamp_ntz"))
+    key = F.concat(F.lit("msg-"), conv.cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    messages = tables.table(spark, sf, "conversations").select(key.alias("id"), F.concat(F.lit("Message:"), key).alias("node_id"), said.alias("content"), at.alias("created_at"), F.array(key).alias("source_event_ids"))
+    decisions = tables.table(spark, sf, "supplier").select(tables.name_of("D-", "s_suppkey").alias("id"), tables.name_of("Decision:D-", "s_suppkey").alias("node_id"), F.col("s_name").alias("title"), F.array("s_name").alias("subjects"))
+    return messages, decisions
+
+
+INSIDE_SQL = f"""WITH m AS (SELECT 'msg-' || conv_id || '-' || turn AS id, {INSIDE} AS content FROM conversations), d AS (SELECT 'D-' || s_suppkey AS id, s_name AS subject FROM supplier),
+k AS MATERIALIZED (SELECT DISTINCT content FROM m), c AS MATERIALIZED (SELECT m.content, d.id AS decision_id, regexp_matches(m.content, '\\b' || d.id || '\\b') AS named, contains(lower(m.content), lower(d.subject)) AND ({CUES}) AS opposed FROM k m, d),
+f AS (SELECT m.id AS message_id, c.decision_id, c.named, m.content FROM m JOIN c ON c.content = m.content WHERE c.named OR c.opposed)"""
+
+
+@query("contradiction_candidates_inside", f"""{INSIDE_SQL} SELECT message_id, decision_id, CASE WHEN named THEN 'id' ELSE 'subject' END AS "by" FROM f""")
+def contradiction_candidates_inside(spark, sf):
+    return temporal.contradiction_candidates(*_inside(spark, sf))
+
+
+@query("contradicts_edges", f"""{INSIDE_SQL} SELECT 'Message:' || message_id AS src, 'Decision:' || decision_id AS dst, 0.5::DOUBLE AS confidence, message_id AS source_event_id FROM f WHERE length(content) % 3 <> 0""")
+def contradicts_edges(spark, sf):
+    """The verdicts come from a rule in place of a model: yes, no, or a reply that can't be read."""
+    messages, decisions = _inside(spark, sf)
+    size = F.length("content") % 3
+    reply = F.when(size == 0, F.when(F.col("content").startswith("pre"), "no verdict").otherwise('{"contradicts": false, "confidence": 0.9}')).otherwise('```json\n{"contradicts": true, "confidence": 0.5}\n```')
+    found = temporal.contradiction_candidates(messages, decisions)
+    return temporal.contradiction_edges(found, messages, decisions, reply).select("src", "dst", "confidence", "source_event_id")
+
+
 @query("active_decision_subjects", f"""{GRAPH} SELECT d.id, d.title, coalesce(string_agg(DISTINCT coalesce(t.canonical_name, t.id), ',' ORDER BY coalesce(t.canonical_name, t.id)), '') AS subjects
 FROM nodes d LEFT JOIN edges e ON e.src = d.node_id AND e.edge_type IN ('ABOUT', 'DEPRECATES') LEFT JOIN live t ON t.node_id = e.dst WHERE d.label = 'Decision' AND coalesce(d.status, 'active') = 'active' GROUP BY 1, 2""")
 def active_decision_subjects(spark, sf):
@@ -542,6 +639,19 @@ def endpoint_violations(spark, sf):
     return extraction.endpoint_violations(*_graph(spark, sf))
 
 
+#: Edges with some of them turned round, so that their ends have labels the type doesn't allow.
+TURNED = f"""{GRAPH}, t AS (SELECT edge_type, CASE WHEN source_event_id IN ('ev-3', 'ev-13') THEN dst ELSE src END AS src, CASE WHEN source_event_id IN ('ev-3', 'ev-13') THEN src ELSE dst END AS dst FROM edges)"""
+
+
+@query("endpoint_violations_planted", TURNED + """ SELECT t.edge_type, t.src, t.dst, split_part(t.src, ':', 1) AS src_label, split_part(t.dst, ':', 1) AS dst_label FROM t JOIN (SELECT DISTINCT node_id FROM nodes) a ON a.node_id = t.src JOIN (SELECT DISTINCT node_id FROM nodes) b ON b.node_id = t.dst
+WHERE t.edge_type || ' ' || split_part(t.src, ':', 1) || ' ' || split_part(t.dst, ':', 1) IN ('OWNED_BY Team Service', 'OWNED_BY Person Service', 'MEMBER_OF Team Person', 'DEPENDS_ON System Service', 'ABOUT Service Decision', 'DEPRECATES System Decision', 'APPROVED_BY Person Decision', 'CONTRADICTS Decision Message')""")
+def endpoint_violations_planted(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    wrong = F.col("source_event_id").isin("ev-3", "ev-13")
+    turned = edges.select("edge_type", F.when(wrong, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(wrong, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+    return extraction.endpoint_violations(nodes, turned)
+
+
 #: Runs: each event of the stream is a run of the user's record.
 RUNS = "runs AS (SELECT event_id AS id, 'u' || user_id AS event_id, event_type AS status, ts AS started_at, value FROM events)"
 
@@ -726,6 +836,35 @@ def eval_agent_report(spark, sf):
     )
 
 
+ASKED = "SELECT CASE WHEN event_id % 11 = 0 THEN 'unknown' WHEN event_id % 5 = 0 THEN 'neighbors' ELSE event_type END AS expected_route, CASE WHEN event_id % 33 = 0 OR event_id % 35 = 0 THEN 'search' WHEN event_id % 11 = 0 THEN 'unknown' WHEN event_id % 5 = 0 THEN 'neighbors' ELSE event_type END AS actual_route, event_id % 6 <> 0 AS synthesized, event_id % 4 <> 0 AS first_try, CASE WHEN event_id % 3 = 0 THEN value / 500 END AS overlap, value / 1000 AS cost, value AS latency_ms FROM events"
+
+
+@query("eval_agent_summary", f"""SELECT count(*)::BIGINT AS n, round(avg((expected_route = actual_route)::INT), 6) AS route_accuracy, round(avg((expected_route = actual_route)::INT) FILTER (WHERE expected_route IN ('get_entity', 'neighbors', 'enumerate', 'aggregate')), 6) AS structural_accuracy,
+round(avg((actual_route = 'unknown')::INT) FILTER (WHERE expected_route = 'unknown'), 6) AS refusal_correctness, round(avg(first_try::INT) FILTER (WHERE synthesized), 6) AS first_try_rate, round(avg(overlap), 6) AS mean_overlap, round(avg(cost), 6) AS mean_cost, round(avg(latency_ms), 1) AS mean_latency_ms FROM ({ASKED})""")
+def eval_agent_summary(spark, sf):
+    i = F.col("event_id")
+    right = F.when(i % 11 == 0, "unknown").when(i % 5 == 0, "neighbors").otherwise(F.col("event_type"))
+    return evaluation.agent_summary(
+        tables.table(spark, sf, "events").select(right.alias("expected_route"), F.when((i % 33 == 0) | (i % 35 == 0), "search").otherwise(right).alias("actual_route"), (i % 6 != 0).alias("synthesized"), (i % 4 != 0).alias("first_try"), F.when(i % 3 == 0, F.col("value") / 500).alias("overlap"), (F.col("value") / 1000).alias("cost"), F.col("value").alias("latency_ms"))
+    )
+
+
+@query("eval_stream_latency", """WITH r AS (SELECT CASE WHEN event_id % 9 <> 0 THEN value END AS f, value * 3 AS t FROM events) SELECT count(*)::BIGINT AS n, round(avg(f), 1) AS mean_first_token_ms, list_sort(list(f) FILTER (WHERE f IS NOT NULL))[count(f) // 2 + 1] AS p50_first_token_ms, round(avg(t), 1) AS mean_total_ms FROM r""")
+def eval_stream_latency(spark, sf):
+    return logs.latency_report(tables.table(spark, sf, "events").select(F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("first_token_ms"), (F.col("value") * 3).alias("total_ms")))
+
+
+@query("eval_failure_report", """WITH v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'entity' ELSE 'relationship' END AS kind, vec_id AS key, label, vec_id % 9 = 0 AS wrong FROM embeddings), e AS (SELECT kind, key, label AS t FROM v WHERE key % 6 <> 5 AND key % 8 <> 0), f AS (SELECT kind, key, label + wrong::INT AS t FROM v WHERE key % 7 <> 0),
+w AS (SELECT coalesce(e.kind, f.kind) AS kind, CASE WHEN f.t IS NULL THEN 'missed' WHEN e.t IS NULL THEN 'spurious' WHEN e.t <> f.t THEN 'wrong' END AS what FROM e FULL JOIN f ON e.key = f.key)
+SELECT CASE WHEN what = 'wrong' THEN 'wrong_' || kind || '_type' ELSE what || '_' || kind END AS mode, count(*)::BIGINT AS n FROM w WHERE what IS NOT NULL GROUP BY 1 UNION ALL SELECT 'alias_not_merged', count(*) FROM (SELECT label FROM embeddings GROUP BY label HAVING count(DISTINCT vec_id % 4) > 1) HAVING count(*) > 0""")
+def eval_failure_report(spark, sf):
+    i = F.col("vec_id")
+    rows = tables.table(spark, sf, "embeddings").select(F.when(i % 2 == 0, "entity").otherwise("relationship").alias("kind"), i.alias("key"), "label")
+    expected = rows.where("key % 6 != 5 AND key % 8 != 0").withColumnRenamed("label", "type")
+    found = rows.where("key % 7 != 0").withColumn("type", F.col("label") + F.when(F.col("key") % 9 == 0, 1).otherwise(0))
+    return evaluation.failure_report(expected, found, rows.select(F.col("label").alias("canonical"), (F.col("key") % 4).alias("surface")))
+
+
 @query("eval_ingest_report", "SELECT count(*)::BIGINT AS n, round(avg((event_id % 5 <> 0)::INT), 6) AS success_rate, round(avg((event_id % 6 <> 0)::INT), 6) AS pass_rate, round(avg(value), 1) AS mean_latency_ms, round(avg(value / 1000), 6) AS mean_cost FROM events")
 def eval_ingest_report(spark, sf):
     i = F.col("event_id")
@@ -877,6 +1016,29 @@ def foreach_batch_reconcile(spark, sf):
     return store.read("ingestion_runs").join(events, "event_id").groupBy("status", "source_type").agg(F.count("*").alias("n"))
 
 
+@query("stream_graph", f"""WITH {LOG}, l AS (SELECT source_type, regexp_extract_all(content, '\\S+') AS w FROM log WHERE length(content) BETWEEN 10 AND 10000),
+n AS (SELECT DISTINCT 'Service' AS label, coalesce(w[1], 'none') AS name FROM l UNION SELECT 'Team', CASE WHEN len(w) >= 2 THEN w[2] ELSE 'none' END FROM l),
+x AS (SELECT label, {NORMAL.format(x="name")} AS normal FROM n)
+SELECT label, count(*)::BIGINT AS n_nodes, (count(*) - count(DISTINCT normal))::BIGINT AS n_merged FROM x GROUP BY 1 UNION ALL SELECT 'Message', count(*), 0 FROM l WHERE source_type = 'slack_message'
+UNION ALL SELECT 'OWNED_BY', count(DISTINCT (w[1], w[2])), 0 FROM l WHERE w[1] <> w[2]""")
+def stream_graph(spark, sf):
+    """What the whole log as a stream leaves in an empty store: nodes and merged ones by label, messages, and asserted edges."""
+    import uuid
+
+    from tessergraph.sources.store import Store, shared_folder
+    from tessergraph.streaming import ingest
+
+    root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}"
+    tables.event_log(spark, sf).select([f.name for f in ingest.EVENT_SCHEMA]).write.parquet(f"{root}/incoming")
+    store = Store(spark, f"{root}/store")
+    ingest.start(spark, f"{root}/incoming", ingest.Reconciler(store, first_words), f"{root}/checkpoint").awaitTermination()
+    none = F.lit(0).cast("long").alias("n_merged")
+    nodes = store.read("nodes").groupBy("label").agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("status") == "merged", 1)).alias("n_merged"))
+    messages = store.read("messages").groupBy(F.lit("Message").alias("label")).agg(F.count("*").alias("n_nodes")).withColumn("n_merged", none)
+    own = store.read("edges").where("edge_type = 'OWNED_BY' AND evidence_quote IS NOT NULL").groupBy(F.lit("OWNED_BY").alias("label")).agg(F.count("*").alias("n_nodes")).withColumn("n_merged", none)
+    return nodes.union(messages).union(own)
+
+
 QUESTIONS = (
     "Who owns the service behind D-100?", "Which decisions are contradicted?", "What breaks if part-3 fails?", "What changed about part-7 in 90 days?", "What depends on part-6?",
     "List all services without owner", "How many services are there per team?", "What is the status of D-20?", "notes about latency", "tell me a joke",
