@@ -101,9 +101,9 @@ def contradiction_provenance(nodes: DataFrame, edges: DataFrame, as_of: str, win
 
 def dependency_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """DEPENDS_ON links between nodes of any label that are not merged."""
-    ids = live(nodes).select("node_id")
+    merged = nodes.where(~resolved()).select("node_id")  # of most labels there are none, so little is read
     links = edge(edges, "DEPENDS_ON").select("src", "dst")
-    return links.join(ids, F.col("src") == F.col("node_id"), "left_semi").join(ids, F.col("dst") == F.col("node_id"), "left_semi")
+    return links.join(merged, F.col("src") == F.col("node_id"), "left_anti").join(merged, F.col("dst") == F.col("node_id"), "left_anti")
 
 
 def _seed(nodes: DataFrame, service: str) -> DataFrame:
