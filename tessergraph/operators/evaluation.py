@@ -39,8 +39,20 @@ def prf_by(expected: DataFrame, found: DataFrame, keys: list[str], group: str) -
 def recall_mrr(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """recall@k and reciprocal rank per question. ranked: (question, item, place from 1); expected: (question, item), null item where nothing is expected, which recalls 1."""
     asked = expected.groupBy("question").agg(F.count("item").alias("wanted"))
-    hits = ranked.where(F.col("place") <= k).join(expected.where("item IS NOT NULL"), ["question", "item"]).groupBy("question")
-    met = asked.join(hits.agg(F.count("*").alias("hits"), F.min("place").alias("best")), "question", "left")
+    hits = ranked.where(F.col("place") <= k).join(expected.where("item IS NOT NULL"), ["question", "item"])
+    return _recalled(asked, hits)
+
+
+def recall_mrr_by_group(ranked: DataFrame, questions: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """The same where right are all items of the question's group, which are counted, not listed. questions: (question, group), null group where nothing is expected; items: (item, group)."""
+    sizes = items.groupBy("group").agg(F.count("item").alias("size"))
+    asked = questions.join(sizes, "group", "left").select("question", F.coalesce("size", F.lit(0)).alias("wanted"))
+    hits = ranked.where(F.col("place") <= k).join(questions, "question").join(items, ["item", "group"])
+    return _recalled(asked, hits)
+
+
+def _recalled(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    met = asked.join(hits.groupBy("question").agg(F.count("*").alias("hits"), F.min("place").alias("best")), "question", "left")
     return met.select(
         "question",
         F.round(F.when(F.col("wanted") == 0, 1.0).otherwise(F.coalesce("hits", F.lit(0)) / F.col("wanted")), 6).alias("recall"),

@@ -30,12 +30,12 @@ NODES = """nodes AS (
 EDGES = """edges AS (
   SELECT 'DEPENDS_ON' AS edge_type, 'Service:' || k AS src, 'Service:' || d AS dst, 'ev-' || (k % 1000) AS source_event_id, 1.0::DOUBLE AS confidence, NULL::INT AS tier
     FROM (SELECT p_partkey AS k, p_partkey // 2 AS d FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3)
-  UNION ALL SELECT DISTINCT 'DEPENDS_ON', 'Service:' || l_partkey, 'System:' || l_suppkey, 'ev-' || (l_partkey % 1000), 1.0, NULL::INT FROM lineitem WHERE l_partkey % 20 = 0
+  UNION ALL SELECT DISTINCT 'DEPENDS_ON', 'Service:' || l_partkey, 'System:' || l_suppkey, 'ev-' || (l_partkey % 1000), 1.0, NULL::INT FROM lineitem
   UNION ALL SELECT 'OWNED_BY', 'Service:' || p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'Person:' || (p_partkey % (SELECT count(*) FROM customer)) ELSE 'Team:' || (p_partkey % 25) END,
          'ev-' || (p_partkey % 1000), 1.0, NULL FROM part WHERE p_partkey % 13 <> 0
   UNION ALL SELECT 'MEMBER_OF', 'Person:' || c_custkey, 'Team:' || c_nationkey, 'ev-' || (c_custkey % 1000), 1.0, NULL FROM customer
-  UNION ALL SELECT DISTINCT 'ABOUT', 'Decision:' || l_orderkey, 'Service:' || l_partkey, 'ev-' || (l_orderkey % 1000), 1.0, NULL::INT FROM lineitem WHERE l_orderkey % 5 = 0
-  UNION ALL SELECT 'DEPRECATES', 'Decision:' || l_orderkey, 'System:' || min(l_suppkey), 'ev-' || (l_orderkey % 1000), 1.0, NULL FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_orderkey
+  UNION ALL SELECT DISTINCT 'ABOUT', 'Decision:' || l_orderkey, 'Service:' || l_partkey, 'ev-' || (l_orderkey % 1000), 1.0, NULL::INT FROM lineitem
+  UNION ALL SELECT 'DEPRECATES', 'Decision:' || l_orderkey, 'System:' || min(l_suppkey), 'ev-' || (l_orderkey % 1000), 1.0, NULL FROM lineitem GROUP BY l_orderkey
   UNION ALL SELECT 'APPROVED_BY', 'Decision:' || o_orderkey, 'Person:' || o_custkey, 'ev-' || (o_orderkey % 1000), 1.0, NULL FROM orders
   UNION ALL SELECT 'SUPERSEDES', 'Decision:' || o_orderkey, 'Decision:' || older, 'ev-' || (o_orderkey % 1000), 1.0, NULL
     FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS older FROM orders) WHERE older IS NOT NULL
@@ -582,16 +582,22 @@ def unembedded_events(spark, sf):
     return logs.unembedded(tables.event_log(spark, sf), tables.embeddings(spark, sf)).select("id", "source_type")
 
 
-CITED = f"WITH {NODES}, c AS (SELECT node_id, unnest(source_event_ids) AS event_id FROM nodes), known AS (SELECT 'ev-' || event_id AS id FROM events UNION ALL SELECT 'doc-' || doc_id FROM documents WHERE doc_id < 400)"
+CITED = f"WITH {NODES}, c AS (SELECT node_id, unnest(source_event_ids) AS event_id FROM nodes), known AS (SELECT 'ev-' || event_id AS id FROM events UNION ALL SELECT 'doc-' || doc_id FROM documents)"
 
 
 def _known(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.table(spark, sf, "documents").where("doc_id < 400")  # the log of this query: an older state
-    return tables.raw_events(spark, sf).select("id").union(docs.select(tables.name_of("doc-", "doc_id")))
+    docs = tables.table(spark, sf, "documents").select(tables.name_of("doc-", "doc_id"))
+    return tables.raw_events(spark, sf).select("id").union(docs)
 
 
-@query("provenance_missing", f"{CITED} SELECT event_id, count(*)::BIGINT AS n_nodes FROM c WHERE event_id NOT IN (SELECT id FROM known) GROUP BY 1")
+@query("provenance_missing", f"{CITED} SELECT event_id, count(*)::BIGINT AS n_nodes FROM c WHERE event_id NOT IN (SELECT 'ev-' || event_id FROM events) GROUP BY 1")
 def provenance_missing(spark, sf):
+    """Cited events that the stream's own log lacks: the documents."""
+    return extraction.provenance_missing(tables.nodes(spark, sf), tables.raw_events(spark, sf).select("id"))
+
+
+@query("provenance_missing_whole_log", f"{CITED} SELECT event_id, count(*)::BIGINT AS n_nodes FROM c WHERE event_id NOT IN (SELECT id FROM known) GROUP BY 1")
+def provenance_missing_whole_log(spark, sf):
     return extraction.provenance_missing(tables.nodes(spark, sf), _known(spark, sf))
 
 
@@ -600,25 +606,6 @@ def provenance_orphans(spark, sf):
     return extraction.provenance_orphans(tables.nodes(spark, sf), _known(spark, sf))
 
 
-#: The same over the whole log; the two queries above keep the log of an older state.
-CITED_WHOLE = f"WITH {NODES}, c AS (SELECT node_id, unnest(source_event_ids) AS event_id FROM nodes), known AS (SELECT 'ev-' || event_id AS id FROM events UNION ALL SELECT 'doc-' || doc_id FROM documents)"
-
-
-def _known_whole(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.table(spark, sf, "documents").select(tables.name_of("doc-", "doc_id"))
-    return tables.raw_events(spark, sf).select("id").union(docs)
-
-
-@query("provenance_missing_whole_log", f"{CITED_WHOLE} SELECT event_id, count(*)::BIGINT AS n_nodes FROM c WHERE event_id NOT IN (SELECT id FROM known) GROUP BY 1")
-def provenance_missing_whole_log(spark, sf):
-    return extraction.provenance_missing(tables.nodes(spark, sf), _known_whole(spark, sf))
-
-
-@query("provenance_orphans_whole_log", f"{CITED_WHOLE} SELECT id AS event_id FROM known WHERE id NOT IN (SELECT event_id FROM c)")
-def provenance_orphans_whole_log(spark, sf):
-    return extraction.provenance_orphans(tables.nodes(spark, sf), _known_whole(spark, sf))
-
-
 @query("graph_scope_new", f"WITH {NODES} SELECT node_id, event_id, n = 1 AS newly_created FROM (SELECT node_id, unnest(source_event_ids) AS event_id, len(source_event_ids) AS n FROM nodes) WHERE event_id IN (SELECT 'ev-' || event_id FROM events WHERE event_type = 'signup')")
 def graph_scope_new(spark, sf):
     scope = tables.table(spark, sf, "events").where("event_type = 'signup'").select(tables.name_of("ev-", "event_id").alias("id"))
@@ -731,60 +718,41 @@ def eval_prf_by_type(spark, sf):
     return evaluation.prf_by(*_pair_sets(spark, sf), ["type", "k"], "type")
 
 
-#: Questions: vectors 0 to 19; right answers: those of their label below 200; ranked by a fixed order.
-RANKED = """WITH r AS (SELECT q.vec_id AS question, e.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY (e.vec_id * 7919 + q.vec_id) % 503, e.vec_id) AS place FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id < 20),
-x AS (SELECT q.vec_id AS question, e.vec_id AS item FROM embeddings q LEFT JOIN embeddings e ON q.label = e.label AND e.vec_id < 200 AND q.vec_id % 5 <> 0 WHERE q.vec_id < 20)"""
+#: Questions are the vectors with ids divisible by 20, ranked are all vectors, by a fixed order; right answers are all of the question's label, or none for every fifth question.
+RANKED = """WITH q AS (SELECT vec_id AS question, label FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT question, e.vec_id AS item, row_number() OVER (PARTITION BY question ORDER BY (e.vec_id * 7919 + question) % 503, e.vec_id) AS place FROM q CROSS JOIN embeddings e),
+x AS (SELECT question, e.vec_id AS item FROM q LEFT JOIN embeddings e ON q.label = e.label AND question % 100 <> 0)"""
 RECALL = f"""{RANKED}, m AS (SELECT x.question, count(x.item) AS wanted, count(r.item) AS hits, min(r.place) AS best FROM x LEFT JOIN r ON r.question = x.question AND r.item = x.item AND r.place <= 10 GROUP BY 1)
 SELECT question, round(CASE WHEN wanted = 0 THEN 1 ELSE hits / wanted END, 6) AS recall, round(coalesce(1 / best, 0), 6) AS reciprocal_rank FROM m"""
+#: The fixed order of items for a question: (item * STEP + question) % CLASSES, then the item.
+STEP, CLASSES, BEST = 7919, 503, 10
 
 
-def _ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of one remainder have one ranking, which runs round the items' remainders from a start; the first BEST items of a remainder are enough, so no question meets all items."""
     from pyspark.sql import Window
 
-    e = tables.table(spark, sf, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("question"), "label")
-    met = q.join(e, "label")
-    place = F.row_number().over(Window.partitionBy("question").orderBy((F.col("vec_id") * 7919 + F.col("question")) % 503, "vec_id"))
-    ranked = met.select("question", F.col("vec_id").alias("item"), place.alias("place"))
-    wanted = e.where("vec_id < 200").select(F.col("vec_id").alias("item"), F.col("label").alias("l"))
-    expected = q.join(wanted, (F.col("label") == F.col("l")) & (F.col("question") % 5 != 0), "left").select("question", "item")
-    return ranked, expected
+    items = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("group"))
+    questions = items.where("item % 20 = 0").select(F.col("item").alias("question"), F.when(F.col("item") % 100 != 0, F.col("group")).alias("group"))
+    remainder = items.select((F.col("item") * STEP % CLASSES).alias("at"), "item")
+    place = F.row_number().over(Window.partitionBy("at").orderBy("item"))
+    best = remainder.withColumn("place", place).where(F.col("place") <= BEST).select("at", "item")
+    starts = spark.range(CLASSES).select(F.col("id").alias("at"), F.lit(None).cast("long").alias("item"))
+    ring = best.union(best.select(F.col("at") + CLASSES, "item")).union(starts)  # at most 2 * BEST * CLASSES items and CLASSES starts
+    ring = ring.withColumn("n", F.count("item").over(Window.orderBy("at", F.asc_nulls_first("item")).rowsBetween(Window.unboundedPreceding, 0)))
+    first = ring.where("item IS NULL").select(((CLASSES - F.col("at")) % CLASSES).alias("class"), F.posexplode(F.sequence(F.col("n") + 1, F.col("n") + BEST)).alias("place", "n"))
+    round_ = first.join(ring.where("item IS NOT NULL").select("n", "item"), "n").groupBy("class", "item").agg((F.min("place") + 1).alias("place"))
+    ranked = questions.select("question", (F.col("question") % CLASSES).alias("class")).join(round_, "class").select("question", "item", "place")
+    return evaluation.recall_mrr_by_group(ranked, questions, items, BEST)
 
 
 @query("eval_recall_mrr", RECALL)
 def eval_recall_mrr(spark, sf):
-    return evaluation.recall_mrr(*_ranked(spark, sf))
+    return _recall(spark, sf)
 
 
 @query("eval_search_report", f"WITH per AS ({RECALL}) SELECT round(avg(recall), 6) AS mean_recall, round(avg(reciprocal_rank), 6) AS mrr, avg(recall) >= 0.7 AND avg(reciprocal_rank) >= 0.5 AS passed FROM per")
 def eval_search_report(spark, sf):
-    return evaluation.search_report(evaluation.recall_mrr(*_ranked(spark, sf)))
-
-
-#: The same over all rows: questions are the vectors with ids divisible by 20, ranked are all vectors, right answers all of the question's label, or none for every fifth question.
-RANKED_ALL = """WITH q AS (SELECT vec_id AS question, label FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT question, e.vec_id AS item, row_number() OVER (PARTITION BY question ORDER BY (e.vec_id * 7919 + question) % 503, e.vec_id) AS place FROM q CROSS JOIN embeddings e),
-x AS (SELECT question, e.vec_id AS item FROM q LEFT JOIN embeddings e ON q.label = e.label AND question % 100 <> 0)"""
-RECALL_ALL = RECALL.replace(RANKED, RANKED_ALL)
-
-
-def _ranked_all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    e = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("l"))
-    q = e.where("item % 20 = 0").select(F.col("item").alias("question"), F.col("l").alias("label"))
-    place = F.row_number().over(Window.partitionBy("question").orderBy((F.col("item") * 7919 + F.col("question")) % 503, "item"))
-    ranked = q.crossJoin(e).select("question", "item", place.alias("place"))
-    return ranked, q.join(e, (F.col("label") == F.col("l")) & (F.col("question") % 100 != 0), "left").select("question", "item")
-
-
-@query("eval_recall_mrr_all", RECALL_ALL)
-def eval_recall_mrr_all(spark, sf):
-    return evaluation.recall_mrr(*_ranked_all(spark, sf))
-
-
-@query("eval_search_report_all", f"WITH per AS ({RECALL_ALL}) SELECT round(avg(recall), 6) AS mean_recall, round(avg(reciprocal_rank), 6) AS mrr, avg(recall) >= 0.7 AND avg(reciprocal_rank) >= 0.5 AS passed FROM per")
-def eval_search_report_all(spark, sf):
-    return evaluation.search_report(evaluation.recall_mrr(*_ranked_all(spark, sf)))
+    return evaluation.search_report(_recall(spark, sf))
 
 
 @query("eval_jaccard", """WITH w AS (SELECT conv_id, list_distinct(list(role) FILTER (WHERE turn % 2 = 0)) AS a, list_distinct(list(role) FILTER (WHERE turn % 3 = 0)) AS b FROM conversations GROUP BY 1), x AS (SELECT conv_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM w)
@@ -800,20 +768,11 @@ def eval_calibration(spark, sf):
     return evaluation.calibration(tables.table(spark, sf, "events").select((F.col("value") / 500).alias("confidence"), (F.col("event_id") % 3 != 0).alias("correct")))
 
 
-@query("eval_failure_modes", """WITH e AS (SELECT 'k' || lpad((vec_id % 300)::VARCHAR, 4, '0') AS key, list_sort(list_distinct(list(label::VARCHAR))) AS t FROM embeddings WHERE vec_id < 250 GROUP BY 1), f AS (SELECT 'k' || lpad((vec_id % 300)::VARCHAR, 4, '0') AS key, list_sort(list_distinct(list(((label + CASE WHEN vec_id % 9 = 0 THEN 1 ELSE 0 END))::VARCHAR))) AS t FROM embeddings WHERE vec_id BETWEEN 50 AND 299 GROUP BY 1),
-w AS (SELECT coalesce(e.key, f.key) AS key, CASE WHEN f.t IS NULL THEN 'missed_entity' WHEN e.t IS NULL THEN 'invented_entity' WHEN e.t <> f.t THEN 'mistyped_entity' END AS mode FROM e FULL JOIN f ON e.key = f.key),
-n AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY key) AS place FROM w WHERE mode IS NOT NULL) SELECT mode, count(*)::BIGINT AS n, string_agg(key, ',' ORDER BY key) FILTER (WHERE place <= 3) AS examples FROM n GROUP BY 1""")
-def eval_failure_modes(spark, sf):
-    rows = tables.table(spark, sf, "embeddings").select("vec_id", "label", F.lit("entity").alias("kind"), F.concat(F.lit("k"), F.lpad((F.col("vec_id") % 300).cast("string"), 4, "0")).alias("key"))
-    found = rows.where("vec_id BETWEEN 50 AND 299").withColumn("type", (F.col("label") + F.when(F.col("vec_id") % 9 == 0, 1).otherwise(0)).cast("string"))
-    return evaluation.failure_modes(rows.where("vec_id < 250").withColumn("type", F.col("label").cast("string")), found)
-
-
-@query("eval_failure_modes_all", """WITH v AS (SELECT 'k' || lpad(vec_id::VARCHAR, 12, '0') AS key, label, vec_id FROM embeddings), e AS (SELECT key, list_sort(list_distinct(list(label::VARCHAR))) AS t FROM v WHERE vec_id % 6 <> 5 GROUP BY 1),
+@query("eval_failure_modes", """WITH v AS (SELECT 'k' || lpad(vec_id::VARCHAR, 12, '0') AS key, label, vec_id FROM embeddings), e AS (SELECT key, list_sort(list_distinct(list(label::VARCHAR))) AS t FROM v WHERE vec_id % 6 <> 5 GROUP BY 1),
 f AS (SELECT key, list_sort(list_distinct(list((label + CASE WHEN vec_id % 9 = 0 THEN 1 ELSE 0 END)::VARCHAR))) AS t FROM v WHERE vec_id % 6 <> 0 GROUP BY 1),
 w AS (SELECT coalesce(e.key, f.key) AS key, CASE WHEN f.t IS NULL THEN 'missed_entity' WHEN e.t IS NULL THEN 'invented_entity' WHEN e.t <> f.t THEN 'mistyped_entity' END AS mode FROM e FULL JOIN f ON e.key = f.key),
 n AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY key) AS place FROM w WHERE mode IS NOT NULL) SELECT mode, count(*)::BIGINT AS n, string_agg(key, ',' ORDER BY key) FILTER (WHERE place <= 3) AS examples FROM n GROUP BY 1""")
-def eval_failure_modes_all(spark, sf):
+def eval_failure_modes(spark, sf):
     rows = tables.table(spark, sf, "embeddings").select("vec_id", "label", F.lit("entity").alias("kind"), F.concat(F.lit("k"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("key"))
     found = rows.where("vec_id % 6 != 0").withColumn("type", (F.col("label") + F.when(F.col("vec_id") % 9 == 0, 1).otherwise(0)).cast("string"))
     return evaluation.failure_modes(rows.where("vec_id % 6 != 5").withColumn("type", F.col("label").cast("string")), found)
@@ -874,20 +833,11 @@ def eval_ingest_report(spark, sf):
 # texts and traversals
 
 NORMAL = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')), '^@+', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-HEAD = "'@@ ' || left(text, 30) || ' '"
-
-
-@query("text_normalize", f"SELECT doc_id, {NORMAL.format(x=HEAD)} AS name FROM documents")
-def text_normalize(spark, sf):
-    return tables.table(spark, sf, "documents").select("doc_id", text.normalized(F.concat(F.lit("@@ "), F.substring("text", 1, 30), F.lit(" "))).alias("name"))
-
-
-#: The same of whole texts; text_normalize keeps to heads of 30 characters.
 WHOLE = "'@@ ' || text || ' '"
 
 
-@query("text_normalize_whole", f"SELECT doc_id, {NORMAL.format(x=WHOLE)} AS name FROM documents")
-def text_normalize_whole(spark, sf):
+@query("text_normalize", f"SELECT doc_id, {NORMAL.format(x=WHOLE)} AS name FROM documents")
+def text_normalize(spark, sf):
     return tables.table(spark, sf, "documents").select("doc_id", text.normalized(F.concat(F.lit("@@ "), "text", F.lit(" "))).alias("name"))
 
 

@@ -84,9 +84,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, line = t("part"), t("lineitem")
     k = F.col("p_partkey")
     halves = part.select("p_partkey", F.explode(F.array_distinct(F.array(F.expr("p_partkey div 2"), F.expr("IF(p_partkey >= 3, p_partkey div 3, p_partkey div 2)")))).alias("to")).where("p_partkey >= 2")
-    uses = line.where("l_partkey % 20 = 0").select("l_partkey", "l_suppkey").distinct()
-    about = line.where("l_orderkey % 5 = 0").select("l_orderkey", "l_partkey").distinct()
-    drops = line.where("l_orderkey % 50 = 0").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    uses = line.select("l_partkey", "l_suppkey").distinct()
+    about = line.select("l_orderkey", "l_partkey").distinct()
+    drops = line.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"))
     people = t("customer").agg(F.count("*").alias("people"))
     # Every eleventh service has a person, numbered within the customers; the count is one row, joined as a scalar.
     owner = F.when(k % 11 == 0, F.concat(F.lit("Person:"), (k % people.scalar()).cast("string"))).otherwise(F.concat(F.lit("Team:"), (k % 25).cast("string")))
