@@ -36,13 +36,18 @@ def parsed_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def extract(events: DataFrame, extractor: Callable[[str], str], cache: DataFrame | None = None) -> DataFrame:
+def extract(events: DataFrame, extractor: Callable[[str], str], cache: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """(event_id, created_at, raw): the reply of ``extractor`` to each event that ``cache`` (event_id, raw) lacks.
 
+    model: the extractor's name; then ``cache`` has a column model too, and
+    only that model's replies count.
+
     extractor: a function of the content, called per event in the Python
     workers: the seam for a model. A null content gets no reply.
     """
     wanted = events.select(F.col("id").alias("event_id"), "created_at", "content").where("content IS NOT NULL")
+    if cache is not None and model is not None:
+        cache = cache.where(F.col("model") == model)
     known = wanted.join(cache, "event_id").select("event_id", "created_at", "raw") if cache is not None else None
     if cache is not None:
         wanted = wanted.join(cache.select("event_id"), "event_id", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.functions.text import duration_ms
@@ -83,10 +83,19 @@ def count_since(decisions: DataFrame, when: str) -> DataFrame:
 
 def percentiles(samples: DataFrame, group: str, value: str) -> DataFrame:
     """p50 and p95 with linear interpolation, greatest, mean and total."""
-    return samples.groupBy(group).agg(
+    return samples.groupBy(group).agg(*_spread(value))
+
+
+def percentiles_overall(samples: DataFrame, group: str, value: str) -> DataFrame:
+    """The same with one more row, ``overall``, for all groups together; its group is null."""
+    return samples.rollup(group).agg((F.grouping(group) == 1).alias("overall"), *_spread(value))
+
+
+def _spread(value: str) -> list[Column]:
+    return [
         F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"),
         F.round(F.max(value), 6).alias("greatest"), F.round(F.avg(value), 6).alias("mean"), F.round(F.sum(value), 1).alias("total"),
-    )
+    ]
 
 
 def upper_median(samples: DataFrame, group: str, value: str) -> DataFrame:

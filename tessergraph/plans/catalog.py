@@ -685,6 +685,11 @@ def metrics_percentiles(spark, sf):
     return logs.percentiles(tables.table(spark, sf, "events"), "event_type", "value")
 
 
+@query("metrics_percentiles_overall", """SELECT event_type, GROUPING(event_type) = 1 AS overall, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS greatest, round(avg(value), 6) AS mean, round(sum(value), 1) AS total FROM events GROUP BY ROLLUP (event_type)""")
+def metrics_percentiles_overall(spark, sf):
+    return logs.percentiles_overall(tables.table(spark, sf, "events"), "event_type", "value")
+
+
 @query("metrics_upper_median", "SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS p50 FROM events GROUP BY 1")
 def metrics_upper_median(spark, sf):
     return logs.upper_median(tables.table(spark, sf, "events"), "event_type", "value")

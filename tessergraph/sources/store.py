@@ -137,6 +137,17 @@ class Store:
             self.append(name, new)
         return count
 
+    def insert(self, name: str, df: DataFrame, keys: list[str]) -> int:
+        """All rows of ``df``; raises, and writes nothing, if a key is in the table or twice in ``df``."""
+        rows = cut_lineage(df)
+        held = rows.select(*keys).groupBy(*keys).count().where("count > 1").select(*keys)
+        if self.exists(name):
+            held = held.union(rows.select(*keys).join(self.read(name).select(*keys), keys, "left_semi"))
+        first = held.take(1)
+        if first:
+            raise ValueError(f"{name} has or would have {first[0].asDict()} twice")
+        return self.append(name, rows)
+
     def upsert(self, name: str, df: DataFrame, keys: list[str]) -> int:
         """Rows of ``df`` take the place of those with their key."""
         return self.write(name, upserted(self.read(name), df, keys) if self.exists(name) else df)

@@ -113,6 +113,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def json_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Questions or cases of an evaluation: JSON arrays of objects; a file that doesn't fit the schema is an error."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ``doc`` events, conversation turns as ``slack_message`` events."""
     docs = table(spark, sf_dir, "documents").select(

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tessergraph.operators import evaluation, temporal, truth
+from tessergraph.operators import evaluation, extraction, temporal, truth
 from tessergraph.sources import schema, synthetic, tables
 from tessergraph.sources.store import Store
 
@@ -68,3 +69,27 @@ def test_supersessions_of_the_synthetic_log(spark):
 
     targets = found.select(supersedes_target(F.col("content"), F.col("own")).alias("t")).where("t IS NOT NULL")
     assert targets.count() == 10 and temporal is not None
+
+
+def test_insert_raises_on_a_known_key(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    one = spark.createDataFrame([("a", 1)], "id string, v int")
+    store.insert("t", one, ["id"])
+    for rows in (one, spark.createDataFrame([("b", 1), ("b", 2)], one.schema)):
+        with pytest.raises(ValueError):
+            store.insert("t", rows, ["id"])
+    store.insert("t", spark.createDataFrame([("b", 2)], one.schema), ["id"])
+    assert sorted(map(tuple, store.read("t").collect())) == [("a", 1), ("b", 2)]
+
+
+def test_json_cases(spark, tmp_path):
+    (tmp_path / "cases.json").write_text('[\n {"q": "who owns it",\n  "route": "kq1"},\n {"q": "x", "route": null}\n]')
+    found = tables.json_cases(spark, f"file://{tmp_path}/cases.json", "q string, route string")
+    assert sorted(tuple(r) for r in found.collect()) == [("who owns it", "kq1"), ("x", None)]
+
+
+def test_replies_of_another_model_are_not_taken(spark):
+    events = spark.createDataFrame([("a", None, "x"), ("b", None, "y")], "id string, created_at timestamp_ntz, content string")
+    cache = spark.createDataFrame([("a", "m1", "old"), ("b", "m2", "other")], "event_id string, model string, raw string")
+    found = extraction.extract(events, str.upper, cache, model="m1")
+    assert sorted((r["event_id"], r["raw"]) for r in found.collect()) == [("a", "old"), ("b", "Y")]
