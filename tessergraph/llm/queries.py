@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessergraph.llm import bpe, discriminant, language, main_text, media, near_dedup, packing, phrase_dedup, repetition, token_shards
+from tessergraph.llm import bpe, collocations, cover_tree, discriminant, importance, language, main_text, media, near_dedup, packing, phrase_dedup, repetition, token_shards
 from tessergraph.llm.common import crc_fold, prepare
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(crc_fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_bpe, op3_near_dedup, op4_phrase_dedup, op5_quality, op6_media, op7_token_shards, op8_packing, op9_repetition, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_main_text, op2_bpe, op3_near_dedup, op4_phrase_dedup, op5_quality, op6_media, op7_token_shards, op8_packing, op9_repetition, op10_language, op11_top_k, op12_resampling, op13_collocations, pipeline)}
 
 
 #: Words of a text: what lies between ASCII white space.
@@ -129,6 +142,37 @@ SELECT w.doc_id, w.n_words, w.chars AS word_chars, w.n_symbols, coalesce(d.lines
 FROM v w LEFT JOIN d ON d.doc_id = w.doc_id {" ".join(joins)}""".replace("coalesce(d.chars, 0) / chars", "coalesce(d.chars, 0) / greatest(w.chars, 1)").replace(") / chars <=", ") / greatest(w.chars, 1) <=")
 
 
+TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5"""
+
+#: The crc32 of the UTF-8 bytes of w, a byte at a time by a table of 256 that k holds.
+_CRC = "xor(list_reduce(list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT), lambda c, b: xor(c >> 8, k[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"
+_TABLE = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT))"
+_FEATURES = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+RESAMPLING_SQL = f"""WITH d AS (SELECT doc_id, {_FEATURES} AS ws FROM documents), e AS (SELECT {_FEATURES} AS ws FROM benchmark),
+h AS (SELECT w, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT unnest(ws) AS w FROM d UNION SELECT unnest(ws) FROM e), (SELECT {_TABLE} AS k)),
+s AS (SELECT bucket, count(*)::DOUBLE AS n FROM (SELECT unnest(ws) AS w FROM d) JOIN h USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*)::DOUBLE AS n FROM (SELECT unnest(ws) AS w FROM e) JOIN h USING (w) GROUP BY 1),
+z AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s, coalesce((SELECT sum(n) FROM t), 0) AS t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (z.s + 10000) / ((coalesce(s.n, 0) + 1) * (z.t + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), z),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(ws) AS w FROM d) JOIN h USING (w) JOIN g USING (bucket) GROUP BY 1),
+c AS (SELECT d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m ON m.doc_id = d.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM c WHERE n_features >= 20)
+SELECT c.*, CASE WHEN place <= 10 * (SELECT count(*) FROM r) // 100 THEN place END::BIGINT AS rank FROM c LEFT JOIN r ON r.doc_id = c.doc_id"""
+
+COLLOCATIONS_SQL = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, ws[i:i + k - 1] AS ws, k FROM w, LATERAL unnest(range(1, 6)) a(k), LATERAL unnest(range(1, len(ws) - k + 2)) b(i)),
+f AS (SELECT lang, array_to_string(ws, ' ') AS phrase, any_value(ws) AS ws, k, count(*) AS a FROM g GROUP BY lang, array_to_string(ws, ' '), k HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+c AS (SELECT f.lang, f.phrase, f.k, f.ws, f.a, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * f.a * n.n) // (x.a::HUGEINT * y.a) AS score, j
+  FROM f, LATERAL unnest(range(1, f.k)) t(j) JOIN n ON n.lang = f.lang JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(f.ws[1:j], ' ') JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(f.ws[j + 1:], ' ') WHERE f.k > 1),
+m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM m z WHERE z.lang = m.lang AND z.k > m.k AND z.a >= m.a AND contains(' ' || z.phrase || ' ', ' ' || m.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same; the other queries are tested against brute-force versions."""
-    return {"op3_near_dedup": NEAR_DEDUP_SQL, "op4_phrase_dedup": PHRASE_DEDUP_SQL, "op9_repetition": _repetition_sql()}
+    return {"op3_near_dedup": NEAR_DEDUP_SQL, "op4_phrase_dedup": PHRASE_DEDUP_SQL, "op9_repetition": _repetition_sql(), "op11_top_k": TOP_K_SQL, "op12_resampling": RESAMPLING_SQL, "op13_collocations": COLLOCATIONS_SQL}
