@@ -1,17 +1,21 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element is a line. With the markup go
-script, style, and the segments that tags name as page furniture: menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, told
-by element, role, and the words of class and id, inside a line too.
+script, style, what is hidden, reader comments, and the segments that tags name
+as page furniture: menus, headers, footers, sidebars, notices, adverts and
+forms, told by element, role, and the words of class and id, inside a line too.
+A name is believed only of a part of the page: an element that holds most of
+the page's text, and its article if there is one, isn't furniture, whatever it
+is called.
 
 Of what is left the distribution decides on every page. A line's length counts
 without linked text, and lengths are summed over sliding windows of lines. Text
 surges where the sums leave zero on the way to the threshold, and dives where
 they are back at zero; stretches whose sums never reach the threshold are
 dropped, and between surge and dive every line is kept. Where a page marks an
-article, lines inside of it keep half of their linked text, lines outside have
-to be long to count, and no window spans the article's edge.
+article, no window spans the article's edge, lines inside keep half of their
+linked text, and lines outside have to be long to count, unless the article
+holds little of the text. A linked first heading counts as text.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from tessergraph.llm.markup import BLOCKS, CLOSES, RAW, UNSEEN, VOID, attributes
 LINES, SURGE, SURGE_SHARE = 3, 80, 0.25
 #: Beside a marked article, characters of a line that don't count; of the others every second one does.
 OUTSIDE = 80
+#: The share of the text outside of it under which a marked article doesn't make other lines count less.
+LITTLE = 0.25
+#: The share of a page's text from which an element isn't furniture.
+MOST = 0.6
 
 FURNITURE = frozenset("nav header footer aside form menu dialog button select input label head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,30 +68,49 @@ def _named(names: str) -> tuple[bool, bool]:
     return furniture, comments
 
 
-def _furniture(tag: str, source: str, inside: bool, by_class: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it holds comments. inside: it is within an article."""
-    if tag in FURNITURE or tag in RAW or tag in UNSEEN:
-        return True, False
+#: What an element is: text, furniture by its name, what is never text, reader comments.
+TEXT, NAMED, UNREAD, COMMENTS = range(4)
+
+
+def _kind(tag: str, source: str, inside: bool) -> int:
+    """inside: it is within an article."""
+    if tag in RAW or tag in UNSEEN:
+        return UNREAD
     if not source or tag in ("html", "body", "main"):
-        return False, False
+        return NAMED if tag in FURNITURE else TEXT
     a = attributes(source)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
-        return True, False
-    if re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True, False
+    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
+        return UNREAD
     furniture, comments = _named(f"{a.get('class', '')} {a.get('id', '')}")
     if comments:
-        return True, True
-    return furniture and by_class and tag != "article" and not (inside and tag in HEADINGS), False
+        return COMMENTS
+    if tag in FURNITURE or a.get("role", "").lower() in ROLES:
+        return NAMED
+    return NAMED if furniture and tag != "article" and not (inside and tag in HEADINGS) else TEXT
+
 
+Line = tuple[str, int, bool]
 
-def lines_of(page: str, by_class: bool = True) -> list[tuple[str, int, bool]]:
+
+def lines_of(page: str) -> list[Line]:
     """(text, characters in links, inside an article) of every block with text, without furniture."""
-    out: list[tuple[str, int, bool]] = []
-    # tag, furniture, comments, article, link
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    read = list(tokens(page))
+    lines, held, total, articles = _lines(read, frozenset())
+    most = frozenset(e for e, (n, has) in held.items() if n >= MOST * total and (has or not articles)) if total else frozenset()
+    return _lines(read, most)[0] if most else lines
+
+
+def _lines(read: list[tuple[str, str, str]], believed: frozenset[int]) -> tuple[list[Line], dict[int, tuple[int, bool]], int, int]:
+    """The lines; the text outside links that each element named as furniture holds, and whether it has an article; the page's text and number of articles.
+
+    believed: elements that are text whatever their name.
+    """
+    out: list[Line] = []
+    # tag, furniture, never text, article, link, number, text and articles before
+    stack: list[tuple[str, bool, bool, bool, bool, int, int, int]] = [("", False, False, False, False, -1, 0, 0)]
     held: list[str] = []
-    linked, article = 0, False
+    holds: dict[int, tuple[int, bool]] = {}
+    linked, article, total, articles = 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked, article
@@ -93,38 +120,48 @@ def lines_of(page: str, by_class: bool = True) -> list[tuple[str, int, bool]]:
         held.clear()
         linked, article = 0, False
 
-    for kind, value, source in tokens(page):
-        _, furniture, comments, inside, link = stack[-1]
+    def leave(first: int) -> None:
+        for *_, number, before, seen in stack[first:]:
+            if number >= 0:
+                holds[number] = (total - before, articles > seen)
+        del stack[first:]
+
+    for number, (kind, value, source) in enumerate(read):
+        _, furniture, unread, inside, link, *_ = stack[-1]
         if kind == "text":
+            size = len(" ".join(value.split()))
+            if not unread and not link:
+                total += size
             if not furniture:
                 held.append(value)
-                if value.strip():
+                if size:
                     article = article or inside
-                    if link:
-                        linked += len(" ".join(value.split()))
+                    if link and stack[-1][0] != "h1" and not any(x[0] == "h1" for x in stack[-3:]):
+                        linked += size
         elif kind == "open":
             if value in BLOCKS:
                 flush()
                 for closed in CLOSES.get(value, ()):
                     if stack[-1][0] == closed:
-                        stack.pop()
+                        leave(len(stack) - 1)
                 for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, and what is open inside of it
                     if stack[i][0] in BLOCKS:
                         if stack[i][0] == "p":
-                            del stack[i:]
+                            leave(i)
                         break
             elif value == "br" or value in CONTROLS:
                 held.append(" ")
             if value in VOID:
                 continue
-            _, furniture, comments, inside, link = stack[-1]
-            is_furniture, is_comments = _furniture(value, source, inside, by_class)
-            if value in HEADINGS and inside and stack[-1][0] == "header" and not is_furniture:
-                furniture = any(s[1] for s in stack[:-1])  # the title in an article's own header
-            furniture, comments = furniture or is_furniture, comments or is_comments
-            if value in ("article", "main") and not furniture:
-                inside = True
-            stack.append((value, furniture, comments, inside, link or value == "a"))
+            _, furniture, unread, inside, link, *_ = stack[-1]
+            what = _kind(value, source, inside)
+            if what == NAMED and number in believed:
+                what = TEXT
+            if value in HEADINGS and inside and stack[-1][0] == "header" and what == TEXT:
+                furniture = any(x[1] for x in stack[:-1])  # the title in an article's own header
+            furniture, unread = furniture or what != TEXT, unread or what in (UNREAD, COMMENTS)
+            stack.append((value, furniture, unread, inside or value in ("article", "main") and not furniture, link or value == "a", number if what == NAMED else -1, total, articles))
+            articles += value in ("article", "main") and not unread
         else:
             if value in BLOCKS:
                 flush()
@@ -132,19 +169,21 @@ def lines_of(page: str, by_class: bool = True) -> list[tuple[str, int, bool]]:
                 held.append(" ")
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == value:
-                    del stack[i:]
+                    leave(i)
                     break
     flush()
-    return out
+    leave(1)
+    return out, holds, total, articles
 
 
-def weights(lines: list[tuple[str, int, bool]]) -> np.ndarray:
+def weights(lines: list[Line]) -> np.ndarray:
     """What each line counts for, by the lengths of its text and links."""
     size = np.array([len(text) for text, _, _ in lines], np.int64)
     linked = np.array([n for _, n, _ in lines], np.int64)
     inside = np.array([x for _, _, x in lines], bool)
-    beside = np.maximum(0, size - linked - OUTSIDE) // 2 if inside.any() else size - linked
-    return np.where(inside, size - linked // 2, beside)
+    plain = size - linked
+    marked = inside.any() and plain[inside].sum() >= LITTLE * plain[~inside].sum()
+    return np.where(inside, size - linked // 2, np.maximum(0, plain - OUTSIDE) // 2 if marked else plain)
 
 
 def surges(counts: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -165,17 +204,13 @@ def surges(counts: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def main_text(page: str | None) -> str:
-    for by_class in (True, False):  # classes that would leave nothing of a page are not believed
-        lines = lines_of(page or "", by_class)
-        if not lines:
-            continue
-        counts = weights(lines)
-        if not counts.any():
-            continue
-        inside = np.array([x for _, _, x in lines], bool)
-        kept = surges(counts, np.concatenate(([False], inside[1:] != inside[:-1])))
-        return "\n".join(line[0] for line, k in zip(lines, kept) if k)
-    return ""
+    lines = lines_of(page or "")
+    counts = weights(lines) if lines else np.zeros(0, np.int64)
+    if not counts.any():
+        return ""
+    inside = np.array([x for _, _, x in lines], bool)
+    kept = surges(counts, np.concatenate(([False], inside[1:] != inside[:-1])))
+    return "\n".join(line[0] for line, k in zip(lines, kept) if k)
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
