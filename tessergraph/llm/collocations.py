@@ -2,17 +2,17 @@
 
 A frequent prefix is grown to the right, depth first, over pointers to its
 occurrences (what PrefixSpan calls projection). Words are counted first, then
-pairs of frequent words; an occurrence of a frequent pair is then a pointer to
-up to five words, cut off where a pair isn't frequent, since no longer phrase
-can be. Equal pointers are summed in each task before they move, so copies
-cost little. A prefix's pointers go to one task, sorted, where a phrase is a
-run of them and its growth a run within that run. Prefixes are three words
-long there: pairs are counted already, and a common pair spreads over its next
-words.
-
-Which words and pairs are frequent reaches the tasks as bits of a table of
+pairs of frequent words by a hash of 32 bits; an occurrence of a pair whose
+hash is frequent is then a pointer to up to five words, cut off where a pair
+isn't frequent, since no longer phrase can be. Equal pointers are summed in
+each task before they move, so copies cost little. A prefix's pointers go to
+one task, sorted, where a phrase is a run of them and its growth a run within
+that run. Prefixes are three words long there: pairs are counted beside them,
+and a common pair spreads over its next words.
+
+Which words and pairs may be frequent reaches the tasks as bits of a table of
 fixed size, at most 2 MB. A wrong bit lets a rare phrase be counted in vain;
-none is lost, whatever the vocabulary's size.
+none is lost, whatever the vocabulary's size, and all counts are of words.
 
 Null and empty texts have no word; repeated rows count each time; a null
 language is ``und``, and one with no word has no row. Words are all that lies
@@ -23,10 +23,11 @@ length is no bound. Columns beside those named are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,9 @@ FILTER_BITS = 1 << 24
 #: Bytes of text that a task counts at once, and that it cuts into words at once.
 GATHER_BYTES, STRETCH = 16 << 20, 1 << 20
 
+#: Hashes of pairs have 32 bits; those with the same upper 8 are counted together.
+SLOT_BITS = 24
+
 _SPACE, _END = b" ", b"\n"
 
 
@@ -109,10 +113,9 @@ def _place_column(columns: list[Column], bits: int) -> Column:
     return value % bits
 
 
-def _filter(rows: DataFrame, columns: list[str], bits: int) -> np.ndarray:
-    """A bit for each row's place; at most ``bits`` / 64 numbers reach the driver."""
-    place = _place_column([F.col(c) for c in columns], bits)
-    masks = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("mask"))
+def _filter(places: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each place (p); at most ``bits`` / 64 numbers reach the driver."""
+    masks = places.groupBy(F.shiftright("p", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("mask"))
     out = np.zeros(max(bits // 64, 1), np.int64)
     table = masks.toArrow()
     out[table.column("slot").to_numpy()] = table.column("mask").to_numpy()
@@ -149,61 +152,112 @@ def _fit(lang: str, codes: np.ndarray, held: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pair_counts(docs: DataFrame, word_bits) -> DataFrame:
-    """(lang, w0, w1, f) of the pairs of words that may be frequent."""
+def _pairs(base: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of each pair of words, from the hashes of the language and the words."""
+    mixed = ((base * 31 + first) * 31 + second).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits as four planes of bytes, of which the upper ones compress to nothing."""
+    return numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _frequent_pairs(docs: DataFrame, word_bits, least: int) -> DataFrame:
+    """(hash) of all hashes that pairs of frequent words have ``least`` times.
+
+    A task gives out a few bytes for each hash that it met: sorted, as
+    differences, packed. They are added up in tables of fixed size.
+    """
 
     def make():
         held = np.unpackbits(word_bits.value).astype(bool)
+        pack = zstandard.ZstdCompressor().compress
 
-        def count(batch: pa.RecordBatch) -> dict[str, list] | None:
-            out: dict[str, list] = {"lang": [], "w0": [], "w1": [], "f": []}
+        def count(batch: pa.RecordBatch) -> dict[str, list]:
+            found = [np.empty(0, np.int64)]
             for lang, numbers, names in _per_language(batch):
-                fit = _fit(lang, _codes(names), held)[numbers]
+                codes = _codes(names)
+                fit = _fit(lang, codes, held)[numbers]
                 at = np.flatnonzero(fit[:-1] & fit[1:])
-                pairs, counts = np.unique(numbers[at] * len(names) + numbers[at + 1], return_counts=True)
-                words = pa.array(names, pa.binary()).cast(pa.string())
-                out["lang"].append(pa.repeat(lang, len(pairs)))
-                out["w0"].append(words.take(pa.array(pairs // len(names))))
-                out["w1"].append(words.take(pa.array(pairs % len(names))))
-                out["f"].append(pa.array(counts))
-            return {k: pa.concat_arrays(v) for k, v in out.items()} if out["f"] else None
+                found.append(_pairs(zlib.crc32(lang.encode()), codes[numbers[at]], codes[numbers[at + 1]]))
+            hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+            slots, begins = np.unique(hashes >> SLOT_BITS, return_index=True)
+            out = []
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(hashes)], strict=True):
+                steps = np.diff(hashes[a:b] & ((1 << SLOT_BITS) - 1), prepend=0)
+                out.append(pack(_planes(np.concatenate([steps, np.minimum(counts[a:b], least)]))))
+            return {"slot": slots, "packed": out}
 
         return count
 
-    rows = map_rows(docs, "lang string, w0 string, w1 string, f long", make, GATHER_BYTES)
-    return rows.groupBy("lang", "w0", "w1").agg(F.sum("f").alias("f"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        slot, sums = None, np.zeros(1 << SLOT_BITS, np.uint32)
+
+        def frequent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums >= least) + ((slot or 0) << SLOT_BITS), pa.int64())], names=["hash"])
+
+        for batch in batches:
+            for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != slot:
+                    if slot is not None:
+                        yield frequent()
+                    slot = s
+                    sums[:] = 0
+                steps, counts = np.split(_from_planes(unpack(packed)), 2)
+                at = np.cumsum(steps)
+                sums[at] = np.minimum(sums[at] + counts, least)  # enough to tell
+        if slot is not None:
+            yield frequent()
+
+    rows = map_rows(docs, "slot long, packed binary", make, GATHER_BYTES)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(add, "hash long")
 
 
 def _pointers(docs: DataFrame, word_bits, pair_bits, longest: int) -> DataFrame:
-    """(lang, w0 ... , n): the words from each occurrence of a frequent pair on, three at least, as far as each pair may be frequent; equal ones summed."""
+    """(lang, w0 ... , n): each pair that may be frequent, and the words from each on, three at least, as far as each pair may be; equal rows of a batch summed."""
     names_of = [f"w{i}" for i in range(longest)]
 
     def make():
         held, held_pairs = np.unpackbits(word_bits.value).astype(bool), np.unpackbits(pair_bits.value).astype(bool)
 
+        def ahead_of(numbers: np.ndarray, both: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+            """The distinct rows of words ahead, and how often each comes."""
+            at = np.flatnonzero(both[:-1] & both[1:])
+            ahead = np.zeros((len(at), longest), np.int64)
+            open_ = np.ones(len(at), bool)
+            for j in range(longest):
+                if j > 2:
+                    open_ &= both[np.minimum(at + j - 1, len(both) - 1)] & (at + j < len(numbers))
+                ahead[open_, j] = numbers[at[open_] + j]
+            group = ahead[:, 0]
+            for j in range(1, longest):  # equal rows get equal numbers, a column at a time
+                group = np.unique(group * size + ahead[:, j], return_inverse=True)[1]
+            _, first, counts = np.unique(group, return_index=True, return_counts=True)
+            pairs = np.flatnonzero(both)
+            keys, times = np.unique(numbers[pairs] * size + numbers[pairs + 1], return_counts=True)
+            alone = np.zeros((len(keys), longest), np.int64)
+            alone[:, 0], alone[:, 1] = keys // size, keys % size
+            return np.concatenate([ahead[first], alone]), np.concatenate([counts, times])
+
         def point(batch: pa.RecordBatch) -> dict[str, list] | None:
             out: dict[str, list] = {k: [] for k in ("lang", *names_of, "n")}
             for lang, numbers, names in _per_language(batch):
                 codes = _codes(names)
                 fit, code = _fit(lang, codes, held)[numbers], codes[numbers]
                 both = fit[:-1] & fit[1:]
-                both[both] = held_pairs[((zlib.crc32(lang.encode()) * 31 + code[:-1][both]) * 31 + code[1:][both]) % len(held_pairs)]
-                at = np.flatnonzero(both[:-1] & both[1:])
-                ahead = np.zeros((len(at), longest), np.int64)
-                ahead[:, 0], ahead[:, 1], ahead[:, 2] = numbers[at], numbers[at + 1], numbers[at + 2]
-                open_ = np.ones(len(at), bool)
-                for j in range(3, longest):
-                    behind = np.minimum(at + j - 1, len(both) - 1)
-                    open_ &= both[behind] & (at + j < len(numbers))
-                    ahead[open_, j] = numbers[at[open_] + j]
-                group = ahead[:, 0]
-                for j in range(1, longest):  # equal rows get equal numbers, a column at a time
-                    group = np.unique(group * len(names) + ahead[:, j], return_inverse=True)[1]
-                _, first, counts = np.unique(group, return_index=True, return_counts=True)
+                both[both] = held_pairs[_pairs(zlib.crc32(lang.encode()), code[:-1][both], code[1:][both]) % len(held_pairs)]
+                rows, counts = ahead_of(numbers, both, len(names))
                 words = pa.array([None, *names[1:]], pa.binary()).cast(pa.string())
-                out["lang"].append(pa.repeat(lang, len(first)))
+                out["lang"].append(pa.repeat(lang, len(rows)))
                 for j, name in enumerate(names_of):
-                    out[name].append(words.take(pa.array(ahead[first, j])))
+                    out[name].append(words.take(pa.array(rows[:, j])))
                 out["n"].append(pa.array(counts))
             return {k: pa.concat_arrays(v) for k, v in out.items()} if out["n"] else None
 
@@ -269,7 +323,7 @@ class _Growth:
 
 
 def _grown(pointers: DataFrame, longest: int, least: int) -> DataFrame:
-    """(lang, phrase, k, f) of the frequent phrases of three words and more."""
+    """(lang, phrase, k, f) of the frequent phrases of two words and more."""
     names = [f"w{i}" for i in range(longest)]
     tasks = int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by prefix; sums over whole pointers need no further exchange.
@@ -286,8 +340,12 @@ def _grown(pointers: DataFrame, longest: int, least: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 found: list = []
-                columns = [np.array([*c.to_pylist(), None], object)[:-1] for c in batch.columns[:-1]]
-                growth.rows(columns, batch.columns[-1].to_numpy(), found)
+                columns, n = [np.array([*c.to_pylist(), None], object)[:-1] for c in batch.columns[:-1]], batch.columns[-1].to_numpy()
+                pair = columns[3] == None  # noqa: E711  element by element
+                for i in np.flatnonzero(pair & (n >= least)).tolist():
+                    found.append((tuple(c[i] for c in columns[:3]), int(n[i])))
+                if not pair.all():
+                    growth.rows([c[~pair] for c in columns], n[~pair], found)
                 yield batch_of(found)
         found = []
         growth.finish(found)
@@ -309,13 +367,12 @@ def frequent_phrases(docs: DataFrame, lang_column: str = "lang", text_column: st
     sizes, _ = written(counts.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     words, word_path = written(counts.where(F.col("f") >= least), "frequent-words")
     drop(spark, all_words)
-    word_bits = spark.sparkContext.broadcast(np.packbits(_filter(words, ["lang", "phrase"], filter_bits)))
-    pairs, pair_path = written(_pair_counts(spoken, word_bits).where(F.col("f") >= least), "frequent-pairs")
-    pair_bits = spark.sparkContext.broadcast(np.packbits(_filter(pairs, ["lang", "w0", "w1"], filter_bits)))
+    word_bits = spark.sparkContext.broadcast(np.packbits(_filter(words.select(_place_column([F.col("lang"), F.col("phrase")], filter_bits).alias("p")), filter_bits)))
+    pairs = _frequent_pairs(spoken, word_bits, least)
+    pair_bits = spark.sparkContext.broadcast(np.packbits(_filter(pairs.select((F.col("hash") % filter_bits).alias("p")), filter_bits)))
     longer = _grown(_pointers(spoken, word_bits, pair_bits, longest), longest, least)
-    short = words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(pairs.select("lang", F.concat_ws(" ", "w0", "w1").alias("phrase"), F.lit(2).alias("k"), "f"))
-    found, _ = written(short.unionByName(longer), "phrases")
-    drop(spark, word_path, pair_path)
+    found, _ = written(words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(longer), "phrases")
+    drop(spark, word_path)
     return found, sizes
 
 
