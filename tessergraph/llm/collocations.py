@@ -2,17 +2,19 @@
 
 A frequent prefix is grown to the right, depth first, over pointers to its
 occurrences (what PrefixSpan calls projection). Words are counted first, then
-pairs of frequent words by a hash of 32 bits; an occurrence of a pair whose
-hash is frequent is then a pointer to up to five words, cut off where a pair
-isn't frequent, since no longer phrase can be. Equal pointers are summed in
-each task before they move, so copies cost little. A prefix's pointers go to
-one task, sorted, where a phrase is a run of them and its growth a run within
-that run. Prefixes are three words long there: pairs are counted beside them,
-and a common pair spreads over its next words.
-
-Which words and pairs may be frequent reaches the tasks as bits of a table of
-fixed size, at most 2 MB. A wrong bit lets a rare phrase be counted in vain;
-none is lost, whatever the vocabulary's size, and all counts are of words.
+pairs of frequent words and triples of frequent pairs, both by a hash of 32
+bits; an occurrence of a triple whose hash is frequent is then a pointer to up
+to five words, cut off where a triple isn't frequent, since no longer phrase
+can be. Equal pointers are summed in each task before they move, so copies
+cost little. A prefix's pointers go to one task, sorted, where a phrase is a
+run of them and its growth a run within that run. Prefixes are three words
+long there: pairs are counted beside them, and a common pair spreads over its
+next words.
+
+Which words, pairs and triples may be frequent reaches the tasks as bits of
+tables of fixed size, at most 2 MB each. A wrong bit lets a rare phrase be
+counted in vain; none is lost, whatever the vocabulary's size, and all counts
+are of words.
 
 Null and empty texts have no word; repeated rows count each time; a null
 language is ``und``, and one with no word has no row. Words are all that lies
@@ -34,12 +36,12 @@ from pyspark.sql import functions as F
 from tessergraph.llm.common import as_bytes, drop, map_rows, written
 
 LONGEST, LEAST, FIRST, PERCENT = 5, 100, 2000, 100
-#: Bits that tell frequent words or pairs from others.
+#: Bits that tell frequent words, pairs or triples from others.
 FILTER_BITS = 1 << 24
 #: Bytes of text that a task counts at once, and that it cuts into words at once.
 GATHER_BYTES, STRETCH = 16 << 20, 1 << 20
 
-#: Hashes of pairs have 32 bits; those with the same upper 8 are counted together.
+#: Hashes of pairs and triples have 32 bits; those with the same upper 8 are counted together.
 SLOT_BITS = 24
 
 _SPACE, _END = b" ", b"\n"
@@ -141,21 +143,38 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _codes(names: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, names), np.int64, len(names))
+def _bits(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits at some places of a packed table."""
+    places = places % (8 * len(packed))
+    return (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _fit(lang: str, codes: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Whether each word may be frequent; the end of a piece is not."""
-    out = held[(zlib.crc32(lang.encode()) * 31 + codes) % len(held)]
-    out[0] = False
-    return out
+def _hashes(before, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of 32 bits, of what is before and two words."""
+    mixed = ((before * 31 + first) * 31 + second).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64)
 
 
-def _pairs(base: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The hash of each pair of words, from the hashes of the language and the words."""
-    mixed = ((base * 31 + first) * 31 + second).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(32)).astype(np.int64)
+def _runs(lang: str, numbers: np.ndarray, names: list[bytes], filters: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Whether a word, a pair, ... at each place may be frequent, as far as there are filters; and where one word more follows that may be, with its hash.
+
+    filters: bits of words, of pairs, of triples, packed and broadcast.
+    """
+    base, codes = zlib.crc32(lang.encode()), np.fromiter(map(zlib.crc32, names), np.int64, len(names))
+    fit = _bits(filters[0].value, base * 31 + codes)
+    fit[0] = False  # the end of a piece
+    code, found = codes[numbers], [fit[numbers]]
+    hashes: np.ndarray | int = base
+    for held in [*filters[1:], None]:
+        last = found[-1]
+        n = len(found) - 1  # words that are known to follow
+        open_ = last[:-1] & last[1:]
+        hashes = _hashes(hashes if n == 0 else hashes[:-1], code[n : len(code) - 1], code[n + 1 :])
+        if held is None:
+            return found, open_, hashes
+        open_[open_] = _bits(held.value, hashes[open_])
+        found.append(open_)
+    raise AssertionError
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -167,24 +186,21 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _frequent_pairs(docs: DataFrame, word_bits, least: int) -> DataFrame:
-    """(hash) of all hashes that pairs of frequent words have ``least`` times.
+def _frequent(docs: DataFrame, filters: list, least: int) -> DataFrame:
+    """(hash) of all hashes that occur ``least`` times, of pairs of frequent words or of what is a word longer than ``filters`` tell.
 
     A task gives out a few bytes for each hash that it met: sorted, as
     differences, packed. They are added up in tables of fixed size.
     """
 
     def make():
-        held = np.unpackbits(word_bits.value).astype(bool)
         pack = zstandard.ZstdCompressor().compress
 
         def count(batch: pa.RecordBatch) -> dict[str, list]:
             found = [np.empty(0, np.int64)]
             for lang, numbers, names in _per_language(batch):
-                codes = _codes(names)
-                fit = _fit(lang, codes, held)[numbers]
-                at = np.flatnonzero(fit[:-1] & fit[1:])
-                found.append(_pairs(zlib.crc32(lang.encode()), codes[numbers[at]], codes[numbers[at + 1]]))
+                _, open_, hashes = _runs(lang, numbers, names, filters)
+                found.append(hashes[open_])
             hashes, counts = np.unique(np.concatenate(found), return_counts=True)
             slots, begins = np.unique(hashes >> SLOT_BITS, return_index=True)
             out = []
@@ -220,21 +236,19 @@ def _frequent_pairs(docs: DataFrame, word_bits, least: int) -> DataFrame:
     return rows.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(add, "hash long")
 
 
-def _pointers(docs: DataFrame, word_bits, pair_bits, longest: int) -> DataFrame:
-    """(lang, w0 ... , n): each pair that may be frequent, and the words from each on, three at least, as far as each pair may be; equal rows of a batch summed."""
+def _pointers(docs: DataFrame, filters: list, longest: int) -> DataFrame:
+    """(lang, w0 ... , n): each pair that may be frequent, and the words from each triple on, as far as each triple may be; equal rows of a batch summed."""
     names_of = [f"w{i}" for i in range(longest)]
 
     def make():
-        held, held_pairs = np.unpackbits(word_bits.value).astype(bool), np.unpackbits(pair_bits.value).astype(bool)
-
-        def ahead_of(numbers: np.ndarray, both: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        def ahead_of(numbers: np.ndarray, both: np.ndarray, three: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
             """The distinct rows of words ahead, and how often each comes."""
-            at = np.flatnonzero(both[:-1] & both[1:])
+            at = np.flatnonzero(three)
             ahead = np.zeros((len(at), longest), np.int64)
             open_ = np.ones(len(at), bool)
             for j in range(longest):
                 if j > 2:
-                    open_ &= both[np.minimum(at + j - 1, len(both) - 1)] & (at + j < len(numbers))
+                    open_ &= three[np.minimum(at + j - 2, len(three) - 1)] & (at + j < len(numbers))
                 ahead[open_, j] = numbers[at[open_] + j]
             group = ahead[:, 0]
             for j in range(1, longest):  # equal rows get equal numbers, a column at a time
@@ -249,11 +263,8 @@ def _pointers(docs: DataFrame, word_bits, pair_bits, longest: int) -> DataFrame:
         def point(batch: pa.RecordBatch) -> dict[str, list] | None:
             out: dict[str, list] = {k: [] for k in ("lang", *names_of, "n")}
             for lang, numbers, names in _per_language(batch):
-                codes = _codes(names)
-                fit, code = _fit(lang, codes, held)[numbers], codes[numbers]
-                both = fit[:-1] & fit[1:]
-                both[both] = held_pairs[_pairs(zlib.crc32(lang.encode()), code[:-1][both], code[1:][both]) % len(held_pairs)]
-                rows, counts = ahead_of(numbers, both, len(names))
+                (_, both, three), _, _ = _runs(lang, numbers, names, filters)
+                rows, counts = ahead_of(numbers, both, three, len(names))
                 words = pa.array([None, *names[1:]], pa.binary()).cast(pa.string())
                 out["lang"].append(pa.repeat(lang, len(rows)))
                 for j, name in enumerate(names_of):
@@ -367,10 +378,15 @@ def frequent_phrases(docs: DataFrame, lang_column: str = "lang", text_column: st
     sizes, _ = written(counts.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     words, word_path = written(counts.where(F.col("f") >= least), "frequent-words")
     drop(spark, all_words)
-    word_bits = spark.sparkContext.broadcast(np.packbits(_filter(words.select(_place_column([F.col("lang"), F.col("phrase")], filter_bits).alias("p")), filter_bits)))
-    pairs = _frequent_pairs(spoken, word_bits, least)
-    pair_bits = spark.sparkContext.broadcast(np.packbits(_filter(pairs.select((F.col("hash") % filter_bits).alias("p")), filter_bits)))
-    longer = _grown(_pointers(spoken, word_bits, pair_bits, longest), longest, least)
+    filters: list = []
+
+    def more(places: DataFrame) -> None:
+        filters.append(spark.sparkContext.broadcast(np.packbits(_filter(places, filter_bits))))
+
+    more(words.select(_place_column([F.col("lang"), F.col("phrase")], filter_bits).alias("p")))
+    for _ in ("pairs", "triples"):
+        more(_frequent(spoken, list(filters), least).select((F.col("hash") % filter_bits).alias("p")))
+    longer = _grown(_pointers(spoken, filters, longest), longest, least)
     found, _ = written(words.select("lang", "phrase", F.lit(1).alias("k"), "f").unionByName(longer), "phrases")
     drop(spark, word_path)
     return found, sizes
