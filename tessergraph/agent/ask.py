@@ -247,12 +247,3 @@ def resolve_citations(cited: DataFrame, events: DataFrame, size: int = 200) -> D
 def entity_exists(nodes: DataFrame, name: str) -> bool:
     return not nodes.where(answers_to(name)).isEmpty()
 
-
-def frames(answer: Answer) -> Iterator[str]:
-    """The answer as server-sent events."""
-    yield f"event: route\ndata: {answer.route}\n\n"
-    for word in answer.text.split(" "):
-        yield f"event: token\ndata: {word}\n\n"
-    for c in answer.citations:
-        yield f"event: citation\ndata: {c}\n\n"
-    yield f"event: done\ndata: {'verified' if answer.verified else answer.error or 'unverified'}\n\n"

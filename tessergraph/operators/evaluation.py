@@ -43,9 +43,12 @@ def recall_mrr(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame
     return _recalled(asked, hits)
 
 
-def recall_mrr_by_group(ranked: DataFrame, questions: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """The same where right are all items of the question's group, which are counted, not listed. questions: (question, group), null group where nothing is expected; items: (item, group)."""
-    sizes = items.groupBy("group").agg(F.count("item").alias("size"))
+def recall_mrr_by_group(ranked: DataFrame, questions: DataFrame, items: DataFrame, k: int = 10, own: bool = False) -> DataFrame:
+    """The same where right are all items of the question's group, which are counted, not listed. questions: (question, group), null group where nothing is expected; items: (item, group).
+
+    own: each question is an item of its group, too, and not to be found.
+    """
+    sizes = items.groupBy("group").agg((F.count("item") - int(own)).alias("size"))
     asked = questions.join(sizes, "group", "left").select("question", F.coalesce("size", F.lit(0)).alias("wanted"))
     hits = ranked.where(F.col("place") <= k).join(questions, "question").join(items, ["item", "group"])
     return _recalled(asked, hits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,21 @@ def edge(edges: DataFrame, *kinds: str) -> DataFrame:
     return edges.where(F.col("edge_type").isin(*kinds))
 
 
+#: Edges as a table, or as a function that gives those at some nodes (ids), for sources that find them by key.
+Edges = DataFrame | Callable[[list[str] | None], DataFrame]
+#: Nodes whose ids are sent to a scan; of more the edges are joined.
+MOST_IDS = 1000
+
+
+def edges_at(edges: Edges, nodes: DataFrame) -> DataFrame:
+    """The edges that touch ``nodes`` (node_id), or a few more: their ids are a filter of the scan while they are few."""
+    ids = [r[0] for r in nodes.select("node_id").distinct().limit(MOST_IDS + 1).collect()]
+    few = len(ids) <= MOST_IDS
+    if callable(edges):
+        return edges(ids if few else None)
+    return edges.where(F.col("src").isin(ids) | F.col("dst").isin(ids)) if few else edges
+
+
 def live(nodes: DataFrame, *labels: str) -> DataFrame:
     found = nodes.where(resolved())
     return found.where(F.col("label").isin(*labels)) if labels else found
@@ -29,7 +45,7 @@ def bounded(value: int, low: int, high: int, what: str) -> int:
     return value
 
 
-def find_chain_owner(nodes: DataFrame, edges: DataFrame, decision_id: str) -> DataFrame:
+def find_chain_owner(nodes: DataFrame, edges: Edges, decision_id: str) -> DataFrame:
     """KQ1: decision -DEPRECATES-> system <-DEPENDS_ON- service -OWNED_BY-> owner, teams opened to their members.
 
     One row per chain. A team whose members are all merged, or that has none,
@@ -40,12 +56,16 @@ def find_chain_owner(nodes: DataFrame, edges: DataFrame, decision_id: str) -> Da
     services = live(nodes, "Service").select(F.col("node_id").alias("s"), F.col("canonical_name").alias("service"))
     owners = live(nodes).select(F.col("node_id").alias("o"), F.col("label").alias("owner_type"), F.coalesce("canonical_name", "canonical_id").alias("owner_id"), F.col("canonical_id").alias("owner_person"))
     people = live(nodes, "Person").select(F.col("node_id").alias("p"), F.col("canonical_id").alias("member"))
+    # A decision's systems and their services are found by key, owners by a join.
+    dropped = edge(edges_at(edges, d.select(F.col("d").alias("node_id"))), "DEPRECATES")
+    used = edge(edges_at(edges, dropped.join(d.select(F.col("d").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id"))), "DEPENDS_ON")
+    edges = edges(None) if callable(edges) else edges
     members = edge(edges, "MEMBER_OF").select(F.col("src").alias("p"), F.col("dst").alias("team"), F.col("source_event_id").alias("member_event")).join(people, "p")
 
     chain = (
-        d.join(edge(edges, "DEPRECATES").select(F.col("src").alias("d"), F.col("dst").alias("y"), F.col("source_event_id").alias("deprecates_event")), "d")
+        d.join(dropped.select(F.col("src").alias("d"), F.col("dst").alias("y"), F.col("source_event_id").alias("deprecates_event")), "d")
         .join(systems, "y")
-        .join(edge(edges, "DEPENDS_ON").select(F.col("src").alias("s"), F.col("dst").alias("y"), F.col("source_event_id").alias("depends_event")), "y")
+        .join(used.select(F.col("src").alias("s"), F.col("dst").alias("y"), F.col("source_event_id").alias("depends_event")), "y")
         .join(services, "s")
         .join(edge(edges, "OWNED_BY").select(F.col("src").alias("s"), F.col("dst").alias("o"), F.col("source_event_id").alias("owned_event")), "s")
         .join(owners, "o")
@@ -137,6 +157,10 @@ def blast_people(nodes: DataFrame, edges: DataFrame, service: str, max_depth: in
     owners = live(nodes).select(F.col("node_id").alias("owner"), F.col("canonical_id").alias("owner_person"))
     owned = hit.join(edge(edges, "OWNED_BY").select(F.col("src").alias("node"), F.col("dst").alias("owner")), "node").join(owners, "owner").select("owner", "owner_person").distinct()
     people = live(nodes, "Person").select(F.col("node_id").alias("p"), F.col("canonical_id").alias("member"))
+    # A decision's systems and their services are found by key, owners by a join.
+    dropped = edge(edges_at(edges, d.select(F.col("d").alias("node_id"))), "DEPRECATES")
+    used = edge(edges_at(edges, dropped.join(d.select(F.col("d").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id"))), "DEPENDS_ON")
+    edges = edges(None) if callable(edges) else edges
     members = edge(edges, "MEMBER_OF").select(F.col("src").alias("p"), F.col("dst").alias("owner")).join(people, "p")
     return owned.join(members, "owner", "left").select(F.coalesce("member", "owner_person").alias("person_id")).where("person_id IS NOT NULL").distinct()
 
@@ -259,10 +283,11 @@ def anchors(nodes: DataFrame, name: str, label: str | None = None) -> DataFrame:
     return found.where(F.col("label") == label) if label else found
 
 
-def get_entity(nodes: DataFrame, edges: DataFrame, name: str, label: str | None = None) -> DataFrame:
+def get_entity(nodes: DataFrame, edges: Edges, name: str, label: str | None = None) -> DataFrame:
     """The first node by display name that answers to ``name``, with its edge types to resolved nodes, by direction."""
     first = anchors(nodes, name, label).select("node_id", display_name().alias("entity"), F.col("label").alias("node_type")).orderBy("entity", "node_id").limit(1)
     other = live(nodes).select(F.col("node_id").alias("other"))
+    edges = edges_at(edges, first)
     ways = [
         edges.where(F.col("edge_type") != MERGE).select(F.col(a).alias("node_id"), F.col(b).alias("other"), "edge_type", F.lit(w).alias("direction"))
         for a, b, w in (("src", "dst", "out"), ("dst", "src", "in"))
@@ -271,10 +296,11 @@ def get_entity(nodes: DataFrame, edges: DataFrame, name: str, label: str | None
     return met.groupBy("entity", "node_type", "direction", "edge_type").agg(F.count("*").alias("n_edges"))
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, name: str, edge_type: str | None = None, direction: str = "both", limit: int = 50) -> DataFrame:
+def neighbors(nodes: DataFrame, edges: Edges, name: str, edge_type: str | None = None, direction: str = "both", limit: int = 50) -> DataFrame:
     """Resolved neighbours of all nodes that answer to ``name``; a self-loop counts once, as outgoing."""
     bounded(limit, 1, 200, "limit")
     anchored = anchors(nodes, name).select(F.col("node_id").alias("anchor"))
+    edges = edges_at(edges, anchored.select(F.col("anchor").alias("node_id")))
     wanted = edges.where(F.col("edge_type") != MERGE) if edge_type is None else edge(edges, edge_type)
     out = wanted.select(F.col("src").alias("anchor"), F.col("dst").alias("other"), "edge_type", "source_event_id", F.lit(True).alias("outgoing"))
     back = wanted.where("src != dst").select(F.col("dst").alias("anchor"), F.col("src").alias("other"), "edge_type", "source_event_id", F.lit(False).alias("outgoing"))
@@ -282,7 +308,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, name: str, edge_type: str | No
     if direction == "in":
         ways = ways.union(out.where("anchor = other").withColumn("outgoing", F.lit(False)))
     ends = live(nodes).select(F.col("node_id").alias("other"), display_name().alias("neighbor"), F.col("label").alias("neighbor_type"))
-    met = ways.join(F.broadcast(anchored), "anchor").join(ends, "other")
+    met = ways.join(anchored, "anchor").join(ends, "other")
     met = met.select("neighbor", "neighbor_type", "edge_type", "outgoing", F.nullif("source_event_id", F.lit("")).alias("source_event_id"))
     top = met.orderBy("edge_type", "neighbor", "outgoing", "source_event_id", "neighbor_type").limit(limit)
     return top.withColumn("total_count", met.agg(F.count("*").alias("n")).scalar())

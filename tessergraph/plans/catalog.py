@@ -63,6 +63,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _by_key(spark: SparkSession, sf: str) -> tuple[DataFrame, Callable[[list[str] | None], DataFrame]]:
+    """The graph with its edges found by the keys of nodes."""
+    return tables.nodes(spark, sf), lambda ids: tables.edges(spark, sf, ids)
+
+
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return tables.nodes(spark, sf), tables.edges(spark, sf)
 
@@ -88,7 +93,7 @@ FROM d JOIN e1 ON e1.src = d.node_id JOIN y ON y.node_id = e1.dst JOIN e2 ON e2.
 JOIN e3 ON e3.src = s.node_id JOIN o ON o.node_id = e3.dst LEFT JOIN m ON m.dst = o.node_id AND o.label = 'Team'""",
 )
 def kq1_ownership(spark, sf):
-    return typed.find_chain_owner(*_graph(spark, sf), DECISION)
+    return typed.find_chain_owner(*_by_key(spark, sf), DECISION)
 
 
 @query(
@@ -254,7 +259,7 @@ w AS (SELECT src AS node_id, dst AS other, edge_type, 'out' AS direction FROM ed
 SELECT a.entity, a.node_type, w.direction, w.edge_type, count(*)::BIGINT AS n_edges FROM a JOIN w USING (node_id) JOIN live o ON o.node_id = w.other GROUP BY ALL""",
 )
 def get_entity_edge_counts(spark, sf):
-    return typed.get_entity(*_graph(spark, sf), "PART-6")
+    return typed.get_entity(*_by_key(spark, sf), "PART-6")
 
 
 def _neighbors() -> None:
@@ -265,7 +270,7 @@ def _neighbors() -> None:
         sql = f"""{GRAPH}, w AS ({way}), m AS (SELECT coalesce(o.canonical_name, o.canonical_id, o.title, o.id) AS neighbor, o.label AS neighbor_type, w.edge_type, w.outgoing, w.source_event_id
 FROM live a JOIN w ON w.anchor = a.node_id JOIN live o ON o.node_id = w.other WHERE '{ENTITY}' IN (lower(a.canonical_id), lower(a.canonical_name), lower(a.id), lower(a.handle)))
 SELECT *, (SELECT count(*) FROM m)::BIGINT AS total_count FROM m ORDER BY edge_type, neighbor, outgoing, source_event_id, neighbor_type LIMIT 50"""
-        query(f"neighbors_{direction}", sql)(lambda spark, sf, d=direction: typed.neighbors(*_graph(spark, sf), ENTITY, direction=d))
+        query(f"neighbors_{direction}", sql)(lambda spark, sf, d=direction: typed.neighbors(*_by_key(spark, sf), ENTITY, direction=d))
 
 
 _neighbors()
@@ -337,13 +342,13 @@ SELECT event_id, round(similarity, 6) AS similarity, entity_count, final_score F
 
 @query("hybrid_search", _hybrid_sql(30, "true"))
 def hybrid_search(spark, sf):
-    return search.hybrid_search(tables.embeddings(spark, sf), tables.event_log(spark, sf), search.entity_map(tables.nodes(spark, sf)), _vector(spark, sf, 5), 10)
+    return search.hybrid_search(tables.embeddings(spark, sf), tables.event_log(spark, sf), tables.nodes(spark, sf), _vector(spark, sf, 5), 10)
 
 
 @query("hybrid_search_filtered", _hybrid_sql(50, "log.source_type = 'doc' AND log.created_at >= TIMESTAMP '2024-01-01 01:00:00' AND log.created_at <= TIMESTAMP '2024-01-01 06:00:00' AND list_contains(e.labels, 'Service')"))
 def hybrid_search_filtered(spark, sf):
     return search.hybrid_search(
-        tables.embeddings(spark, sf), tables.event_log(spark, sf), search.entity_map(tables.nodes(spark, sf)), _vector(spark, sf, 5), 10,
+        tables.embeddings(spark, sf), tables.event_log(spark, sf), tables.nodes(spark, sf), _vector(spark, sf, 5), 10,
         source_types=["DOC"], after="2024-01-01 01:00:00", before="2024-01-01 06:00:00", labels=["service"],
     )
 
@@ -590,10 +595,13 @@ def _known(spark: SparkSession, sf: str) -> DataFrame:
     return tables.raw_events(spark, sf).select("id").union(docs)
 
 
-@query("provenance_missing", f"{CITED} SELECT event_id, count(*)::BIGINT AS n_nodes FROM c WHERE event_id NOT IN (SELECT 'ev-' || event_id FROM events) GROUP BY 1")
+@query("provenance_missing", f"""{CITED}, p AS (SELECT event_id FROM c UNION ALL SELECT 'gone-' || (p_partkey % 97) FROM part WHERE p_partkey % 3 = 0)
+SELECT event_id, count(*)::BIGINT AS n_nodes FROM p WHERE event_id NOT IN (SELECT id FROM known) GROUP BY 1""")
 def provenance_missing(spark, sf):
-    """Cited events that the stream's own log lacks: the documents."""
-    return extraction.provenance_missing(tables.nodes(spark, sf), tables.raw_events(spark, sf).select("id"))
+    """Over the whole log; every third part cites, besides its own events, one that was never logged."""
+    k = F.col("p_partkey")
+    planted = tables.table(spark, sf, "part").where(k % 3 == 0).select(tables.name_of("Service:", "p_partkey").alias("node_id"), F.array(F.concat(F.lit("gone-"), (k % 97).cast("string"))).alias("source_event_ids"))
+    return extraction.provenance_missing(tables.nodes(spark, sf).select("node_id", "source_event_ids").union(planted), _known(spark, sf))
 
 
 @query("provenance_missing_whole_log", f"{CITED} SELECT event_id, count(*)::BIGINT AS n_nodes FROM c WHERE event_id NOT IN (SELECT id FROM known) GROUP BY 1")
@@ -723,31 +731,27 @@ def eval_prf_by_type(spark, sf):
     return evaluation.prf_by(*_pair_sets(spark, sf), ["type", "k"], "type")
 
 
-#: Questions are the vectors with ids divisible by 20, ranked are all vectors, by a fixed order; right answers are all of the question's label, or none for every fifth question.
-RANKED = """WITH q AS (SELECT vec_id AS question, label FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT question, e.vec_id AS item, row_number() OVER (PARTITION BY question ORDER BY (e.vec_id * 7919 + question) % 503, e.vec_id) AS place FROM q CROSS JOIN embeddings e),
-x AS (SELECT question, e.vec_id AS item FROM q LEFT JOIN embeddings e ON q.label = e.label AND question % 100 <> 0)"""
-RECALL = f"""{RANKED}, m AS (SELECT x.question, count(x.item) AS wanted, count(r.item) AS hits, min(r.place) AS best FROM x LEFT JOIN r ON r.question = x.question AND r.item = x.item AND r.place <= 10 GROUP BY 1)
+BEST = 10
+#: Questions are the vectors with ids divisible by 20, ranked are all others by similarity; right answers are all others of the question's label, or none for every fifth question.
+RECALL = f"""WITH q AS (SELECT vec_id AS question, label, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
+r AS (SELECT question, vec_id AS item, row_number() OVER (PARTITION BY question ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 9) DESC, vec_id) AS place FROM q JOIN embeddings ON vec_id <> question),
+x AS (SELECT question, i.vec_id AS item FROM q LEFT JOIN embeddings i ON q.label = i.label AND i.vec_id <> question AND question % 100 <> 0),
+m AS (SELECT x.question, count(x.item) AS wanted, count(r.item) AS hits, min(r.place) AS best FROM x LEFT JOIN r ON r.question = x.question AND r.item = x.item AND r.place <= {BEST} GROUP BY 1)
 SELECT question, round(CASE WHEN wanted = 0 THEN 1 ELSE hits / wanted END, 6) AS recall, round(coalesce(1 / best, 0), 6) AS reciprocal_rank FROM m"""
-#: The fixed order of items for a question: (item * STEP + question) % CLASSES, then the item.
-STEP, CLASSES, BEST = 7919, 503, 10
 
 
 def _recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions of one remainder have one ranking, which runs round the items' remainders from a start; the first BEST items of a remainder are enough, so no question meets all items."""
+    """Ranks by vector search; right answers are counted by label, so no question is listed with all of them."""
     from pyspark.sql import Window
 
-    items = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("group"))
-    questions = items.where("item % 20 = 0").select(F.col("item").alias("question"), F.when(F.col("item") % 100 != 0, F.col("group")).alias("group"))
-    remainder = items.select((F.col("item") * STEP % CLASSES).alias("at"), "item")
-    place = F.row_number().over(Window.partitionBy("at").orderBy("item"))
-    best = remainder.withColumn("place", place).where(F.col("place") <= BEST).select("at", "item")
-    starts = spark.range(CLASSES).select(F.col("id").alias("at"), F.lit(None).cast("long").alias("item"))
-    ring = best.union(best.select(F.col("at") + CLASSES, "item")).union(starts)  # at most 2 * BEST * CLASSES items and CLASSES starts
-    ring = ring.withColumn("n", F.count("item").over(Window.orderBy("at", F.asc_nulls_first("item")).rowsBetween(Window.unboundedPreceding, 0)))
-    first = ring.where("item IS NULL").select(((CLASSES - F.col("at")) % CLASSES).alias("class"), F.posexplode(F.sequence(F.col("n") + 1, F.col("n") + BEST)).alias("place", "n"))
-    round_ = first.join(ring.where("item IS NOT NULL").select("n", "item"), "n").groupBy("class", "item").agg((F.min("place") + 1).alias("place"))
-    ranked = questions.select("question", (F.col("question") % CLASSES).alias("class")).join(round_, "class").select("question", "item", "place")
-    return evaluation.recall_mrr_by_group(ranked, questions, items, BEST)
+    items = tables.embeddings(spark, sf).select("event_id", "embedding", F.col("vec_id").alias("item"), F.col("label").alias("group"))
+    asked = items.where("item % 20 = 0")
+    found = search.vector_topk_many(items, asked.select(F.col("item").alias("query_id"), "embedding"), BEST + 1)
+    others = found.withColumn("item", F.substring("event_id", 5, 20).cast("long")).where("item != query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "item"))
+    ranked = others.select(F.col("query_id").alias("question"), "item", place.alias("place")).where(F.col("place") <= BEST)
+    questions = asked.select(F.col("item").alias("question"), F.when(F.col("item") % 100 != 0, F.col("group")).alias("group"))
+    return evaluation.recall_mrr_by_group(ranked, questions, items.select("item", "group"), BEST, own=True)
 
 
 @query("eval_recall_mrr", RECALL)
@@ -788,7 +792,7 @@ def eval_truth_pairs(spark, sf):
     return evaluation.truth_pairs(tables.table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("group"), F.col("vec_id").alias("member")))
 
 
-AGENT = "SELECT event_type AS route, CASE WHEN event_id % 7 = 0 THEN 'search' ELSE event_type END AS chosen, event_id % 11 = 0 AS refused, event_id % 11 < 1 AS should_refuse, event_id % 4 <> 0 AS first_try, value / 1000 AS cost, value AS latency_ms FROM events"
+AGENT = "SELECT event_type AS route, CASE WHEN event_id % 7 = 0 THEN 'search' ELSE event_type END AS chosen, event_id % 11 = 0 AS refused, event_id % 11 = 0 AND event_id % 3 <> 0 OR event_id % 13 = 0 AS should_refuse, event_id % 4 <> 0 AS first_try, value / 1000 AS cost, value AS latency_ms FROM events"
 
 
 @query("eval_agent_report", f"""SELECT route, count(*)::BIGINT AS n, round(avg((route = chosen)::INT), 6) AS route_accuracy, round(avg((refused = should_refuse)::INT), 6) AS refusal_correctness, round(avg(first_try::INT), 6) AS first_try_rate,
@@ -796,7 +800,7 @@ round(avg(cost), 6) AS mean_cost, round(avg(latency_ms), 1) AS mean_latency_ms F
 def eval_agent_report(spark, sf):
     e, i = tables.table(spark, sf, "events"), F.col("event_id")
     return evaluation.agent_report(
-        e.select(F.col("event_type").alias("route"), F.when(i % 7 == 0, "search").otherwise(F.col("event_type")).alias("chosen"), (i % 11 == 0).alias("refused"), (i % 11 < 1).alias("should_refuse"), (i % 4 != 0).alias("first_try"), (F.col("value") / 1000).alias("cost"), F.col("value").alias("latency_ms"))
+        e.select(F.col("event_type").alias("route"), F.when(i % 7 == 0, "search").otherwise(F.col("event_type")).alias("chosen"), (i % 11 == 0).alias("refused"), (((i % 11 == 0) & (i % 3 != 0)) | (i % 13 == 0)).alias("should_refuse"), (i % 4 != 0).alias("first_try"), (F.col("value") / 1000).alias("cost"), F.col("value").alias("latency_ms"))
     )
 
 
@@ -966,9 +970,10 @@ def foreach_batch_reconcile(spark, sf):
     root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}"
     tables.event_log(spark, sf).select([f.name for f in ingest.EVENT_SCHEMA]).write.parquet(f"{root}/incoming")
     store = Store(spark, f"{root}/store")
-    ingest.start(spark, f"{root}/incoming", ingest.Reconciler(store, first_words), f"{root}/checkpoint").awaitTermination()
-    events = store.read("events").select(F.col("id").alias("event_id"), "source_type")
-    return store.read("ingestion_runs").join(events, "event_id").groupBy("status", "source_type").agg(F.count("*").alias("n"))
+    reconciler = ingest.Reconciler(store, first_words)
+    ingest.start(spark, f"{root}/incoming", reconciler, f"{root}/checkpoint").awaitTermination()
+    events = reconciler.read("events").select(F.col("id").alias("event_id"), "source_type")
+    return reconciler.read("ingestion_runs").join(events, "event_id").groupBy("status", "source_type").agg(F.count("*").alias("n"))
 
 
 @query("stream_graph", f"""WITH {LOG}, l AS (SELECT source_type, regexp_extract_all(content, '\\S+') AS w FROM log WHERE length(content) BETWEEN 10 AND 10000),
@@ -986,11 +991,12 @@ def stream_graph(spark, sf):
     root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}"
     tables.event_log(spark, sf).select([f.name for f in ingest.EVENT_SCHEMA]).write.parquet(f"{root}/incoming")
     store = Store(spark, f"{root}/store")
-    ingest.start(spark, f"{root}/incoming", ingest.Reconciler(store, first_words), f"{root}/checkpoint").awaitTermination()
+    reconciler = ingest.Reconciler(store, first_words)
+    ingest.start(spark, f"{root}/incoming", reconciler, f"{root}/checkpoint").awaitTermination()
     none = F.lit(0).cast("long").alias("n_merged")
-    nodes = store.read("nodes").groupBy("label").agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("status") == "merged", 1)).alias("n_merged"))
-    messages = store.read("messages").groupBy(F.lit("Message").alias("label")).agg(F.count("*").alias("n_nodes")).withColumn("n_merged", none)
-    own = store.read("edges").where("edge_type = 'OWNED_BY' AND evidence_quote IS NOT NULL").groupBy(F.lit("OWNED_BY").alias("label")).agg(F.count("*").alias("n_nodes")).withColumn("n_merged", none)
+    nodes = reconciler.read("nodes").groupBy("label").agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("status") == "merged", 1)).alias("n_merged"))
+    messages = reconciler.read("messages").groupBy(F.lit("Message").alias("label")).agg(F.count("*").alias("n_nodes")).withColumn("n_merged", none)
+    own = reconciler.read("edges").where("edge_type = 'OWNED_BY' AND evidence_quote IS NOT NULL").groupBy(F.lit("OWNED_BY").alias("label")).agg(F.count("*").alias("n_nodes")).withColumn("n_merged", none)
     return nodes.union(messages).union(own)
 
 

@@ -74,39 +74,64 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _among(column: Column, keys: list[int]) -> Column:
+    return column.isin(keys) if keys else F.lit(False)
+
+
+def edges(spark: SparkSession, sf_dir: str, at: list[str] | None = None) -> DataFrame:
+    """at: only edges that begin or end at one of these nodes (ids). Their keys are filters of the scans, before anything is made distinct or grouped."""
+    keys: dict[str, list[int]] = {}
+    for node in at or ():
+        label, _, key = node.partition(":")
+        keys.setdefault(label, []).append(int(key))
+
     def t(name: str) -> DataFrame:
         return table(spark, sf_dir, name)
 
+    def touched(df: DataFrame, *ends: tuple[str, Column]) -> DataFrame:
+        """The rows with an end among the wanted nodes: (label, its key)."""
+        return df if at is None else df.where(reduce(Column.__or__, (_among(key, keys.get(label, [])) for label, key in ends)))
+
     def made(df: DataFrame, kind: str, src: Column, dst: Column, event: Column, **more: Column) -> DataFrame:
         return shaped(df, EDGE_SCHEMA, edge_type=F.lit(kind), src=src, dst=dst, source_event_id=event, **({"confidence": F.lit(1.0)} | more))
 
-    part, line = t("part"), t("lineitem")
-    k = F.col("p_partkey")
+    part, line, orders = t("part"), t("lineitem"), t("orders")
+    c, k = F.col, F.col("p_partkey")
     halves = part.select("p_partkey", F.explode(F.array_distinct(F.array(F.expr("p_partkey div 2"), F.expr("IF(p_partkey >= 3, p_partkey div 3, p_partkey div 2)")))).alias("to")).where("p_partkey >= 2")
-    uses = line.select("l_partkey", "l_suppkey").distinct()
-    about = line.select("l_orderkey", "l_partkey").distinct()
-    drops = line.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    uses = touched(line.select("l_partkey", "l_suppkey"), ("Service", c("l_partkey")), ("System", c("l_suppkey"))).distinct()
+    about = touched(line.select("l_orderkey", "l_partkey"), ("Decision", c("l_orderkey")), ("Service", c("l_partkey"))).distinct()
+    lines = line.select("l_orderkey", "l_suppkey")
+    if at is not None:  # all lines of the orders that have one of the wanted suppliers, since the smallest counts
+        supplied = lines.where(_among(c("l_suppkey"), keys.get("System", []))).select("l_orderkey").distinct()
+        own = lines.where(_among(c("l_orderkey"), keys.get("Decision", [])))
+        lines = own.union(lines.join(supplied, "l_orderkey", "left_semi")) if keys.get("System") else own
+    drops = touched(lines.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey")), ("Decision", c("l_orderkey")), ("System", c("l_suppkey")))
     people = t("customer").agg(F.count("*").alias("people"))
     # Every eleventh service has a person, numbered within the customers; the count is one row, joined as a scalar.
-    owner = F.when(k % 11 == 0, F.concat(F.lit("Person:"), (k % people.scalar()).cast("string"))).otherwise(F.concat(F.lit("Team:"), (k % 25).cast("string")))
-    orders = t("orders")
+    owned = part.where("p_partkey % 13 != 0").select("p_partkey", F.when(k % 11 == 0, k % people.scalar()).otherwise(k % 25).alias("owner"), F.when(k % 11 == 0, "Person").otherwise("Team").alias("kind"))
+    if at is not None:
+        owned = owned.where(_among(k, keys.get("Service", [])) | ((c("kind") == "Person") & _among(c("owner"), keys.get("Person", []))) | ((c("kind") == "Team") & _among(c("owner"), keys.get("Team", []))))
     from pyspark.sql import Window
 
+    linked = orders
+    if at is not None:  # the order before is one of the same customer's
+        whose = orders.where(_among(c("o_orderkey"), keys.get("Decision", []))).select("o_custkey").distinct()
+        linked = orders.join(whose, "o_custkey", "left_semi")
     earlier = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    errors = t("events").where("event_type = 'error'")
+    older = touched(linked.withColumn("older", earlier).where("older IS NOT NULL"), ("Decision", c("o_orderkey")), ("Decision", c("older")))
+    errors = touched(t("events").where("event_type = 'error'"), ("Message", c("event_id")), ("Decision", c("event_id") % 500))
     parts = [
-        made(halves, "DEPENDS_ON", name_of("Service:", "p_partkey"), name_of("Service:", "to"), _event_of("p_partkey")),
+        made(touched(halves, ("Service", k), ("Service", c("to"))), "DEPENDS_ON", name_of("Service:", "p_partkey"), name_of("Service:", "to"), _event_of("p_partkey")),
         made(uses, "DEPENDS_ON", name_of("Service:", "l_partkey"), name_of("System:", "l_suppkey"), _event_of("l_partkey")),
-        made(part.where("p_partkey % 13 != 0"), "OWNED_BY", name_of("Service:", "p_partkey"), owner, _event_of("p_partkey")),
-        made(t("customer"), "MEMBER_OF", name_of("Person:", "c_custkey"), name_of("Team:", "c_nationkey"), _event_of("c_custkey")),
+        made(owned, "OWNED_BY", name_of("Service:", "p_partkey"), F.concat("kind", F.lit(":"), c("owner").cast("string")), _event_of("p_partkey")),
+        made(touched(t("customer"), ("Person", c("c_custkey")), ("Team", c("c_nationkey"))), "MEMBER_OF", name_of("Person:", "c_custkey"), name_of("Team:", "c_nationkey"), _event_of("c_custkey")),
         made(about, "ABOUT", name_of("Decision:", "l_orderkey"), name_of("Service:", "l_partkey"), _event_of("l_orderkey")),
         made(drops, "DEPRECATES", name_of("Decision:", "l_orderkey"), name_of("System:", "l_suppkey"), _event_of("l_orderkey")),
-        made(orders, "APPROVED_BY", name_of("Decision:", "o_orderkey"), name_of("Person:", "o_custkey"), _event_of("o_orderkey")),
-        made(orders.withColumn("older", earlier).where("older IS NOT NULL"), "SUPERSEDES", name_of("Decision:", "o_orderkey"), name_of("Decision:", "older"), _event_of("o_orderkey")),
+        made(touched(orders, ("Decision", c("o_orderkey")), ("Person", c("o_custkey"))), "APPROVED_BY", name_of("Decision:", "o_orderkey"), name_of("Person:", "o_custkey"), _event_of("o_orderkey")),
+        made(older, "SUPERSEDES", name_of("Decision:", "o_orderkey"), name_of("Decision:", "older"), _event_of("o_orderkey")),
         made(errors, "CONTRADICTS", name_of("Message:", "event_id"), F.concat(F.lit("Decision:"), (F.col("event_id") % 500).cast("string")), name_of("ev-", "event_id"), confidence=F.round(F.col("value") - F.floor("value"), 6)),
         made(
-            part.where("p_partkey % 37 = 36"), "MERGE_INTO", name_of("Service:", "p_partkey"), F.concat(F.lit("Service:"), (k - 1).cast("string")), _event_of("p_partkey"),
+            touched(part.where("p_partkey % 37 = 36"), ("Service", k), ("Service", k - 1)), "MERGE_INTO", name_of("Service:", "p_partkey"), F.concat(F.lit("Service:"), (k - 1).cast("string")), _event_of("p_partkey"),
             confidence=F.when(k % 2 == 0, 0.99).otherwise(0.9), tier=(k % 2 + 1).cast("int"),
         ),
     ]

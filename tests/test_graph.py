@@ -166,8 +166,13 @@ def test_consolidation_skips_absorbed(spark):
     at = [DAY - dt.timedelta(days=d) for d in (0, 1, 2, 90)]
     decisions = spark.createDataFrame([("D-0001", v, at[0], 3), ("a", v, at[1], 1), ("b", v, at[2], 1), ("D-0002", v, at[0], 1), ("c", v, at[3], 1)], "key string, embedding array<float>, created_at timestamp_ntz, n_events int")
     pairs = resolution.consolidation_pairs(decisions)
-    done = resolution.consolidated(pairs)
-    assert [(d["winner"], d["loser"]) for d in done] == [("D-0001", "a"), ("D-0001", "b")]
+    done = resolution.consolidated(pairs).collect()
+    assert sorted((d["winner"], d["loser"]) for d in done) == [("D-0001", "a"), ("D-0001", "b")]
+    late = decisions.withColumn("created_at", F.when(F.col("key") != "c", F.col("created_at")))
+    every = {(r["a"]["key"], r["b"]["key"]) for r in resolution.consolidation_pairs(late).collect()}
+    assert every == {("D-0001", "a"), ("D-0001", "b"), ("D-0001", "c"), ("D-0002", "a"), ("D-0002", "b"), ("D-0002", "c"), ("a", "b"), ("a", "c"), ("b", "c")}
+    some = {(r["a"]["key"], r["b"]["key"]) for r in resolution.consolidation_pairs(late, touched=late.where("key IN ('a', 'c')")).collect()}
+    assert some == {p for p in every if {"a", "c"} & set(p)}
 
 
 def test_text_rules(spark):
