@@ -48,6 +48,8 @@ LOG = """log AS (
 LIVE = "live AS (SELECT * FROM nodes WHERE coalesce(status, 'active') <> 'merged')"
 GRAPH = f"WITH RECURSIVE {NODES}, {EDGES}, {LIVE}"
 
+NORMAL = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')), '^@+', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
 #: Parameters of the registered queries.
 DECISION, SEED, DEPTH = "D-100", "part-3", 4
 KQ2_AS_OF, KQ4_AS_OF, KQ4_DAYS = "2024-01-31", "2001-08-01", 600
@@ -399,6 +401,59 @@ def merge_winners(spark, sf):
     return _rated(spark, sf).where("decision = 'auto_merge'").select(winner.alias("winner"), loser.alias("loser"), F.lit(resolution.TIER_CONFIDENCE).alias("confidence"), "tier")
 
 
+#: People and services with what rules compare: pairs of an email, threes of a handle, fours of a name in two spellings, services by the former names of later ones, and some known aliases.
+RULED = f"""ruled AS (SELECT 'P' || c_custkey AS key, 'Person' AS label, 'c-' || c_custkey AS id, NULL::VARCHAR AS canonical_name, CASE WHEN c_custkey % 5 = 0 THEN 'Mail' || (c_custkey // 10) || '@X.org ' WHEN c_custkey % 5 = 1 THEN 'mail' || (c_custkey // 10) || '@x.org' END AS email,
+  CASE WHEN c_custkey % 7 < 3 THEN '@H' || (c_custkey // 7) END AS handle, NULL::VARCHAR AS former_name, CASE WHEN c_custkey % 11 < 2 THEN 'known' || (c_custkey // 11) END AS alias_of FROM customer
+  UNION ALL SELECT 'S' || p_partkey, 'Service', 'part-' || p_partkey, CASE WHEN p_partkey % 8 = 3 THEN 'Svc_' || (p_partkey // 4) WHEN p_partkey % 8 = 1 THEN 'svc ' || (p_partkey // 4) ELSE 'svc-' || p_partkey || 'x' END, NULL, NULL, CASE WHEN p_partkey % 9 = 4 THEN 'SVC ' || (p_partkey - 4) || 'X' END, NULL FROM part)"""
+RULED_SQL = f"""WITH {RULED}, k AS (SELECT *, {NORMAL.format(x="coalesce(canonical_name, id)")} AS n, {NORMAL.format(x="canonical_name")} AS m, {NORMAL.format(x="former_name")} AS f, {NORMAL.format(x="handle")} AS h, lower(trim(email)) AS e FROM ruled),
+p AS (SELECT a.key AS a, b.key AS b, a.label, 'exact_email' AS rule FROM k a JOIN k b ON a.label = b.label AND a.e = b.e AND a.key < b.key AND a.label = 'Person'
+UNION SELECT a.key, b.key, a.label, 'exact_handle' FROM k a JOIN k b ON a.label = b.label AND a.h = b.h AND a.key < b.key AND a.label = 'Person'
+UNION SELECT a.key, b.key, a.label, 'exact_canonical_name' FROM k a JOIN k b ON a.label = b.label AND a.n = b.n AND a.key < b.key AND a.label = 'Service'
+UNION SELECT a.key, b.key, a.label, 'known_alias' FROM k a JOIN k b ON a.label = b.label AND a.alias_of = b.alias_of AND a.key < b.key
+UNION SELECT least(a.key, b.key), greatest(a.key, b.key), a.label, 'former_name' FROM k a JOIN k b ON a.label = b.label AND a.f = b.m AND a.key <> b.key AND a.label = 'Service')
+SELECT a, b, label, string_agg(rule, ',' ORDER BY rule) AS rules FROM p GROUP BY ALL"""
+
+
+@query("resolve_rules", RULED_SQL)
+def resolve_rules(spark, sf):
+    """All five rules over whole tables: nodes meet by their surfaces."""
+    c, p, null = F.col("c_custkey"), F.col("p_partkey"), F.lit(None).cast("string")
+
+    def text(*parts):
+        return F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts))
+
+    mail = F.when(c % 5 == 0, text("Mail", F.expr("c_custkey div 10"), "@X.org ")).when(c % 5 == 1, text("mail", F.expr("c_custkey div 10"), "@x.org"))
+    people = tables.table(spark, sf, "customer").select(
+        text("P", c).alias("key"), F.lit("Person").alias("label"), text("c-", c).alias("id"), null.alias("canonical_name"), mail.alias("email"), F.when(c % 7 < 3, text("@H", F.expr("c_custkey div 7"))).alias("handle"),
+        null.alias("former_name"), F.when(c % 11 < 2, text("known", F.expr("c_custkey div 11"))).alias("alias_of"),
+    )
+    name = F.when(p % 8 == 3, text("Svc_", F.expr("p_partkey div 4"))).when(p % 8 == 1, text("svc ", F.expr("p_partkey div 4"))).otherwise(text("svc-", p, "x"))
+    services = tables.table(spark, sf, "part").select(
+        text("S", p).alias("key"), F.lit("Service").alias("label"), text("part-", p).alias("id"), name.alias("canonical_name"), null.alias("email"), null.alias("handle"),
+        F.when(p % 9 == 4, text("SVC ", p - 4, "X")).alias("former_name"), null.alias("alias_of"),
+    )
+    pairs = resolution.ruled_pairs(people.union(services))
+    return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.label").alias("label"), F.array_join(F.array_sort("rules"), ",").alias("rules"))
+
+
+#: Decisions a day apart, of which those within 30 days and alike by 0.25 may merge; the sweep goes through the pairs in order.
+CONSOLIDATED = """WITH RECURSIVE d AS (SELECT 'k' || lpad(vec_id::VARCHAR, 12, '0') AS key, vec_id, embedding::DOUBLE[] AS e, vec_id % 3 AS n FROM embeddings),
+q AS (SELECT a.key AS a, b.key AS b, CASE WHEN a.n >= b.n THEN a.key ELSE b.key END AS winner, CASE WHEN a.n >= b.n THEN b.key ELSE a.key END AS loser, list_cosine_similarity(a.e, b.e) AS s FROM d a JOIN d b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 30),
+p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY a, b) AS place FROM q WHERE s >= 0.25),
+r(place, gone, winner, loser, s) AS (SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE
+  UNION ALL SELECT p.place, CASE WHEN list_contains(gone, p.a) OR list_contains(gone, p.b) THEN gone ELSE list_append(gone, p.loser) END, CASE WHEN NOT (list_contains(gone, p.a) OR list_contains(gone, p.b)) THEN p.winner END, p.loser, p.s FROM r JOIN p ON p.place = r.place + 1)
+SELECT winner, loser, round(s, 6) AS confidence FROM r WHERE winner IS NOT NULL"""
+
+
+@query("consolidate_decisions", CONSOLIDATED)
+def consolidate_decisions(spark, sf):
+    """The greedy sweep over decisions that are alike, in rounds."""
+    v = F.col("vec_id")
+    decisions = tables.table(spark, sf, "embeddings").select(F.concat(F.lit("k"), F.lpad(v.cast("string"), 12, "0")).alias("key"), "embedding", F.expr("timestampadd(DAY, vec_id, TIMESTAMP_NTZ'1990-01-01')").alias("created_at"), (v % 3).cast("int").alias("n_events"))
+    done = resolution.consolidated(resolution.consolidation_pairs(decisions, floor=0.25))
+    return done.select("winner", "loser", F.round("confidence", 6).alias("confidence"))
+
+
 @query("tier_stats", f"{GRAPH} SELECT tier, count(*)::BIGINT AS n_merges, round(avg(confidence), 6) AS mean_confidence FROM edges WHERE edge_type = 'MERGE_INTO' GROUP BY 1")
 def tier_stats(spark, sf):
     return resolution.merge_stats(typed.edge(tables.edges(spark, sf), "MERGE_INTO"))
@@ -703,6 +758,20 @@ def metrics_upper_median(spark, sf):
     return logs.upper_median(tables.table(spark, sf, "events"), "event_type", "value")
 
 
+SNAPSHOT = """WITH m AS (SELECT CASE event_type WHEN 'error' THEN 'ingestion' ELSE 'stage_ms' END AS name, event_type || event_id % 3 AS tag, value FROM events), a AS (SELECT * FROM m UNION ALL SELECT name, 'all', value FROM m WHERE name = 'ingestion')
+SELECT name, tag, count(*)::BIGINT AS n, round(quantile_cont(value, 0.5), 1) AS p50, round(quantile_cont(value, 0.95), 1) AS p95, round(max(value), 1) AS most, round(avg(value), 4) AS mean, round(sum(value), 2) AS total FROM a GROUP BY ALL"""
+
+
+@query("metrics_snapshot", SNAPSHOT)
+def metrics_snapshot(spark, sf):
+    """The snapshot over recorded values, the events' standing for those of runs."""
+    from tessergraph.streaming.requests import metrics_snapshot as snapshot
+
+    e = tables.table(spark, sf, "events")
+    rows = e.select(F.when(F.col("event_type") == "error", "ingestion").otherwise("stage_ms").alias("name"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("tag"), "value")
+    return snapshot(rows).withColumns({"mean": F.round("mean", 4), "total": F.round("total", 2)})
+
+
 @query("metrics_by_status", f"WITH {RUNS} SELECT status, count(*)::BIGINT AS n FROM runs GROUP BY 1")
 def metrics_by_status(spark, sf):
     return logs.counters(_runs(spark, sf), "status")
@@ -841,7 +910,6 @@ def eval_ingest_report(spark, sf):
 
 # texts and traversals
 
-NORMAL = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')), '^@+', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 WHOLE = "'@@ ' || text || ' '"
 
 
@@ -959,19 +1027,27 @@ def first_words(content: str) -> str:
     return json.dumps({"entities": entities, "relationships": [link] if words[0] != words[1] else []})
 
 
-@query("foreach_batch_reconcile", f"WITH {LOG} SELECT 'reconciled' AS status, source_type, count(*)::BIGINT AS n FROM log WHERE length(content) BETWEEN 10 AND 10000 GROUP BY 2")
-def foreach_batch_reconcile(spark, sf):
-    """The whole log as a stream into an empty store."""
+def _streamed(spark: SparkSession, sf: str, batches: int):
+    """The whole log as a stream of so many micro-batches into an empty store, whose folder goes when the driver ends."""
     import uuid
 
-    from tessergraph.sources.store import Store, shared_folder
+    from tessergraph.sources.store import Store, hadoop_path, shared_folder
     from tessergraph.streaming import ingest
 
     root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}"
-    tables.event_log(spark, sf).select([f.name for f in ingest.EVENT_SCHEMA]).write.parquet(f"{root}/incoming")
-    store = Store(spark, f"{root}/store")
-    reconciler = ingest.Reconciler(store, first_words)
-    ingest.start(spark, f"{root}/incoming", reconciler, f"{root}/checkpoint").awaitTermination()
+    fs, folder = hadoop_path(spark, root)
+    fs.deleteOnExit(folder)
+    log = tables.event_log(spark, sf).select([f.name for f in ingest.EVENT_SCHEMA])
+    log.repartition(4 * batches).write.parquet(f"{root}/incoming")
+    reconciler = ingest.Reconciler(Store(spark, f"{root}/store"), first_words)
+    ingest.start(spark, f"{root}/incoming", reconciler, f"{root}/checkpoint", files_per_batch=4).awaitTermination()
+    return reconciler
+
+
+@query("foreach_batch_reconcile", f"WITH {LOG} SELECT 'reconciled' AS status, source_type, count(*)::BIGINT AS n FROM log WHERE length(content) BETWEEN 10 AND 10000 GROUP BY 2")
+def foreach_batch_reconcile(spark, sf):
+    """The whole log as a stream into an empty store."""
+    reconciler = _streamed(spark, sf, 1)
     events = reconciler.read("events").select(F.col("id").alias("event_id"), "source_type")
     return reconciler.read("ingestion_runs").join(events, "event_id").groupBy("status", "source_type").agg(F.count("*").alias("n"))
 
@@ -982,17 +1058,8 @@ x AS (SELECT label, {NORMAL.format(x="name")} AS normal FROM n)
 SELECT label, count(*)::BIGINT AS n_nodes, (count(*) - count(DISTINCT normal))::BIGINT AS n_merged FROM x GROUP BY 1 UNION ALL SELECT 'Message', count(*), 0 FROM l WHERE source_type = 'slack_message'
 UNION ALL SELECT 'OWNED_BY', count(DISTINCT (w[1], w[2])), 0 FROM l WHERE w[1] <> w[2]""")
 def stream_graph(spark, sf):
-    """What the whole log as a stream leaves in an empty store: nodes and merged ones by label, messages, and asserted edges."""
-    import uuid
-
-    from tessergraph.sources.store import Store, shared_folder
-    from tessergraph.streaming import ingest
-
-    root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}"
-    tables.event_log(spark, sf).select([f.name for f in ingest.EVENT_SCHEMA]).write.parquet(f"{root}/incoming")
-    store = Store(spark, f"{root}/store")
-    reconciler = ingest.Reconciler(store, first_words)
-    ingest.start(spark, f"{root}/incoming", reconciler, f"{root}/checkpoint").awaitTermination()
+    """What the whole log as a stream of two micro-batches leaves in an empty store: nodes and merged ones by label, messages, asserted edges, pairs of the audit that merged."""
+    reconciler = _streamed(spark, sf, 2)
     none = F.lit(0).cast("long").alias("n_merged")
     nodes = reconciler.read("nodes").groupBy("label").agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("status") == "merged", 1)).alias("n_merged"))
     messages = reconciler.read("messages").groupBy(F.lit("Message").alias("label")).agg(F.count("*").alias("n_nodes")).withColumn("n_merged", none)
