@@ -157,10 +157,6 @@ def blast_people(nodes: DataFrame, edges: DataFrame, service: str, max_depth: in
     owners = live(nodes).select(F.col("node_id").alias("owner"), F.col("canonical_id").alias("owner_person"))
     owned = hit.join(edge(edges, "OWNED_BY").select(F.col("src").alias("node"), F.col("dst").alias("owner")), "node").join(owners, "owner").select("owner", "owner_person").distinct()
     people = live(nodes, "Person").select(F.col("node_id").alias("p"), F.col("canonical_id").alias("member"))
-    # A decision's systems and their services are found by key, owners by a join.
-    dropped = edge(edges_at(edges, d.select(F.col("d").alias("node_id"))), "DEPRECATES")
-    used = edge(edges_at(edges, dropped.join(d.select(F.col("d").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id"))), "DEPENDS_ON")
-    edges = edges(None) if callable(edges) else edges
     members = edge(edges, "MEMBER_OF").select(F.col("src").alias("p"), F.col("dst").alias("owner")).join(people, "p")
     return owned.join(members, "owner", "left").select(F.coalesce("member", "owner_person").alias("person_id")).where("person_id IS NOT NULL").distinct()
 
