@@ -1,6 +1,7 @@
 """Semantics on small planted graphs."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -275,18 +276,37 @@ def test_provenance_of_contradictions_and_changes(graph):
     assert rows(typed.change_provenance(*graph, target, "2026-06-01", 90)) == [("edge:APPROVED_BY:D-0001", "e"), ("edge:SUPERSEDES:D-0001", "e"), ("node:Decision:D-0001", "e-D-0001")]
 
 
-def test_contradiction_candidates_anywhere_in_a_text(spark, monkeypatch):
-    from tessergraph.operators import matching
-
+def test_contradiction_candidates_anywhere_in_a_text(spark):
     said = [("1", "we should not touch oauth"), ("2", "pre-D-100 plans"), ("3", "D-1000 and xD-100"), ("4", "AUTH is stale"), ("5", "auth is fine"), ("6", None), ("7", ""), ("8", "so D-100.")]
     messages = spark.createDataFrame(said, "id string, content string")
     decisions = spark.createDataFrame([("D-100", ["auth", None, ""]), ("D-2", ["Auth", "billing"]), ("D-3", [])], "id string, subjects array<string>")
     want = [("1", "D-100", "subject"), ("1", "D-2", "subject"), ("2", "D-100", "id"), ("4", "D-100", "subject"), ("4", "D-2", "subject"), ("8", "D-100", "id")]
     assert rows(temporal.contradiction_candidates(messages, decisions)) == want
-    monkeypatch.setattr(matching, "BLOCK_BYTES", 1)
-    names = spark.createDataFrame([(n,) for n in ("ab", "b", "abc", "zz", None, "", "ab")], "name string")
-    texts = spark.createDataFrame([(1, "xabcx"), (2, "b"), (3, None)], "key long, text string")
-    assert rows(matching.occurring(texts, names, block_bytes=70)) == rows(matching.occurring(texts, names)) == [(1, "ab"), (1, "abc"), (1, "b"), (2, "b")]
+
+
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("n, window, letters", [(6, 1 << 20, "ab"), (400, 7, "ab_ é-"), (9_000, 64, "abcdefgh.€")])
+def test_occurring_equals_a_slow_search(spark, apart, n, window, letters):
+    """9,000 names more than fill a bitmap of 2^15 bits; windows are shorter than texts and names."""
+    from tessergraph.operators import matching
+
+    draw = random.Random(n)
+    made = {"".join(draw.choices(letters, k=draw.choice([1, 2, 3, 4, 5, 7, 8, 9, 17]))) for _ in range(n)} | {letters * 9, "ab"}
+    said = ["".join(draw.choices(letters, k=draw.choice([0, 1, 5, 40, 300]))) for _ in range(60)] + ["", letters * 10, "x" + letters * 9 + "x", "ab", "ab"]
+    texts = spark.createDataFrame([*enumerate(said), (99, None)], "key long, text string").repartition(3)
+    names = spark.createDataFrame([(x,) for x in [*sorted(made), None, "", "ab"]], "name string")
+
+    def edge(text, at):
+        before, after = (0 <= i < len(text) and text[i].isascii() and (text[i].isalnum() or text[i] == "_") for i in (at - 1, at))
+        return before != after
+
+    want = []
+    for key, text in enumerate(said):
+        places = {text[i:j]: 0 for i in range(len(text)) for j in range(i + 1, min(len(text), i + 91) + 1) if text[i:j] in made and (not apart or edge(text, i) and edge(text, j))}
+        want += [(key, x) for x in places]
+    got = [(r["key"], r["name"]) for r in matching.occurring(texts, names, apart, max_bits=15, window=window).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 5
+    assert matching.occurring(texts, names.limit(0)).count() == matching.occurring(texts.limit(0), names).count() == 0
 
 
 def test_scoped_candidates_and_edges(spark):
