@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessergraph.plans import catalog
+from tessergraph.plans import catalog, details  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
