@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.functions.text import normalized
-from tessergraph.operators.matching import occurring
+from tessergraph.operators.matching import occurring_anywhere
 from tessergraph.operators.traverse import components
 
 
@@ -32,8 +32,8 @@ def canonical_endpoints(relations: DataFrame, index: DataFrame, side: str, label
 def expected_entities(surfaces: DataFrame, events: DataFrame) -> DataFrame:
     """(label, canonical) of which some surface occurs in the log, anywhere in a text and in any case. surfaces: (label, surface, canonical)."""
     named = surfaces.withColumn("name", F.lower("surface"))
-    texts = events.select(F.col("id").alias("key"), F.lower("content").alias("text"))
-    return named.join(occurring(texts, named.select("name")).select("name").distinct(), "name").select("label", "canonical").distinct()
+    said = occurring_anywhere(events.select(F.lower("content").alias("text")), named.select("name"))
+    return named.join(said, "name").select("label", "canonical").distinct()
 
 
 def expected_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:

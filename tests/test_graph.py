@@ -306,7 +306,9 @@ def test_occurring_equals_a_slow_search(spark, apart, n, window, letters):
         want += [(key, x) for x in places]
     got = [(r["key"], r["name"]) for r in matching.occurring(texts, names, apart, max_bits=15, window=window).collect()]
     assert sorted(got) == sorted(want) and len(want) > 5
-    assert matching.occurring(texts, names.limit(0)).count() == matching.occurring(texts.limit(0), names).count() == 0
+    anywhere = [r["name"] for r in matching.occurring_anywhere(texts, names, apart, max_bits=15, window=window).collect()]
+    assert sorted(anywhere) == sorted({x for _, x in want})
+    assert matching.occurring_anywhere(texts, names.limit(0)).count() == matching.occurring(texts, names.limit(0)).count() == matching.occurring(texts.limit(0), names).count() == 0
 
 
 def test_scoped_candidates_and_edges(spark):
