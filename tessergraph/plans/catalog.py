@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessergraph.functions import exprs, text
-from tessergraph.operators import evaluation, extraction, logs, resolution, search, temporal, traverse, typed
+from tessergraph.operators import evaluation, extraction, logs, resolution, search, temporal, traverse, typed, vector_index
 from tessergraph.sources import tables
+from tessergraph.sources.store import Store, hadoop_path, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,6 +335,27 @@ def vector_topk_all(spark, sf):
     return found.select("query_id", place.cast("long").alias("place"), F.round("similarity", 6).alias("similarity"))
 
 
+def _index(spark: SparkSession, vectors: DataFrame) -> vector_index.VectorIndex:
+    """An index made of the even ids and grown by the odd ones; it lasts as long as the driver."""
+    root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}-index"
+    fs, path = hadoop_path(spark, root)
+    fs.deleteOnExit(path)
+    index = vector_index.VectorIndex.create(Store(spark, root), vectors.where("vec_id % 2 = 0"), cell_rows=256)
+    index.add(vectors)
+    return index
+
+
+@query("vector_index_topk_all", SQL["vector_topk_all"])
+def vector_index_topk_all(spark, sf):
+    """As `vector_topk_all`, over the index."""
+    from pyspark.sql import Window
+
+    vectors = tables.embeddings(spark, sf)
+    found = _index(spark, vectors).topk_many(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "event_id"))
+    return found.select("query_id", place.cast("long").alias("place"), F.round("similarity", 6).alias("similarity"))
+
+
 def _hybrid_sql(fanout: int, where: str) -> str:
     return f"""WITH {NODES}, {LOG}, c AS (SELECT * FROM ({SIMILAR.format(q=VECTOR_SQL.format(n=5))}) ORDER BY similarity DESC, event_id LIMIT {fanout}),
 e AS (SELECT event_id, count(DISTINCT id) AS n, list(DISTINCT label) AS labels FROM (SELECT unnest(source_event_ids) AS event_id, id, label FROM nodes) GROUP BY 1),
@@ -347,6 +370,11 @@ def hybrid_search(spark, sf):
     return search.hybrid_search(tables.embeddings(spark, sf), tables.event_log(spark, sf), tables.nodes(spark, sf), _vector(spark, sf, 5), 10)
 
 
+@query("hybrid_search_indexed", _hybrid_sql(30, "true"))
+def hybrid_search_indexed(spark, sf):
+    return search.hybrid_search(_index(spark, tables.embeddings(spark, sf)), tables.event_log(spark, sf), tables.nodes(spark, sf), _vector(spark, sf, 5), 10)
+
+
 @query("hybrid_search_filtered", _hybrid_sql(50, "log.source_type = 'doc' AND log.created_at >= TIMESTAMP '2024-01-01 01:00:00' AND log.created_at <= TIMESTAMP '2024-01-01 06:00:00' AND list_contains(e.labels, 'Service')"))
 def hybrid_search_filtered(spark, sf):
     return search.hybrid_search(
@@ -1031,7 +1059,6 @@ def _streamed(spark: SparkSession, sf: str, batches: int):
     """The whole log as a stream of so many micro-batches into an empty store, whose folder goes when the driver ends."""
     import uuid
 
-    from tessergraph.sources.store import Store, hadoop_path, shared_folder
     from tessergraph.streaming import ingest
 
     root = f"{shared_folder(spark)}/tessergraph/{uuid.uuid4().hex}"
