@@ -59,7 +59,7 @@ def test_cells_and_codes_prune(spark, tmp_path, monkeypatch):
     asked = spark.createDataFrame([(q, vectors[q * 100][1]) for q in range(12)], ASKED).withColumn("least", vector_index.F.lit(0.95))
     visits = index._visits(asked, 5, True).count() + index._visits(asked, 5, False).count()
     assert visits <= 3 * 12 < 12 * len(index.cells)
-    assert index.candidates(asked.drop("least"), 5).count() <= 12 * 25
+    assert index.candidates(asked.drop("least"), 5).count() <= 12 * 15
 
 
 def test_added_vectors_and_a_reopened_index(spark, tmp_path):
