@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessergraph.operators import pairs as blocks
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -167,6 +169,14 @@ def ingest_report(rows: DataFrame) -> DataFrame:
 
 
 def truth_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs a < b of each alias group (group, member)."""
-    a, b = groups.select("group", F.col("member").alias("a")), groups.select("group", F.col("member").alias("b"))
-    return a.join(b, "group").where("a < b").select("a", "b").distinct()
+    """All pairs a < b of each alias group (group, member), once each.
+
+    Members meet in blocks of a group. A pair of several groups counts in the
+    least one that both have, so the pairs themselves are neither shuffled nor
+    held to be told apart.
+    """
+    known = groups.where("group IS NOT NULL AND member IS NOT NULL").groupBy("member").agg(F.collect_set("group").alias("_all"))
+    pairs = blocks.met(known.select("member", "_all", F.explode("_all").alias("group")), ["group"], "member")
+    least = F.array_min(F.array_intersect("a._all", "b._all")) == F.col("a.group")
+    alone = (F.size("a._all") == 1) | (F.size("b._all") == 1)
+    return pairs.where(F.when(alone, True).otherwise(least)).select(F.col("a.member").alias("a"), F.col("b.member").alias("b"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessergraph.functions.text import normalized
+from tessergraph.operators import pairs as blocks
 from tessergraph.operators.matching import occurring_anywhere
 from tessergraph.operators.traverse import components
 
@@ -44,9 +45,7 @@ def expected_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 def predicted_pairs(merges: DataFrame) -> DataFrame:
     """All pairs a < b within each component of merge links (src, dst), for scoring against `evaluation.truth_pairs`."""
-    named = components(merges)
-    a, b = named.select("component", F.col("node").alias("a")), named.select("component", F.col("node").alias("b"))
-    return a.join(b, "component").where("a < b").select("a", "b")
+    return blocks.met(components(merges), ["component"], "node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def provenance_union(provenance: DataFrame) -> DataFrame:
