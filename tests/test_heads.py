@@ -1,9 +1,10 @@
-"""Live ingestion over names that many spellings share, and texts of one word."""
+"""Rounds of lookups and joins: what they take, and what passes through the driver. And texts of one word."""
 
 import json
 
 import pytest
 
+from tessergraph.operators import traverse
 from tessergraph.operators.traverse import chain_heads
 from tessergraph.plans import catalog
 from tessergraph.sources.store import Store
@@ -41,3 +42,12 @@ def test_heads_of_a_circle_are_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="cycle"):
         held.heads(spark.createDataFrame([("a",)], "node_id string"))
     assert [tuple(r) for r in held.heads(spark.createDataFrame([("d",)], "node_id string")).collect()] == [("d", "e")]
+
+
+def test_depths_are_joined_without_the_driver(spark, monkeypatch):
+    plans, cut = [], traverse.cut_lineage
+    monkeypatch.setattr(traverse, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    links = spark.range(2, 300).selectExpr("id AS src", "id div 2 AS dst")
+    got = {r["node"]: r["depth"] for r in traverse.longest_depth(links).collect()}
+    assert got == {i: i.bit_length() - 1 for i in range(1, 300)}
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
