@@ -26,10 +26,10 @@ from tokenizers.models import BPE
 
 from tessergraph.llm.common import Memo, map_texts
 
-#: Fragments that a worker remembers; about 100 MB.
-FRAGMENT_MEMO = 600_000
+#: Fragments, and parts of words, that a worker remembers between batches; about 40 MB. Each executor has a worker a core.
+FRAGMENT_MEMO, PART_MEMO = 150_000, 50_000
 #: Bytes of text that are cut and looked up together.
-GATHER = 4 << 20
+GATHER = 2 << 20
 
 
 @cache
@@ -75,7 +75,7 @@ class FragmentCodec:
         self.kinds = _byte_classes()
         self._cut_tables()
         self.memo = Memo(self._chunk, FRAGMENT_MEMO)
-        self.parts = Memo(self._part)
+        self.parts = Memo(self._part, PART_MEMO)
 
     def _cut_tables(self) -> None:
         """Where a cut is certain: no token holds the byte pair, and the pre-tokenizer parts its classes too."""

@@ -23,7 +23,7 @@ from tessergraph.sources.store import hadoop_path, shared_folder
 #: Rows in one Arrow batch: bounds a Python worker's memory with long texts.
 ARROW_ROWS = 500
 #: Entries of a per-worker memo before its older half goes.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 100_000
 
 #: Spark's own value of the batch size, which `prepare` replaces.
 DEFAULT_ROWS = "10000"
@@ -111,6 +111,7 @@ def map_rows(
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(columns[f.name], f.type) for f in target], schema=target
                     )
+        pa.default_memory_pool().release_unused()  # workers are used again, by other stages
 
     return df.mapInArrow(run, schema)
 

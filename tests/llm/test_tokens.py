@@ -215,3 +215,17 @@ def test_clashing_names_and_repeated_ids(spark):
     encoded = {(r["doc_id"], bytes(r["ids"])) for r in bpe.encode_decode(df, WORD).collect()}
     library = Tokenizer.from_file(WORD)
     assert encoded == {(k, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for k, t, _ in rows}
+
+
+def test_what_a_worker_remembers_is_bounded():
+    """An executor's workers keep their memos through all stages of a pipeline, so these must be small beside its memory."""
+    from tessergraph.llm import common
+
+    c = bpe.FragmentCodec(WORD)
+    want = c.encode("w0x w1x w2x")
+    for a in range(0, 600_000, 50_000):
+        c.encode_many(pa.array([" ".join(f"w{i}x" for i in range(a, a + 50_000))]))
+        assert len(c.memo) + len(c.memo.old) + len(c.parts) + len(c.parts.old) <= 350_000
+        common.word_hashes([b"%d" % i for i in range(a, a + 50_000)])
+        assert len(common._words) + len(common._words.old) <= 250_000
+    assert c.encode("w0x w1x w2x") == want
