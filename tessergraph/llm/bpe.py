@@ -4,7 +4,8 @@ A merge can only join bytes that stand side by side inside some vocabulary
 token. A byte pair found inside no token can therefore never be joined: the
 place between its bytes is a certain cut. Texts are cut there (white space
 always is such a place), each fragment is encoded alone, memoised, and the ids
-are concatenated. Fragments repeat far more than documents do.
+are concatenated. Fragments repeat far more than documents do. Those that are
+new to a batch are cut and encoded together, if they are one word of letters.
 
 Null or empty texts give no ids and decode to an empty text. Strings of the
 vocabulary's special tokens give their single id, as the library does.
@@ -13,6 +14,7 @@ vocabulary's special tokens give their single id, as the library does.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 from functools import cache
@@ -23,13 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from tessergraph.llm.common import Memo, map_texts
 
 #: Fragments, and parts of words, that a worker remembers between batches; about 40 MB. Each executor has a worker a core.
-FRAGMENT_MEMO, PART_MEMO = 150_000, 50_000
+FRAGMENT_MEMO, PART_MEMO = 240_000, 20_000
 #: Bytes of text that are cut and looked up together.
 GATHER = 2 << 20
+#: Pieces of words that the library encodes in one call.
+CALL = 300
+#: Bytes that no UTF-8 text holds: the end of a word, and a cut inside one.
+END, CUT = 255, 254
 
 
 @cache
@@ -59,6 +66,7 @@ class FragmentCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
         suffix = model.get("end_of_word_suffix") or ""
         self.by_word = bool(suffix)  # lower case, words end in the suffix, white space goes
@@ -74,6 +82,14 @@ class FragmentCodec:
         self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.kinds = _byte_classes()
         self._cut_tables()
+        letters = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+        self.plain = re.compile((rb"[ \t\n\r\v\f]*" if suffix else b" ?") + letters).fullmatch  # one word, whatever its letters
+        self.blank = b" \t\n\r\v\f" if suffix else b""
+        self.small = bytes(b + 32 if suffix and (65 <= b <= 90 or 0x80 <= b <= 0x9E) else b for b in range(256))  # of plain words
+        self.shown = {b: " " if b == END else c for b, c in enumerate(byte_alphabet())}
+        self.lengths = np.array([len(t) - len(suffix) * (bool(suffix) and t.endswith(suffix)) for t in self.pieces], np.int64)
+        self.whole = all(c + x in model["vocab"] for c in byte_alphabet() for x in {"", suffix})  # else the library leaves bytes out
+        self.splitters = [self._splitter(m) for m in ((self.inner, self.last) if suffix else (self.last,))]
         self.memo = Memo(self._chunk, FRAGMENT_MEMO)
         self.parts = Memo(self._part, PART_MEMO)
 
@@ -130,6 +146,56 @@ class FragmentCodec:
             return b""
         return b"".join(self._word(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
+    @staticmethod
+    def _splitter(model) -> Tokenizer:
+        """The library with a model, on pieces of words in byte-alphabet characters with spaces between them."""
+        out = Tokenizer(model)
+        out.pre_tokenizer = CharDelimiterSplit(" ")
+        return out
+
+    def _pieces(self, splitter: Tokenizer, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that each end in END, and how many each has."""
+        text = data.tobytes().decode("latin-1").translate(self.shown)
+        ends = np.flatnonzero(data == END)
+        ids, at = [np.empty(0, self.dtype)], 0
+        for to in [*ends[CALL - 1 : -1 : CALL].tolist(), *ends[-1:].tolist()]:
+            (found,) = splitter.encode_batch_fast([text[at:to]], add_special_tokens=False)
+            ids.append(np.array(found.ids, self.dtype))
+            at = to + 1
+        ids = np.concatenate(ids)
+        after = np.searchsorted(np.cumsum(self.lengths[ids]), ends - np.arange(len(ends))) + 1  # tokens of all pieces up to each
+        return ids, np.diff(after, prepend=0)
+
+    def _plain_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words: all are cut where no token goes on, and the pieces encoded together."""
+        data = np.frombuffer((b"\xff".join(words) + b"\xff").translate(self.small, self.blank), np.uint8)
+        inside = (data[:-1] != END) & (data[1:] != END)
+        inside &= self.unjoined[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]
+        data = np.insert(data, np.flatnonzero(inside) + 1, CUT)
+        ends = np.flatnonzero(data >= CUT)
+        last = data[ends] == END
+        if self.by_word:  # a word's last piece has the suffix
+            of_last = np.repeat(last, np.diff(ends, prepend=-1))
+            data = np.where(data == CUT, np.uint8(END), data)
+            (inner_ids, inner_sizes), (last_ids, last_sizes) = map(self._pieces, self.splitters, (data[~of_last], data[of_last]))
+            sizes = np.empty(len(ends), np.int64)
+            sizes[~last], sizes[last] = inner_sizes, last_sizes
+            ids, place = np.empty(len(inner_ids) + len(last_ids), self.dtype), np.repeat(last, sizes)
+            ids[~place], ids[place] = inner_ids, last_ids
+        else:
+            ids, sizes = self._pieces(self.splitters[0], np.where(data == CUT, np.uint8(END), data))
+        to = (np.cumsum(sizes)[last] * self.dtype.itemsize).tolist()
+        held = ids.tobytes()
+        return [held[a:b] for a, b in zip([0, *to], to)]
+
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of many stretches of text between certain cuts."""
+        words = [c for c in chunks if self.plain(c)] if self.whole else []
+        if len(words) < 2:
+            return [self._chunk(c) for c in chunks]
+        found = dict(zip(words, self._plain_words(words)))
+        return [found[c] if c in found else self._chunk(c) for c in chunks]
+
     # whole columns
 
     def encode_many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +224,7 @@ class FragmentCodec:
         fragments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
         coded = fragments.dictionary_encode()
         codes = coded.indices.to_numpy()
-        known = [self.memo[x] for x in coded.dictionary.to_pylist()]
+        known = self.memo.many(coded.dictionary.to_pylist(), self._chunks)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         each = sizes[codes]
         after = np.concatenate(([0], np.cumsum(each)))

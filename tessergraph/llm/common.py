@@ -147,12 +147,18 @@ class Memo(dict):
         self.compute, self.half, self.old = compute, entries // 2, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
+        value = self.old.pop(key, None)  # held once
         if value is None:
             value = self.compute(key)
         self[key] = value
         return value
 
+    def many(self, keys: list, compute: Callable[[list], list]) -> list:
+        """The values of distinct keys; ``compute`` gives those of all that are missing at once."""
+        new = [k for k in keys if k not in self and k not in self.old]
+        self.update(zip(new, compute(new), strict=True))
+        return [self[k] for k in keys]
+
     def trim(self) -> None:
         """Call between documents."""
         if len(self) > self.half:

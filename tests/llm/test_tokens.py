@@ -229,3 +229,28 @@ def test_what_a_worker_remembers_is_bounded():
         common.word_hashes([b"%d" % i for i in range(a, a + 50_000)])
         assert len(common._words) + len(common._words.old) <= 250_000
     assert c.encode("w0x w1x w2x") == want
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_new_words_are_encoded_together(path, monkeypatch):
+    """One call of Python a word cost more than the library's work; ids stay the library's."""
+    alone, chunk = [], bpe.FragmentCodec._chunk
+    monkeypatch.setattr(bpe.FragmentCodec, "_chunk", lambda self, c: alone.append(c) or chunk(self, c))
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdeinorstxzqvjQZXÀÉÞßéüÿñth") for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    codec, library = bpe.FragmentCodec(path), Tokenizer.from_file(path)
+    texts = [" ".join(words[a : a + 100]) for a in range(0, 3000, 100)]
+    ids, bounds = codec.encode_many(pa.array(texts))
+    assert len(alone) < 100
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_remembered_is_held_once():
+    from tessergraph.llm.common import Memo
+
+    memo = Memo(str, 4)
+    assert memo.many([1, 2, 3], lambda new: list(map(str, new))) == ["1", "2", "3"]
+    memo.trim()
+    assert (memo[1], memo.many([2, 9], lambda new: [f"{x}!" for x in new])) == ("1", ["2", "9!"])
+    assert not memo.keys() & memo.old.keys()
