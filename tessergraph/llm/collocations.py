@@ -6,10 +6,15 @@ pairs of frequent words and triples of frequent pairs, both by a hash of 32
 bits; an occurrence of a triple whose hash is frequent is then a pointer to up
 to five words, cut off where a triple isn't frequent, since no longer phrase
 can be. Equal pointers are summed in each task before they move, so copies
-cost little. A prefix's pointers go to one task, sorted, where a phrase is a
-run of them and its growth a run within that run. Prefixes are three words
-long there: pairs are counted beside them, and a common pair spreads over its
-next words.
+cost little, and move by the hundred, as numbers beside the words that they
+share. A prefix's pointers go to one task and are summed there, sorted, where
+a phrase is a run of them and its growth a run within that run. Prefixes are
+three words long there: pairs are counted beside them, and a common pair
+spreads over its next words.
+
+A phrase must occur a fixed number of times, so in a larger corpus a larger
+share of the words begins a frequent one, up to all of them: pointers grow
+faster than the text until then, but are two for a word at most.
 
 Which words, pairs and triples may be frequent reaches the tasks as bits of
 tables of fixed size, at most 2 MB each. A wrong bit lets a rare phrase be
@@ -33,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessergraph.llm.common import as_bytes, drop, map_rows, written
+from tessergraph.llm.common import as_bytes, drop, joined, map_rows, prepare, written
 
 LONGEST, LEAST, FIRST, PERCENT = 5, 100, 2000, 100
 #: Bits that tell frequent words, pairs or triples from others.
@@ -43,6 +48,8 @@ GATHER_BYTES, STRETCH = 16 << 20, 1 << 20
 
 #: Hashes of pairs and triples have 32 bits; those with the same upper 8 are counted together.
 SLOT_BITS = 24
+#: Pointers that a task holds before it gives them out, or sums those that it has got.
+HELD_POINTERS = 1 << 19
 
 _SPACE, _END = b" ", b"\n"
 
@@ -236,46 +243,117 @@ def _frequent(docs: DataFrame, filters: list, least: int) -> DataFrame:
     return rows.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(add, "hash long")
 
 
+def _summed(rows: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of numbers below ``size``, sorted, and the sums of their counts."""
+    group = rows[:, 0]
+    for j in range(1, rows.shape[1]):  # equal rows get equal numbers, a column at a time
+        group = np.unique(group * size + rows[:, j], return_inverse=True)[1]
+    _, first, group = np.unique(group, return_index=True, return_inverse=True)
+    sums = np.zeros(len(first), np.int64)
+    np.add.at(sums, group, counts)
+    return rows[first], sums
+
+
+def _ahead(numbers: np.ndarray, both: np.ndarray, three: np.ndarray, longest: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, and the distinct rows of words from each triple on, 0 beyond a pointer's end; and how often each comes."""
+    at = np.flatnonzero(three)
+    ahead = np.zeros((len(at), longest), np.int64)
+    open_ = np.ones(len(at), bool)
+    for j in range(longest):
+        if j > 2:
+            open_ &= three[np.minimum(at + j - 2, len(three) - 1)] & (at + j < len(numbers))
+        ahead[open_, j] = numbers[at[open_] + j]
+    ahead, counts = _summed(ahead, np.ones(len(at), np.int64), size)
+    pairs = np.flatnonzero(both)
+    keys, times = np.unique(numbers[pairs] * size + numbers[pairs + 1], return_counts=True)
+    alone = np.zeros((len(keys), longest), np.int64)
+    alone[:, 0], alone[:, 1] = keys // size, keys % size
+    return np.concatenate([ahead, alone]), np.concatenate([counts, times])
+
+
+class _Pointers:
+    """Pointers of one language; equal ones are summed whenever twice as many are held as were left the last time."""
+
+    def __init__(self, longest: int):
+        self.numbers = _Numbers()
+        self.rows, self.counts = [np.empty((0, longest), np.int64)], [np.empty(0, np.int64)]
+        self.held, self.bound = 0, HELD_POINTERS
+
+    def add(self, rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> None:
+        """rows: places in ``words``, of which the first is the end."""
+        number = np.fromiter(map(self.numbers.__getitem__, words[1:]), np.int64, len(words) - 1)
+        self.rows.append(np.concatenate([[0], number])[rows])
+        self.counts.append(counts)
+        self.held += len(rows)
+        if self.held > self.bound:
+            self.summed()
+            self.bound = max(2 * self.held, HELD_POINTERS)
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        rows, counts = _summed(np.concatenate(self.rows), np.concatenate(self.counts), len(self.numbers.words))
+        self.rows, self.counts, self.held = [rows], [counts], len(rows)
+        return rows, counts
+
+
+def _used(rows: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The same rows by places in a list of their own words only, after the end."""
+    used = np.unique(np.append(rows, 0))
+    return np.searchsorted(used, rows), [words[i] for i in used.tolist()]
+
+
+def _packed(rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> bytes:
+    """Pointers as their number, their words' places, their counts and the words."""
+    rows, words = _used(rows, words)
+    return b"".join([len(rows).to_bytes(4, "little"), _planes(rows.T.ravel()), _planes(counts), _END.join(words[1:])])
+
+
+def _unpacked(data: bytes, longest: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    n = int.from_bytes(data[:4], "little")
+    middle, end = 4 + 4 * n * longest, 4 + 4 * n * (longest + 1)
+    return _from_planes(data[4:middle]).reshape(longest, n).T, _from_planes(data[middle:end]), [b"", *data[end:].split(_END)]
+
+
 def _pointers(docs: DataFrame, filters: list, longest: int) -> DataFrame:
-    """(lang, w0 ... , n): each pair that may be frequent, and the words from each triple on, as far as each triple may be; equal rows of a batch summed."""
-    names_of = [f"w{i}" for i in range(longest)]
+    """(slot, lang, packed): each pair that may be frequent, and the words from each triple on, as far as each triple may be.
 
-    def make():
-        def ahead_of(numbers: np.ndarray, both: np.ndarray, three: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-            """The distinct rows of words ahead, and how often each comes."""
-            at = np.flatnonzero(three)
-            ahead = np.zeros((len(at), longest), np.int64)
-            open_ = np.ones(len(at), bool)
-            for j in range(longest):
-                if j > 2:
-                    open_ &= three[np.minimum(at + j - 2, len(three) - 1)] & (at + j < len(numbers))
-                ahead[open_, j] = numbers[at[open_] + j]
-            group = ahead[:, 0]
-            for j in range(1, longest):  # equal rows get equal numbers, a column at a time
-                group = np.unique(group * size + ahead[:, j], return_inverse=True)[1]
-            _, first, counts = np.unique(group, return_index=True, return_counts=True)
-            pairs = np.flatnonzero(both)
-            keys, times = np.unique(numbers[pairs] * size + numbers[pairs + 1], return_counts=True)
-            alone = np.zeros((len(keys), longest), np.int64)
-            alone[:, 0], alone[:, 1] = keys // size, keys % size
-            return np.concatenate([ahead[first], alone]), np.concatenate([counts, times])
-
-        def point(batch: pa.RecordBatch) -> dict[str, list] | None:
-            out: dict[str, list] = {k: [] for k in ("lang", *names_of, "n")}
+    Equal pointers of a task are summed. Those of a language with the same
+    first three words are in the same slot; a row holds all of a task's for a
+    slot, unless it had to give some out before.
+    """
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
+        held: dict[str, _Pointers] = {}
+
+        def given() -> pa.RecordBatch:
+            slots, langs, out = [], [], []
+            for lang, pointers in held.items():
+                rows, counts = pointers.summed()
+                words = pointers.numbers.words
+                codes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))[rows[:, :3]]
+                slot = _hashes(_hashes(zlib.crc32(lang.encode()), codes[:, 0], codes[:, 1]), codes[:, 1], codes[:, 2]) >> SLOT_BITS
+                order = np.argsort(slot, kind="stable")
+                found, begins = np.unique(slot[order], return_index=True)
+                slots += found.tolist()
+                langs += [lang] * len(found)
+                out += [pack(_packed(rows[part], counts[part], words)) for part in np.split(order, begins[1:]) if len(part)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["slot", "lang", "packed"])
+
+        for batch in joined(batches, GATHER_BYTES):
             for lang, numbers, names in _per_language(batch):
                 (_, both, three), _, _ = _runs(lang, numbers, names, filters)
-                rows, counts = ahead_of(numbers, both, three, len(names))
-                words = pa.array([None, *names[1:]], pa.binary()).cast(pa.string())
-                out["lang"].append(pa.repeat(lang, len(rows)))
-                for j, name in enumerate(names_of):
-                    out[name].append(words.take(pa.array(rows[:, j])))
-                out["n"].append(pa.array(counts))
-            return {k: pa.concat_arrays(v) for k, v in out.items()} if out["n"] else None
+                rows, counts = _ahead(numbers, both, three, longest, len(names))
+                if len(rows):
+                    rows, words = _used(rows, names)
+                    held.setdefault(lang, _Pointers(longest)).add(rows, counts, words)
+            if sum(x.held for x in held.values()) > HELD_POINTERS:
+                yield given()
+        yield given()
+        pa.default_memory_pool().release_unused()  # workers are used again, by other stages
 
-        return point
-
-    fields = ", ".join(f"{w} string" for w in names_of)
-    return map_rows(docs, f"lang string, {fields}, n long", make, GATHER_BYTES)
+    return docs.mapInArrow(run, "slot long, lang string, packed binary")
 
 
 class _Growth:
@@ -335,34 +413,44 @@ class _Growth:
 
 def _grown(pointers: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, phrase, k, f) of the frequent phrases of two words and more."""
-    names = [f"w{i}" for i in range(longest)]
     tasks = int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt by prefix; sums over whole pointers need no further exchange.
-    dealt = pointers.repartition(tasks, "lang", "w0", "w1", "w2").groupBy("lang", *names).agg(F.sum("n").alias("n"))
     fields = [pa.field("lang", pa.string()), pa.field("phrase", pa.string()), pa.field("k", pa.int32()), pa.field("f", pa.int64())]
 
+    def phrases(lang: str, pointers: _Pointers, out: list) -> None:
+        rows, n = pointers.summed()
+        words = np.array([None, *(w.decode() for w in pointers.numbers.words[1:])], object)
+        pair = rows[:, 2] == 0
+        for i in np.flatnonzero(pair & (n >= least)).tolist():
+            out.append(((lang, *words[rows[i, :2]]), int(n[i])))
+        if not pair.all():
+            growth = _Growth(longest, least)
+            growth.rows([np.full(len(n), lang, object)[~pair], *words[rows[~pair].T]], n[~pair], out)
+            growth.finish(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        growth = _Growth(longest, least)
+        unpack = zstandard.ZstdDecompressor().decompress
+        place, held = None, _Pointers(longest)
 
         def batch_of(found: list) -> pa.RecordBatch:
             columns = [[w[0] for w, _ in found], [" ".join(w[1:]) for w, _ in found], [len(w) - 1 for w, _ in found], [c for _, c in found]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
         for batch in batches:
-            if batch.num_rows:
-                found: list = []
-                columns, n = [np.array([*c.to_pylist(), None], object)[:-1] for c in batch.columns[:-1]], batch.columns[-1].to_numpy()
-                pair = columns[3] == None  # noqa: E711  element by element
-                for i in np.flatnonzero(pair & (n >= least)).tolist():
-                    found.append((tuple(c[i] for c in columns[:3]), int(n[i])))
-                if not pair.all():
-                    growth.rows([c[~pair] for c in columns], n[~pair], found)
-                yield batch_of(found)
+            found: list = []
+            for slot, lang, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (slot, lang) != place:
+                    if place is not None:
+                        phrases(place[1], held, found)
+                    place, held = (slot, lang), _Pointers(longest)
+                held.add(*_unpacked(unpack(packed), longest))
+            yield batch_of(found)
         found = []
-        growth.finish(found)
+        if place is not None:
+            phrases(place[1], held, found)
         yield batch_of(found)
 
-    return dealt.sortWithinPartitions("lang", *names).select("lang", *names, "n").mapInArrow(run, "lang string, phrase string, k int, f long")
+    dealt = pointers.repartition(tasks, "slot", "lang").sortWithinPartitions("slot", "lang")
+    return dealt.mapInArrow(run, "lang string, phrase string, k int, f long")
 
 
 def frequent_phrases(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", longest: int = LONGEST, least: int = LEAST, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:

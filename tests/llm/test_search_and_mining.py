@@ -246,6 +246,46 @@ def test_growth_goes_on_across_batches():
         assert dict(out) == {w: c for w, c in want.items() if c >= 5} and len(out) == len(dict(out))
 
 
+def test_pointers_are_summed_and_packed(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD_POINTERS", 20)
+    draw = random.Random(2)
+    held, want = collocations._Pointers(5), collections.Counter()
+    for _ in range(12):
+        words = [b"", *draw.sample([b"a", b"b\x00", "é".encode(), b"d" * 300, b"\x1c"], 4)]
+        rows = np.array([[*(draw.randint(1, 4) for _ in range(2)), *draw.choice([(0, 0, 0), (1, 0, 0), (2, 3, 0), (2, 3, 4)])] for _ in range(9)])
+        counts = np.array([draw.choice([1, 7, 2**31]) for _ in range(9)])
+        for row, n in zip(rows.tolist(), counts.tolist()):
+            want[tuple(words[i] for i in row)] += n
+        held.add(*collocations._unpacked(collocations._packed(rows, counts, words), 5))
+    assert held.held < 12 * 9  # some were summed before the end
+    rows, counts = held.summed()
+    got = [tuple(held.numbers.words[i] for i in row) for row in rows.tolist()]
+    assert len(set(got)) == len(got) and dict(zip(got, counts.tolist())) == dict(want)
+
+
+def test_rows_of_pointers_do_not_grow_with_frequent_pairs(spark, monkeypatch):
+    draw = random.Random(12)
+    docs = [(lang, " ".join(f"w{draw.randrange(70)}" for _ in range(300)) + ".") for lang in ("en", "de") for _ in range(60)]
+    spoken = collocations._spoken(spark.createDataFrame(docs, "lang string, text string").repartition(4), "lang", "text")
+    filters = [spark.sparkContext.broadcast(np.full(8, 255, np.uint8)) for _ in range(3)]  # all may be frequent
+
+    def longer():
+        return sorted(tuple(r) for r in collocations._grown(collocations._pointers(spoken, filters, 5), 5, 3).collect())
+
+    counts = collections.Counter()
+    for lang, text in docs:
+        words = text[:-1].split()
+        counts.update((lang, " ".join(words[i : i + k]), k) for k in range(2, 6) for i in range(len(words) - k + 1))
+    want = sorted((*p, f) for p, f in counts.items() if f >= 3)
+    assert {r[2] for r in want} >= {2, 3}
+    slots = 1 << 32 - collocations.SLOT_BITS
+    assert collocations._pointers(spoken, filters, 5).count() <= 4 * 2 * slots
+    assert longer() == want
+    monkeypatch.setattr(collocations, "GATHER_BYTES", 3000)
+    monkeypatch.setattr(collocations, "HELD_POINTERS", 2000)
+    assert longer() == want
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3 * 10**9
     phrases = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big), ("en", "a b", 2, big - 1)], "lang string, phrase string, k int, f long")
