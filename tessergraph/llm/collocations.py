@@ -245,9 +245,11 @@ def _frequent(docs: DataFrame, filters: list, least: int) -> DataFrame:
 
 def _summed(rows: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of numbers below ``size``, sorted, and the sums of their counts."""
-    group = rows[:, 0]
-    for j in range(1, rows.shape[1]):  # equal rows get equal numbers, a column at a time
-        group = np.unique(group * size + rows[:, j], return_inverse=True)[1]
+    group, bound = rows[:, 0], size
+    for j in range(1, rows.shape[1]):  # equal rows get equal numbers
+        if bound * size >= 1 << 63:
+            group, bound = np.unique(group, return_inverse=True)[1], len(group)
+        group, bound = group * size + rows[:, j], bound * size
     _, first, group = np.unique(group, return_index=True, return_inverse=True)
     sums = np.zeros(len(first), np.int64)
     np.add.at(sums, group, counts)
@@ -297,8 +299,9 @@ class _Pointers:
 
 def _used(rows: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """The same rows by places in a list of their own words only, after the end."""
-    used = np.unique(np.append(rows, 0))
-    return np.searchsorted(used, rows), [words[i] for i in used.tolist()]
+    used = np.zeros(len(words), bool)
+    used[rows] = used[0] = True
+    return (np.cumsum(used) - 1)[rows], [words[i] for i in np.flatnonzero(used).tolist()]
 
 
 def _packed(rows: np.ndarray, counts: np.ndarray, words: list[bytes]) -> bytes:
@@ -418,9 +421,12 @@ def _grown(pointers: DataFrame, longest: int, least: int) -> DataFrame:
 
     def phrases(lang: str, pointers: _Pointers, out: list) -> None:
         rows, n = pointers.summed()
-        words = np.array([None, *(w.decode() for w in pointers.numbers.words[1:])], object)
+        begins = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+        often = np.repeat(np.add.reduceat(n, begins) >= least, np.diff(np.append(begins, len(n))))  # the pair or triple
+        n, (rows, used) = n[often], _used(rows[often], pointers.numbers.words)
+        words = np.array([None, *(w.decode() for w in used[1:])], object)
         pair = rows[:, 2] == 0
-        for i in np.flatnonzero(pair & (n >= least)).tolist():
+        for i in np.flatnonzero(pair).tolist():
             out.append(((lang, *words[rows[i, :2]]), int(n[i])))
         if not pair.all():
             growth = _Growth(longest, least)
